@@ -8,8 +8,8 @@ smallest identifier of each digest. A text that hits another one's digest is ver
 Everything is DataFrame functions. Only digests are shuffled, never whole texts: verification asks of
 each shared digest whether the least and the greatest text under it are the same bytes, and both are
 pre-aggregated where the texts are read, so a group of copies of any size sends one row per task.
-A blocked Bloom filter of the shared digests (4 KiB a block, at most MAX_BLOCKS blocks, 16 MiB) is
-broadcast, so that only texts with a likely hit are verified; a false hit costs time, never a result.
+A blocked Bloom filter of the shared digests, of at most 16 MiB, is broadcast, so that only texts with a
+likely hit are verified; a false hit costs time, never a result.
 
 Defined results: a null text is an empty one. Of equal texts the row with the smallest doc_id stays; a
 null doc_id counts as greater than all others; of rows that repeat a doc_id and a text one stays.
@@ -21,14 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.llm.bloom import with_likely
 from weftline.llm.scratch import Scratch
 from weftline.llm.text import squeezed
 
 MEMTABLES = 4
 FANOUT = 4
-BLOCK_BITS = 32768
-BITS_PER_DIGEST = 16
-MAX_BLOCKS = 4096
 
 
 def sha256(text: Column) -> Column:
@@ -112,16 +110,8 @@ class ExactDedup:
 
     def _probed(self) -> DataFrame:
         """Documents as (row, doc_id, norm, digest, likely): likely ones may share their digest."""
-        n_blocks = min(MAX_BLOCKS, max(1, -(-self.n_shared * BITS_PER_DIGEST // BLOCK_BITS)))
-        block = F.pmod(F.xxhash64("digest"), F.lit(n_blocks))
-        bit = F.pmod(F.xxhash64(F.lit(1), "digest"), F.lit(BLOCK_BITS))
-        blocks = self.shared.select(block.alias("block"), bit.alias("bit")).groupBy("block").agg(F.expr("bitmap_construct_agg(bit)").alias("bits"))
         rows = self.docs.select(F.struct(*self.docs.columns).alias("row"), "doc_id", squeezed(F.col("text")).alias("norm"))
-        rows = rows.withColumn("digest", self.digest(F.col("norm"))).withColumns({"block": block, "bit": bit})
-        byte = F.conv(F.hex(F.substring("bits", (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        hit = byte.bitwiseAND(F.expr("shiftleft(1, cast(bit % 8 as int))")) != 0
-        # at most MAX_BLOCKS rows of 4 KiB are broadcast, whatever the input's size
-        return rows.join(F.broadcast(blocks), "block", "left").withColumn("likely", F.coalesce(hit, F.lit(False)))
+        return with_likely(rows.withColumn("digest", self.digest(F.col("norm"))), self.shared, self.n_shared, ["digest"])
 
     def _verify(self) -> DataFrame:
         """Digests whose texts differ."""

@@ -11,3 +11,48 @@ SELECT doc_id,
        sha256(t) AS text_sha256
 FROM n
 """
+
+LINE_FREQUENCY = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents
+), tokens AS (
+  SELECT doc_id, host, text,
+         list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS full_lines
+  FROM docs
+), lines AS (
+  SELECT doc_id, host, text, unnest(full_lines) AS line FROM tokens
+), normal AS (
+  SELECT doc_id, host, text, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm FROM lines
+), sized AS (
+  SELECT *, len(string_split(norm, ' ')) AS n FROM normal
+), hosts AS (
+  SELECT host, count(DISTINCT text) AS host_docs FROM docs GROUP BY host
+), bad AS (
+  SELECT s.host, s.norm FROM sized s JOIN hosts h ON s.host = h.host WHERE s.n <= 40
+  GROUP BY s.host, s.norm, h.host_docs HAVING count(DISTINCT s.text) > greatest(10.0, h.host_docs * 0.1)
+), removed AS (
+  SELECT s.doc_id, sum(s.n) AS removed_words FROM sized s JOIN bad b ON s.host = b.host AND s.norm = b.norm GROUP BY s.doc_id
+), windows AS (
+  SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: {'i': i, 'g': w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]})) AS x
+  FROM tokens WHERE len(w) >= 3
+), repeated AS (
+  SELECT doc_id, x.i AS i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, x.g) >= 2
+), covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM repeated) GROUP BY doc_id
+), base AS (
+  SELECT t.doc_id,
+         len(w)::BIGINT AS n_words,
+         length(array_to_string(w, ''))::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         (len(full_lines) - len(list_distinct(full_lines)))::BIGINT AS n_dup_lines,
+         coalesce(c.n, 0)::BIGINT AS n_repeat_words,
+         coalesce(r.removed_words, 0)::BIGINT AS removed_words
+  FROM tokens t LEFT JOIN covered c ON t.doc_id = c.doc_id LEFT JOIN removed r ON t.doc_id = r.doc_id
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND removed_words <= 0.5 * n_words AS kept,
+       removed_words
+FROM base
+"""

@@ -8,23 +8,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm import oracles
 from weftline.llm.exact_dedup import exact_dedup
+from weftline.llm.line_frequency import line_frequency
+from weftline.llm.simhash import simhash_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_frequency(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_frequency": op1_line_frequency,
         "op3_exact_dedup": op3_exact_dedup,
+        "op8_simhash": op8_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_line_frequency": oracles.LINE_FREQUENCY,
         "op3_exact_dedup": oracles.EXACT_DEDUP,
     }
