@@ -10,6 +10,7 @@ from weftline.llm import oracles
 from weftline.llm.exact_dedup import exact_dedup
 from weftline.llm.line_frequency import line_frequency
 from weftline.llm.simhash import simhash_dedup
+from weftline.llm.sstable import token_shards
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,11 +29,16 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_frequency": op1_line_frequency,
         "op3_exact_dedup": op3_exact_dedup,
         "op8_simhash": op8_simhash,
+        "op10_sstable_shards": op10_sstable_shards,
     }
 
 
