@@ -11,6 +11,7 @@ from weftline.llm.exact_dedup import exact_dedup
 from weftline.llm.line_frequency import line_frequency
 from weftline.llm.simhash import simhash_dedup
 from weftline.llm.sstable import token_shards
+from weftline.llm.toxicity import toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,10 +34,15 @@ def op10_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_frequency": op1_line_frequency,
         "op3_exact_dedup": op3_exact_dedup,
+        "op5_toxicity": op5_toxicity,
         "op8_simhash": op8_simhash,
         "op10_sstable_shards": op10_sstable_shards,
     }
