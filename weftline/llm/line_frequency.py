@@ -31,6 +31,8 @@ MAX_LINE_WORDS = 40
 DEPLETED = 0.5
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
+#: Keys and hosts, of some 50 bytes each, that are broadcast at most.
+BROADCAST_KEYS = 200_000
 SYMBOLS = "#*$%&|<>"
 
 
@@ -65,7 +67,10 @@ def removable(docs: DataFrame, scratch: Scratch, min_documents: int = MIN_DOCUME
     counts = scratch.put(counts.where(F.col("key").isNull() | (F.col("n") > min_documents)), "line-counts")
     hosts = counts.where("key is null").select("host", F.greatest(F.lit(float(min_documents)), F.col("n") * share).alias("most"))
     bad = counts.where("key is not null").join(hosts, "host").where("n > most")
-    return bad.groupBy("host").agg(F.collect_list("key").alias("bad"))
+    bad = scratch.put(bad.groupBy("host").agg(F.collect_list("key").alias("bad")), "removable")
+    keys = bad.agg(F.sum(F.lit(1) + F.size("bad"))).first()[0] or 0
+    # beyond this size the join is Spark's to plan: it shuffles the texts by host and splits large hosts
+    return F.broadcast(bad) if keys <= BROADCAST_KEYS else bad
 
 
 def repeat_words(trigrams: Column) -> Column:
