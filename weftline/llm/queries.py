@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from weftline.llm import oracles
 from weftline.llm.exact_dedup import exact_dedup
 from weftline.llm.line_frequency import line_frequency
+from weftline.llm.mixing import DOMAINS, Mixture, labelled_domains
+from weftline.llm.packing import packed
 from weftline.llm.simhash import simhash_dedup
 from weftline.llm.sstable import token_shards
 from weftline.llm.toxicity import toxicity
@@ -22,6 +24,12 @@ def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency(table(spark, sf_dir, "documents"))
 
 
+def op2_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = labelled_domains(table(spark, sf_dir, "labels"))
+    rates = Mixture(table(spark, sf_dir, "documents"), labels, list(DOMAINS.values())).rates()
+    return rates.withColumnsRenamed({f"p{k}": f"p_{name}" for k, name in enumerate(DOMAINS)})
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -38,12 +46,18 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_frequency": op1_line_frequency,
+        "op2_soft_mixing": op2_soft_mixing,
         "op3_exact_dedup": op3_exact_dedup,
         "op5_toxicity": op5_toxicity,
         "op8_simhash": op8_simhash,
+        "op9_best_fit_packing": op9_best_fit_packing,
         "op10_sstable_shards": op10_sstable_shards,
     }
 

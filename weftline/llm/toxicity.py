@@ -33,10 +33,10 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % FOLDS
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, target: Column, max_rows: int) -> list:
-    """At most max_rows rows (text, label) of labelled documents outside the held-out fold."""
+def training_rows(docs: DataFrame, labels: DataFrame, target: Column, max_rows: int, learned: Column | None = None) -> list:
+    """At most max_rows rows (text, label) of labelled documents for which ``learned`` holds."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), target.alias("label")).where("doc_id is not null and label is not null")
-    known = known.where(fold(F.col("doc_id")) != HELD_OUT).groupBy("doc_id").agg(F.max("label").alias("label"))
+    known = known.where(F.lit(True) if learned is None else learned).groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(whole(F.col("text")), "UTF-8").alias("text"))
     # at most max_rows identifiers are broadcast; the order makes the fit the same in every run
@@ -45,7 +45,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: Column, max_rows:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> SubwordSoftmax:
-    rows = training_rows(docs, labels, (F.col("toxic") > 0).cast("int"), max_rows)
+    rows = training_rows(docs, labels, (F.col("toxic") > 0).cast("int"), max_rows, fold(F.col("doc_id")) != HELD_OUT)
     return SubwordSoftmax(2).fit([bytes(r.text) for r in rows], [r.label for r in rows])
 
 
