@@ -34,7 +34,7 @@ class WordTokenizer:
         self.ids: dict[bytes, bytes] = {}
 
     def learn(self, words: Iterable[bytes]) -> None:
-        new = list(set(words) - self.ids.keys())
+        new = [w for w in set(words) if w not in self.ids]
         if len(self.ids) + len(new) > REMEMBERED:
             self.ids.clear()
             new = list(set(words))
