@@ -128,9 +128,9 @@ def line_frequency(docs: DataFrame, scratch: Scratch | None = None, **limits) ->
 def clean(docs: DataFrame, scratch: Scratch | None = None, **limits) -> DataFrame:
     """The kept documents without their removed lines, with the columns of docs; n_chars follows the text."""
     bad = removable(docs, scratch or Scratch(docs.sparkSession, "line-frequency"), **limits)
-    rows = measured(docs, bad).where("kept")
     rest = F.array_join(F.filter("lines", lambda x: ~(x.rlike(r"[^\x20\x09-\x0D]") & is_bad(x))), "\n")
     text = F.when(F.col("removed_words") > 0, rest).otherwise(F.col("row.text"))
-    out = rows.select("row", text.alias("rest"))
+    # an outer explode, filtered after it: a plain filter would be pushed down and measure each text twice
+    out = measured(docs, bad).select("row", F.explode_outer(F.when(F.col("kept"), F.array(text))).alias("rest")).where("rest is not null")
     values = {"text": F.col("rest"), "n_chars": F.length("rest").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
     return out.select(*[values.get(c, F.col(f"row.`{c}`")).alias(c) if values.get(c) is not None else F.col(f"row.`{c}`") for c in docs.columns])

@@ -141,6 +141,8 @@ class Mixture:
             for batch in batches:
                 yield pd.Series([model.posterior(t).astype(np.float64) for t in batch])
 
+        # marked so that the filter below does not score each text again
+        posterior = posterior.asNondeterministic()
         text = whole(F.col("text"))
         rows = self.docs.select(F.struct(*self.docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), posterior(F.encode(text, "UTF-8")).alias("p"))
         rate = self.rate(self.steps, [F.get("p", F.lit(k)) for k in range(self.classes)])
