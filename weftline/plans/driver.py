@@ -2,10 +2,256 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from weftline.functions.paths import fill, identifier
+from weftline.functions.records import key_of, property_of, record
+from weftline.operators import endpoints, keyed, sync
+from weftline.operators.graph import graph
 
-def oracle_sql():
-    return {}
+BEFORE = "ts < timestamp_ntz '2024-01-02 12:00:00'"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def item(**columns: str) -> Column:
+    """A record of columns."""
+    pairs = [x for name, c in columns.items() for x in (F.lit(name), F.col(c).cast("variant"))]
+    return F.create_map(*pairs)
+
+
+def constant_map(pairs: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+
+
+#: Customers are synced to suppliers: every twentieth customer is linked to the supplier seven further.
+FIELDS = {"id": "id", "name": "title", "acctbal": "balance"}
+
+
+def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer, supplier = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    source = customer.select(F.col("c_custkey").alias("ordinal"), item(id="c_custkey", name="c_name", acctbal="c_acctbal").alias("item"))
+    target = supplier.select(F.col("s_suppkey").alias("ordinal"), item(id="s_suppkey", title="s_name", balance="s_acctbal", nation="s_nationkey").alias("item"))
+    linked = customer.where("c_custkey % 20 = 0").select(F.col("c_custkey").alias("ordinal"), F.col("c_custkey").cast("string").alias("source_id"), (F.col("c_custkey") + 7).cast("string").alias("target_id"))
+    return sync.plan_pass(source, target, linked, constant_map(FIELDS))
+
+
+def sync_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = lambda name, kind: F.try_variant_get(property_of(F.col("payload"), name), "$", kind).alias(name)
+    payload_id = value("id", "bigint").alias("payload_id")
+    return _plan(spark, sf_dir).select("source_id", "target_id", "action", "has_base", payload_id, value("title", "string"), value("balance", "double"), value("nation", "int"))
+
+
+def sync_action_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.action_counts(_plan(spark, sf_dir))
+
+
+def endpoint_identifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.lit("/users/"), F.col("user_id").cast("string"))
+    return table(spark, sf_dir, "events").select("event_id", identifier(F.col("event_type"), path).alias("identifier"))
+
+
+def verb_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verbs = {"get": F.col("p_name"), "post": F.col("p_brand"), "put": F.when(F.col("p_size") > 10, F.col("p_type"))}
+    rows = endpoints.unpivot_verbs(table(spark, sf_dir, "part"), verbs, ["p_partkey"])
+    return rows.select("p_partkey", "method", "verb_ordinal", F.col("operation").alias("path"))
+
+
+def path_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = F.create_map(F.lit("id"), F.col("user_id").cast("string"), F.lit("type"), F.col("event_type"))
+    names = F.array(F.lit("id"), F.lit("type"), F.lit("other"))
+    return table(spark, sf_dir, "events").select("event_id", fill(F.lit("/users/{id}/{type}/{other}/{id}"), names, values).alias("url"))
+
+
+def json_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(property_of(record(F.col("props")), "k"), "$", "bigint").alias("k"))
+
+
+def typed_id_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", key_of(property_of(record(F.col("props")), "k")).alias("id_key"))
+
+
+def prompt_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation")
+    names = F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name")))
+    return nation.groupBy("n_regionkey").agg(F.array_join(F.transform(names, lambda x: x["n_name"]), ",").alias("names"))
+
+
+def first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation").select("n_regionkey", "n_name", "n_nationkey")
+    return keyed.first_match(nation, ["n_regionkey"], "n_nationkey").select("n_regionkey", F.col("n_name").alias("first_name"))
+
+
+def replace_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation")
+    changes = nation.where("n_nationkey = 3").select("n_nationkey", F.lit("REPLACED").alias("n_name"), "n_regionkey")
+    return keyed.replace_by_key(nation, changes, ["n_nationkey"])
+
+
+def id_map_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer = table(spark, sf_dir, "customer")
+    pairs = lambda step, more: customer.where(f"c_custkey % {step} = 0").select(F.col("c_custkey").alias("a_id"), (F.col("c_custkey") + more).alias("b_id"))
+    return keyed.upsert(pairs(20, 7), pairs(30, 11), ["a_id"])
+
+
+def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    part = lambda c: F.struct(F.col(c).cast("string").alias("api"))
+    mappings = nation.select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name"), F.array(part("n_regionkey"), part("n_nationkey")).alias("parts"))
+    apis = region.select(F.col("r_regionkey").cast("string").alias("id"), F.col("r_name").alias("name"))
+    return graph(apis, mappings)[1]
+
+
+def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per user, which kinds of event occurred, as endpoints that are there or not."""
+    there = lambda kind: F.when(F.bool_or(F.col("event_type") == kind), kind).alias(kind)
+    return table(spark, sf_dir, "events").where(BEFORE).groupBy("user_id").agg(*[there(k) for k in ("view", "click", "error", "purchase")])
+
+
+def sync_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flags(spark, sf_dir).select("user_id", sync.eligible(F.col("view"), F.col("click"), F.col("purchase")).alias("eligible"))
+
+
+def usefulness_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flags(spark, sf_dir).select("user_id", sync.useful(F.col("view"), F.col("click"), F.col("error"), F.col("purchase")).alias("is_useful"))
+
+
+def selected_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    catalog = part.select(F.col("p_partkey").alias("ordinal"), F.concat(F.lit("GET /"), F.col("p_brand")).alias("identifier"))
+    chosen = part.where("p_size = 7").select(F.concat(F.lit("GET /"), F.col("p_brand")).alias("identifier"))
+    return endpoints.selected(catalog, chosen).select("ordinal", "identifier")
+
+
+def unmapped_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("c_custkey"))
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_name").join(keys, "c_custkey", "left_anti")
+
+
+def append_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation")
+    return keyed.append(nation, spark.createDataFrame([(99, "ATLANTIS", 0)], nation.schema))
+
+
+def catalog_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+
+
+def default_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    brand = F.when(F.col("p_size") % 2 == 0, F.lit("")).otherwise(F.col("p_brand"))
+    name = F.when(F.col("p_size") % 3 == 0, F.lit(None).cast("string")).otherwise(F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", endpoints.default_name(name).alias("name"), endpoints.described(brand, F.col("p_type")).alias("description"))
+
+
+def param_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    parameter = lambda name, place, required, ref: F.struct(ref.alias("ref"), place.alias("in"), required.alias("required"), name.alias("name"), none.alias("description"))
+    size = F.col("p_size")
+    given = F.array(
+        parameter(F.col("p_name"), F.lit("path"), size % 2 == 0, none),
+        parameter(F.col("p_brand"), F.when(size > 25, "path").otherwise("query"), F.lit(True), none),
+        parameter(F.col("p_type"), F.lit("path"), F.lit(True), F.when(size % 5 == 0, "#/ref")),
+    )
+    kept = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(endpoints.path_parameters(given)).alias("ordinal", "p"))
+    return kept.select("p_partkey", "ordinal", F.col("p.name").alias("name"))
+
+
+def two_pass_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers over suppliers of the same key, then suppliers, as written, back: the first side's names win."""
+    customer, supplier = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    source = customer.select(F.col("c_custkey").alias("ordinal"), item(id="c_custkey", name="c_name").alias("item"))
+    target = supplier.select(F.col("s_suppkey").alias("ordinal"), item(id="s_suppkey", title="s_name", nation="s_nationkey").alias("item"))
+    same = F.col("s_suppkey").cast("string")
+    links = supplier.select(F.col("s_suppkey").alias("ordinal"), same.alias("a_id"), same.alias("b_id"))
+    there = sync.plan_pass(source, target, sync.directed(links, False), constant_map({"name": "title"})).where("action = 'update'")
+    written = there.select("ordinal", F.col("payload").alias("item"))
+    back = sync.plan_pass(written, source, sync.directed(links, True), constant_map({"title": "name"}))
+    value = lambda name, kind: F.try_variant_get(property_of(F.col("payload"), name), "$", kind).alias(name)
+    return back.select(value("id", "bigint"), value("name", "string"), "action")
+
+
+QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
+    sync_plan, sync_action_counts, endpoint_identifier, verb_unpivot, path_template, json_field, typed_id_key, prompt_concat, first_match, replace_by_key, id_map_upsert,
+    graph_edges, sync_eligibility, usefulness_rule, selected_endpoints, unmapped_source, append_rows, catalog_join, default_fallback, param_filter, two_pass_round,
+]
+
+_PLAN_SQL = """
+WITH id_map AS (
+  SELECT c_custkey AS source_id, c_custkey + 7 AS target_id FROM customer WHERE c_custkey % 20 = 0
+), planned AS (
+  SELECT c.c_custkey, c.c_name, c.c_acctbal, m.target_id, s.s_suppkey, s.s_nationkey
+  FROM customer c LEFT JOIN id_map m ON c.c_custkey = m.source_id LEFT JOIN supplier s ON s.s_suppkey = m.target_id
+)
+"""
+
+_FLAGS_SQL = """
+WITH flags AS (
+  SELECT user_id, bool_or(event_type = 'view') AS v, bool_or(event_type = 'click') AS c, bool_or(event_type = 'error') AS e,
+         bool_or(event_type = 'purchase') AS p
+  FROM events WHERE ts < TIMESTAMP '2024-01-02 12:00:00' GROUP BY user_id
+)
+"""
+
+ORACLES: dict[str, str] = {
+    "sync_plan": _PLAN_SQL + """
+SELECT c_custkey::VARCHAR AS source_id, target_id::VARCHAR AS target_id,
+       CASE WHEN target_id IS NULL THEN 'create' ELSE 'update' END AS action, s_suppkey IS NOT NULL AS has_base,
+       s_suppkey AS payload_id, c_name AS title, c_acctbal AS balance, s_nationkey AS nation
+FROM planned""",
+    "sync_action_counts": _PLAN_SQL + """
+SELECT CASE WHEN target_id IS NULL THEN 'create' ELSE 'update' END AS action, count(*) AS n_items,
+       count(*) FILTER (target_id IS NOT NULL AND s_suppkey IS NULL) AS n_vanished
+FROM planned GROUP BY 1""",
+    "endpoint_identifier": "SELECT event_id, upper(event_type) || ' /users/' || user_id AS identifier FROM events",
+    "verb_unpivot": """
+SELECT p_partkey, 'get' AS method, 0 AS verb_ordinal, p_name AS path FROM part
+UNION ALL SELECT p_partkey, 'post', 1, p_brand FROM part
+UNION ALL SELECT p_partkey, 'put', 2, p_type FROM part WHERE p_size > 10""",
+    "path_template": "SELECT event_id, '/users/' || user_id || '/' || event_type || '/undefined/{id}' AS url FROM events",
+    "json_field": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
+    "typed_id_key": "SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS id_key FROM events",
+    "prompt_concat": "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_nationkey) AS names FROM nation GROUP BY n_regionkey",
+    "first_match": "SELECT n_regionkey, arg_min(n_name, n_nationkey) AS first_name FROM nation GROUP BY n_regionkey",
+    "replace_by_key": "SELECT n_nationkey, CASE WHEN n_nationkey = 3 THEN 'REPLACED' ELSE n_name END AS n_name, n_regionkey FROM nation",
+    "id_map_upsert": """
+WITH old AS (SELECT c_custkey AS a_id, c_custkey + 7 AS b_id FROM customer WHERE c_custkey % 20 = 0),
+     new AS (SELECT c_custkey AS a_id, c_custkey + 11 AS b_id FROM customer WHERE c_custkey % 30 = 0)
+SELECT coalesce(n.a_id, o.a_id) AS a_id, coalesce(n.b_id, o.b_id) AS b_id FROM old o FULL JOIN new n ON o.a_id = n.a_id""",
+    "graph_edges": "SELECT n_nationkey::VARCHAR AS id, n_regionkey::VARCHAR AS src, n_nationkey::VARCHAR AS dst, n_name AS label FROM nation",
+    "sync_eligibility": _FLAGS_SQL + "SELECT user_id, v AND c AND p AS eligible FROM flags",
+    "usefulness_rule": _FLAGS_SQL + "SELECT user_id, (v OR c) AND (e OR p) AS is_useful FROM flags",
+    "selected_endpoints": """
+SELECT p_partkey AS ordinal, 'GET /' || p_brand AS identifier FROM part
+WHERE p_brand IN (SELECT p_brand FROM part WHERE p_size = 7)""",
+    "unmapped_source": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)",
+    "append_rows": "SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT 99, 'ATLANTIS', 0",
+    "catalog_join": "SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey",
+    "default_fallback": """
+SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN '' ELSE p_name END AS name,
+       CASE WHEN p_size % 2 = 0 THEN p_type ELSE p_brand END AS description
+FROM part""",
+    "param_filter": """
+WITH kept AS (
+  SELECT p_partkey, 0 AS given, p_name AS name FROM part WHERE p_size % 2 = 0
+  UNION ALL SELECT p_partkey, 1, p_brand FROM part WHERE p_size > 25
+  UNION ALL SELECT p_partkey, 2, p_type FROM part WHERE p_size % 5 <> 0
+)
+SELECT p_partkey, (row_number() OVER (PARTITION BY p_partkey ORDER BY given) - 1)::INTEGER AS ordinal, name FROM kept""",
+    "two_pass_round": """
+SELECT c_custkey AS id, c_name AS name, 'update' AS action FROM customer JOIN supplier ON c_custkey = s_suppkey
+WHERE c_custkey <> 0  -- a link to 0 is none: it would be a create""",
+}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in QUERIES}
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
