@@ -7,7 +7,6 @@ Misspelt words that training never met share most n-grams, and so most of their
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -17,6 +16,8 @@ DIM, BUCKETS = 8, 1 << 16
 SCALE = 40
 GRAMS = (3, 4, 5)
 REMEMBERED = 300_000
+#: An odd 64-bit factor of the rolling hash.
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -24,12 +25,30 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def buckets_of(word: bytes, buckets: int = BUCKETS) -> list[int]:
-    marked = f"<{word.decode('utf-8', 'replace').lower()}>"
-    if len(marked) > 66:
-        marked = marked[:64] + ">"  # the n-grams of the first 64 characters stand for an overlong word
-    grams = {marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)} | {marked}
-    return [zlib.crc32(g.encode("utf-8")) % buckets for g in sorted(grams)]
+def buckets_of(words: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the character n-grams of each word, ends marked, and of the word itself: (flat, how many per word)."""
+    marked = [f"<{w.decode('utf-8', 'replace').lower()}>" for w in words]
+    size = np.fromiter(map(len, marked), np.int64, len(marked))
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    owner = np.repeat(np.arange(len(marked)), size)
+    start = np.cumsum(size) - size
+    power = np.cumprod(np.full(int(size.max()), FACTOR, np.uint64))
+    whole = np.add.reduceat(codes * power[np.arange(len(codes)) - start[owner]], start)
+    owners, hashes = [np.arange(len(marked))], [whole]
+    for n in GRAMS:
+        count = len(codes) - n + 1
+        if count <= 0:
+            continue
+        h = np.full(count, n, np.uint64)
+        for k in range(n):
+            h = h * FACTOR + codes[k : k + count]
+        inside = owner[:count] == owner[n - 1 :]
+        owners.append(owner[:count][inside])
+        hashes.append(h[inside])
+    own, h = np.concatenate(owners), np.concatenate(hashes)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    flat = ((h >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
+    return flat[np.argsort(own, kind="stable")], np.bincount(own, minlength=len(marked))
 
 
 class SubwordSoftmax:
@@ -55,9 +74,9 @@ class SubwordSoftmax:
             count = Counter(words_of(text))
             ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in count], np.int32)
             bags.append((ids, np.array(list(count.values()), np.float32)))
-        subs = [buckets_of(w, self.buckets) for w in vocabulary]
-        size = np.array([len(s) for s in subs], np.int64)
-        flat = np.fromiter((b for s in subs for b in s), np.int32, int(size.sum()))
+        if not vocabulary:
+            vocabulary[b""] = 0
+        flat, size = buckets_of(list(vocabulary), self.buckets)
         begin = np.concatenate([[0], np.cumsum(size)[:-1]])
         y = np.array(labels)
         self.bias[:] = np.log((np.bincount(y, minlength=self.classes) + 1) / (len(y) + self.classes))
@@ -105,9 +124,8 @@ class SubwordSoftmax:
             grown = np.zeros((2 * (at + len(new)), self.classes), np.float32)
             grown[:at] = self.logits[:at]
             self.logits = grown
-        subs = [buckets_of(w, self.buckets) for w in new]
-        n = np.array([len(s) for s in subs], np.int64)
-        vectors = np.add.reduceat(self.table[np.fromiter((b for s in subs for b in s), np.int64, int(n.sum()))], np.cumsum(n) - n, axis=0)
+        flat, n = buckets_of(new, self.buckets)
+        vectors = np.add.reduceat(self.table[flat], np.cumsum(n) - n, axis=0)
         self.logits[at : at + len(new)] = (vectors / n[:, None]) @ self.weights
         self.ids.update(zip(new, range(at, at + len(new)), strict=True))
 
