@@ -1,0 +1,56 @@
+import hashlib
+import re
+
+from pyspark.sql import functions as F
+
+from weftline.llm.exact_dedup import DigestIndex, ExactDedup, exact_dedup
+
+
+def brute(rows):
+    norm = [re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "") for r in rows]
+    groups = {}
+    for r, t in zip(rows, norm):
+        groups.setdefault(t, []).append(r.doc_id)
+    out = []
+    for t, ids in groups.items():
+        known = [i for i in ids if i is not None]
+        keep = min(known) if known else None
+        for i in ids:
+            out.append((i, keep, len(ids), hashlib.sha256(t.encode()).hexdigest()))
+    return sorted(out, key=repr), norm
+
+
+def test_report_matches_brute_force(tricky):
+    rows = exact_dedup(tricky).collect()
+    want, norm = brute(tricky.collect())
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in rows), key=repr) == want
+    assert sum(r.kept for r in rows) == len(set(norm))
+
+
+def test_texts_under_one_digest_are_told_apart(tricky):
+    weak = ExactDedup(tricky, digest=lambda t: F.encode((F.length(t) % 3).cast("string"), "UTF-8"))
+    assert weak.n_collided > 0
+    strong = ExactDedup(tricky)
+    key = lambda rows: sorted(map(tuple, rows), key=repr)
+    assert key(weak.report().collect()) == key(strong.report().collect())
+    assert key(weak.keep_first().collect()) == key(strong.keep_first().collect())
+
+
+def test_keep_first_keeps_one_row_of_each_text(tricky):
+    kept = ExactDedup(tricky).keep_first()
+    assert kept.columns == tricky.columns
+    texts = [re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "") for r in kept.collect()]
+    assert len(texts) == len(set(texts)) == len(set(brute(tricky.collect())[1]))
+
+
+def test_empty_table(empty):
+    assert exact_dedup(empty).collect() == []
+    assert ExactDedup(empty).keep_first().collect() == []
+
+
+def test_index_merges_runs_and_keeps_the_least(spark, tmp_path):
+    index = DigestIndex(spark, str(tmp_path), fanout=2)
+    for batch in ([(5, "x"), (9, "y")], [(2, "x")], [(7, "y"), (1, "z")]):
+        index.flush(spark.createDataFrame([(i, d.encode(), i) for i, d in batch], "doc_id long, digest binary, tag long"))
+    got = {bytes(r.digest): (r["first"].doc_id, r.n) for r in index.compact().collect()}
+    assert got == {b"x": (2, 2), b"y": (7, 2), b"z": (1, 1)}
