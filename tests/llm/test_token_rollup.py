@@ -1,0 +1,46 @@
+from collections import Counter
+
+import pytest
+from tokenizers import Tokenizer
+
+from weftline.llm.scratch import Scratch
+from weftline.llm.token_rollup import TokenRollup, rollup_of
+from weftline.llm.tokenizing import word_bpe_path
+
+SCHEMA = "doc_id long, op string, source string, lang string, version string, n_tokens long, seq int"
+
+
+def totals(frame):
+    return {(r.source, r.lang, r.version): (r.n_docs, r.n_tokens) for r in frame.collect()}
+
+
+def test_signed_deltas_and_idempotent_commits(spark):
+    rollup = TokenRollup(spark, Scratch(spark, "test").path("rollup"))
+    change = lambda *rows: spark.createDataFrame(list(rows), SCHEMA)
+    assert rollup.commit(1, change((1, "insert", "a", "en", "v", 10, 0), (2, "insert", "a", "en", "v", 5, 0), (3, "insert", None, None, "v", 7, 0), (None, "insert", "a", "en", "v", 9, 0)))
+    assert totals(rollup.totals()) == {("a", "en", "v"): (2, 15), (None, None, "v"): (1, 7)}
+    second = change((1, "revise", "b", "en", "v", 4, 0), (2, "delete", None, None, "v", None, 0), (9, "delete", "a", "en", "v", 3, 0), (3, "revise", None, None, "v", 1, 0), (3, "revise", None, None, "v", 8, 1), (1, "insert", "a", "en", "w", 2, 0))
+    assert rollup.commit(2, second) and not rollup.commit(2, second) and not rollup.commit(1, second)
+    want = {("b", "en", "v"): (1, 4), (None, None, "v"): (1, 8), ("a", "en", "w"): (1, 2)}
+    assert totals(rollup.totals()) == want == totals(rollup.recounted())
+    with pytest.raises(ValueError):
+        rollup.commit(0, second)
+    # a batch that broke off before its marker is not seen, and its retry counts once
+    change((7, "insert", "z", "en", "v", 1, 0)).write.parquet(rollup._path("delta", 3))
+    assert totals(rollup.totals()) == want
+    assert rollup.commit(3, change((7, "insert", "z", "en", "v", 1, 0)))
+    assert totals(rollup.totals()) == want | {("z", "en", "v"): (1, 1)}
+
+
+def test_rollup_of_a_table_matches_a_recount(tricky, empty):
+    library, rows, want = Tokenizer.from_file(word_bpe_path()), {}, Counter()
+    for r in tricky.collect():
+        n = len(library.encode(r.text or "", add_special_tokens=False).ids)
+        if r.doc_id is not None:
+            rows[r.doc_id] = max(rows.get(r.doc_id, (0,)), (n, r.source or "", r.lang or ""))
+    for n, source, lang in rows.values():
+        if n:
+            want[source, lang] += n
+    got = {(r.source or "", r.lang or ""): r.n_tokens for r in rollup_of(tricky).collect()}
+    assert got == want
+    assert rollup_of(empty).collect() == []

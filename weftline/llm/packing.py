@@ -25,7 +25,6 @@ from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -94,18 +93,13 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_RO
     n_shards = max(1, -(-items.count() // shard_rows))
     items = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "tag"), F.lit(n_shards)))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n_tokens", "doc_id", "tag"], ascending=[False, True, True], ignore_index=True)
-        sources = [s if isinstance(s, str) else None for s in rows.source]
-        found = pack(rows.n_tokens.tolist(), sources, rows.cluster.tolist(), capacity)
-        out = pd.DataFrame(found, columns=["item", "piece", "bin", "bin_start", "n_tokens"])
-        of = rows.loc[out["item"]].reset_index(drop=True)
-        return pd.DataFrame(
-            {
-                "doc_id": of.doc_id.astype("Int64"), "piece": out.piece, "bin_id": (of.shard.astype("int64") << 32) + out.bin, "bin_start": out.bin_start, "n_tokens": out.n_tokens,
-                "doc_start": out.piece.astype("int64") * capacity, "source": of.source, "cluster": [c.hex() for c in of.cluster],
-            }
-        )
+    def run(shard: pa.Table) -> pa.Table:
+        # longest first; a null identifier after all others
+        rows = sorted(shard.to_pylist(), key=lambda r: (-r["n_tokens"], r["doc_id"] is None, r["doc_id"] or 0, r["tag"]))
+        found = pack([r["n_tokens"] for r in rows], [r["source"] for r in rows], [r["cluster"] for r in rows], capacity)
+        out = [(r["doc_id"], piece, (r["shard"] << 32) + bin_, start, size, piece * capacity, r["source"], r["cluster"].hex()) for item, piece, bin_, start, size in found for r in (rows[item],)]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types.values(), strict=True)], list(types))
 
+    types = {"doc_id": pa.int64(), "piece": pa.int32(), "bin_id": pa.int64(), "bin_start": pa.int32(), "n_tokens": pa.int32(), "doc_start": pa.int64(), "source": pa.string(), "cluster": pa.string()}
     schema = "doc_id long, piece int, bin_id long, bin_start int, n_tokens int, doc_start long, source string, cluster string"
-    return items.groupBy("shard").applyInPandas(run, schema)
+    return items.groupBy("shard").applyInArrow(run, schema)
