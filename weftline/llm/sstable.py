@@ -39,7 +39,7 @@ from weftline.llm.text import whole
 from weftline.llm.tokenizing import SharedTokenizer, word_bpe_path
 
 END_ID = 2
-SHARD_TEXT_BYTES = 16 << 20
+SHARD_TEXT_BYTES = 32 << 20
 BLOCK_BYTES = 64 << 10
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 MAGIC = b"WLSST001"

@@ -1,20 +1,31 @@
 """Token ids of whole texts with a public tokenizer, a word at a time.
 
 The tokenizer drops white space and never joins across it, so that a text's ids are those of its words
-in order. Each task keeps the ids of words it has met; a word not met before goes to the library.
+in order. Each task keeps the ids of words it has met. A new word goes to the library: whole, or, if it is
+plain letters with ASCII punctuation after them, as the two tokens into which the tokenizer cuts such a
+word, straight to the library's merges. Such letters are their own normal form and lower-case one by one,
+so that the ids are the same; tests hold both ways against each other.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from pathlib import Path
 
-import numpy as np
 from pyspark.sql import SparkSession
 
 WORD_BPE = "word_bpe_49k.json"
 #: Words that a task remembers; beyond that it starts afresh, which costs time only.
-REMEMBERED = 300_000
+REMEMBERED = 250_000
+PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if it prints, else the next after 255."""
+    prints = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
 def word_bpe_path() -> str:
@@ -30,16 +41,38 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(definition)
+        self.merges = self.library.model
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
+        self.letters = byte_letters()
         self.ids: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return b"".join([i.to_bytes(self.width, "little") for i in ids])
+
+    def _part(self, part: str) -> bytes:
+        """The ids of one token of plain letters, lower-cased, or of punctuation."""
+        found = self.parts.get(part)
+        if found is None:
+            if len(self.parts) >= REMEMBERED:
+                self.parts.clear()
+            spelt = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+            found = self.parts[part] = self._packed([t.id for t in self.merges.tokenize(spelt)])
+        return found
 
     def learn(self, words: Iterable[bytes]) -> None:
         new = [w for w in set(words) if w not in self.ids]
         if len(self.ids) + len(new) > REMEMBERED:
             self.ids.clear()
             new = list(set(words))
-        for word, found in zip(new, self.library.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-            self.ids[word] = np.array(found.ids, f"<u{self.width}").tobytes()
+        rest = []
+        for word in new:
+            if plain := PLAIN.fullmatch(text := word.decode("utf-8", "replace")):
+                self.ids[word] = self._part(plain[1].lower()) + (self._part(plain[2]) if plain[2] else b"")
+            else:
+                rest.append((word, text))
+        for (word, _), found in zip(rest, self.library.encode_batch_fast([t for _, t in rest], add_special_tokens=False), strict=True):
+            self.ids[word] = self._packed(found.ids)
 
     def encode(self, text: bytes) -> bytes:
         words = text.split()
