@@ -76,7 +76,9 @@ class SubwordSoftmax:
             bags.append((ids, np.array(list(count.values()), np.float32)))
         if not vocabulary:
             vocabulary[b""] = 0
-        flat, size = buckets_of(list(vocabulary), self.buckets)
+        known = list(vocabulary)
+        parts = [buckets_of(known[i : i + 20_000], self.buckets) for i in range(0, len(known), 20_000)]  # bounds what is in memory at once
+        flat, size = (np.concatenate(x) for x in zip(*parts, strict=True))
         begin = np.concatenate([[0], np.cumsum(size)[:-1]])
         y = np.array(labels)
         self.bias[:] = np.log((np.bincount(y, minlength=self.classes) + 1) / (len(y) + self.classes))

@@ -1,6 +1,6 @@
 """Toxicity scores of whole texts, from labelled rows.
 
-The model (see subword.py) is fitted on the driver from at most ``max_rows`` labelled rows, those of the
+The model (see subword.py) is fitted on the driver from at most ``max_rows`` labelled rows (8,000), those of the
 least hashed doc_id; their identifiers are chosen from the labels alone and their texts are then fetched
 with a broadcast of at most that many identifiers. Its parameters, about 2 MB whatever the input's size,
 are broadcast; each text is scored where it is read, without a shuffle.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from weftline.llm.subword import SubwordSoftmax
 from weftline.llm.text import whole
 
-MAX_ROWS = 6000
+MAX_ROWS = 8000
 FOLDS, HELD_OUT = 5, 0
 
 
