@@ -24,6 +24,12 @@ def property_of(item: Column, name: str) -> Column:
     return F.try_element_at(item, F.lit(name))
 
 
+def properties_of(item: Column, kinds: dict[str, str]) -> Column:
+    """A struct of typed properties, null where missing; item is computed once, however many are named."""
+    typed = lambda x: F.struct(*[F.try_variant_get(property_of(x, name), "$", kind).alias(name) for name, kind in kinds.items()])
+    return F.get(F.transform(F.array(item), typed), F.lit(0))
+
+
 def key_of(value: Column) -> Column:
     """A variant as a join key. 1, 1.0 and 1e0 are one key, 1 and "1" are two; null and missing have none."""
     number = F.try_variant_get(value, "$", "double")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.paths import fill, identifier
-from weftline.functions.records import key_of, property_of, record
+from weftline.functions.records import key_of, properties_of, property_of, record
 from weftline.operators import endpoints, keyed, sync
 from weftline.operators.graph import graph
 
@@ -42,9 +42,9 @@ def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sync_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    value = lambda name, kind: F.try_variant_get(property_of(F.col("payload"), name), "$", kind).alias(name)
-    payload_id = value("id", "bigint").alias("payload_id")
-    return _plan(spark, sf_dir).select("source_id", "target_id", "action", "has_base", payload_id, value("title", "string"), value("balance", "double"), value("nation", "int"))
+    found = properties_of(F.col("payload"), {"id": "bigint", "title": "string", "balance": "double", "nation": "int"})
+    plan = _plan(spark, sf_dir).select("source_id", "target_id", "action", "has_base", found.alias("p"))
+    return plan.select("source_id", "target_id", "action", "has_base", F.col("p.id").alias("payload_id"), "p.title", "p.balance", "p.nation")
 
 
 def sync_action_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,8 +172,7 @@ def two_pass_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     there = sync.plan_pass(source, target, sync.directed(links, False), constant_map({"name": "title"})).where("action = 'update'")
     written = there.select("ordinal", F.col("payload").alias("item"))
     back = sync.plan_pass(written, source, sync.directed(links, True), constant_map({"title": "name"}))
-    value = lambda name, kind: F.try_variant_get(property_of(F.col("payload"), name), "$", kind).alias(name)
-    return back.select(value("id", "bigint"), value("name", "string"), "action")
+    return back.select(properties_of(F.col("payload"), {"id": "bigint", "name": "string"}).alias("p"), "action").select("p.id", "p.name", "action")
 
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
