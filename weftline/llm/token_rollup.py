@@ -69,6 +69,9 @@ class TokenRollup:
             F.col("doc_id").cast("long").alias("doc_id"), "version", F.struct("seq", "op", F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)).alias("n_tokens"), "source", "lang").alias("x")
         )
         now = rows.groupBy(*key).agg(F.max("x").alias("x")).select(*key, (F.col("x.op") != "delete").alias("alive"), "x.source", "x.lang", "x.n_tokens")
+        # written first and read back: the changes are computed once; without its marker the batch is not seen
+        now.write.mode("overwrite").parquet(self._path("ledger", batch))
+        now = self.spark.read.schema(LEDGER).parquet(self._path("ledger", batch))
         entry = F.struct("batch", "alive", "source", "lang", "n_tokens")
         ledger = self._read("ledger", LEDGER).join(now.select(*key), key, "left_semi") if done else self._read("ledger", LEDGER)
         last = ledger.groupBy(*key).agg(F.max(entry).alias("was"))
@@ -78,7 +81,6 @@ class TokenRollup:
         sides = F.array_compact(F.array(F.when(F.col("alive"), now_side), F.when(F.col("was.alive"), was_side)))
         signed = both.select("version", F.explode(sides).alias("d")).select("version", "d.*")
         delta = signed.groupBy("source", "lang", "version").agg(F.sum("sign").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).alias("n_tokens"))
-        now.write.mode("overwrite").parquet(self._path("ledger", batch))
         delta.write.mode("overwrite").parquet(self._path("delta", batch))
         self.spark.range(1).write.mode("overwrite").parquet(self._path("commits", batch))
         return True
