@@ -5,12 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-#: Extra columns whose names the operators use inside.
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest int, kept int, fp int, row int, tag int, host int, bad int, likely int, n_tokens int, rate int, shard int"
-
-
-def document(doc_id, text, source="s", lang="en"):
-    return (doc_id, text, lang, source, len(text or ""), *range(11))
+from rows import SCHEMA, document  # noqa: E402
 
 
 @pytest.fixture(scope="session")

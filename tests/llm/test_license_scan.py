@@ -2,7 +2,7 @@ import random
 import re
 
 import pytest
-from conftest import SCHEMA, document
+from rows import SCHEMA, document
 
 from weftline.llm.license_scan import TEMPLATES, scan
 

@@ -1,7 +1,7 @@
 import re
 from collections import Counter
 
-from conftest import SCHEMA, document
+from rows import SCHEMA, document
 
 from weftline.llm.line_frequency import clean, line_frequency
 

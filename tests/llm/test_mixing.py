@@ -1,7 +1,7 @@
 import random
 
 import numpy as np
-from conftest import SCHEMA, document
+from rows import SCHEMA, document
 
 from weftline.llm.mixing import DOMAINS, Mixture, labelled_domains
 

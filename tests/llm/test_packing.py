@@ -1,7 +1,7 @@
 import random
 from collections import defaultdict
 
-from conftest import SCHEMA, document
+from rows import SCHEMA, document
 from tokenizers import Tokenizer
 
 from weftline.llm.packing import pack, packed

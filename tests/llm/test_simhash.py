@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 import xxhash
-from conftest import SCHEMA, document
+from rows import SCHEMA, document
 
 from weftline.llm.components import connected_components
 from weftline.llm.scratch import Scratch

@@ -1,7 +1,7 @@
 import random
 import zlib
 
-from conftest import SCHEMA, document
+from rows import SCHEMA, document
 
 from weftline.llm.subword import SubwordSoftmax
 from weftline.llm.toxicity import toxicity
