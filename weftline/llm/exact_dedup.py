@@ -147,16 +147,15 @@ class ExactDedup:
         return found
 
     def keep_first(self) -> DataFrame:
-        """The rows that stay, with the columns of docs. Only likely copies are shuffled."""
+        """The rows that stay, with the columns of docs. Of likely copies one row per digest and task is shuffled."""
         probed = self._probed()
         if self.n_collided:
             probed = probed.join(self.collided, "digest", "left_anti")
         alone = probed.where("not likely").select("row")
-        near = probed.where("likely").select("row", "doc_id", "digest").join(self.shared, "digest", "left")
-        single = near.where("n is null").select("row")
-        # one row a group, but for rows that repeat a doc_id
-        firsts = near.where("n is not null and doc_id <=> first.doc_id").groupBy("digest").agg(F.first("row").alias("row")).select("row")
-        kept = alone.unionByName(single).unionByName(firsts)
+        # the row of the least identifier under each digest, found where the rows are read before one a task is shuffled
+        order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")
+        firsts = probed.where("likely").groupBy("digest").agg(F.min_by(F.col("row"), order).alias("row")).select("row")
+        kept = alone.unionByName(firsts)
         if self.n_collided:
             rows, first_of = self._by_bytes()
             kept = kept.unionByName(rows.join(first_of, ["digest", "norm"]).where("first.tag = tag").select("row"))
