@@ -79,23 +79,26 @@ class ReplyTrees:
         self._climb()
 
     def _climb(self) -> None:
-        """jumps[k]: (tree, node, up), up the 2^k-th ancestor; reached: (tree, node, depth, total) of every node below a root."""
+        """jumps[k]: (tree, node, up), up the 2^k-th ancestor; reached: (tree, node, depth, total) of every node below a root.
+
+        A round takes only nodes that have not met their root, so that long branches cost the short ones nothing.
+        """
         known = self.messages.select("tree", F.col("node").alias("parent"))
         real = self.messages.select("tree", "node", "parent", "score").join(known.withColumn("there", F.lit(True)), ["tree", "parent"], "left")
-        now = real.select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.col("score").alias("total"), F.when(F.col("there"), 1).otherwise(0).cast("long").alias("depth"))
-        now = self.scratch.put(now, "jumps-0")
-        self.jumps, left = [now], now.where("up is not null").count()
-        while left:
-            above = now.select("tree", F.col("node").alias("up"), F.col("up").alias("far"), F.col("total").alias("more"), F.col("depth").alias("further"))
-            now = now.join(above, ["tree", "up"], "left").select(
+        state = real.select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.col("score").alias("total"), F.when(F.col("there"), 1).otherwise(0).cast("long").alias("depth"))
+        state = self.scratch.put(state, "climb-0")
+        self.reached, active = state.where("up is null"), state.where("up is not null")
+        self.jumps, before, left = [], None, active.count()
+        while left and left != before:  # what no longer shrinks climbs in circles
+            self.jumps.append(active)
+            above = active.unionByName(self.reached)
+            above = above.select("tree", F.col("node").alias("up"), F.col("up").alias("far"), F.col("total").alias("more"), F.col("depth").alias("further"))
+            state = active.join(above, ["tree", "up"], "left").select(
                 "tree", "node", F.col("far").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("further", F.lit(0))).alias("depth")
             )
-            now = self.scratch.put(now, f"jumps-{len(self.jumps)}")
-            before, left = left, now.where("up is not null").count()
-            if left == before:  # what is left climbs in circles
-                break
-            self.jumps.append(now)
-        self.reached = now.where("up is null").select("tree", "node", "depth", "total")
+            state = self.scratch.put(state, f"climb-{len(self.jumps)}")
+            self.reached, active = self.reached.unionByName(state.where("up is null")), state.where("up is not null")
+            before, left = left, active.count()
 
     def leaves(self, top: int = 1) -> DataFrame:
         """(tree, leaf, depth, total, rank) of the best branches of each tree."""
@@ -109,7 +112,7 @@ class ReplyTrees:
         """(conv_id, tree, rank, place, role, text): the messages of the chosen paths, place from the root."""
         path = self.scratch.put(self.leaves(top), "leaves").select("tree", "rank", F.col("depth").alias("place"), F.col("leaf").alias("node"))
         for k, jump in enumerate(self.jumps):
-            higher = path.join(jump.where("up is not null").select("tree", "node", "up"), ["tree", "node"])
+            higher = path.join(jump.select("tree", "node", "up"), ["tree", "node"])
             path = path.unionByName(higher.select("tree", "rank", (F.col("place") - 2**k).alias("place"), F.col("up").alias("node")))
             path = self.scratch.put(path, f"path-{k}")
         return path.join(self.messages, ["tree", "node"]).select("conv_id", "tree", "rank", "place", "role", "text")
