@@ -242,20 +242,26 @@ def links(nodes: DataFrame, n: int, scratch: Scratch, radius: int = RADIUS, tile
     return dealt.mapInArrow(_links(radius), "u long, v long")
 
 
-class SimHash:
-    """Fingerprints of a table, their links and components."""
+class Components:
+    """Classes of fingerprints: the components of their links, each named by its least doc_id."""
 
-    def __init__(self, docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE, scratch: Scratch | None = None):
-        self.scratch = scratch or Scratch(docs.sparkSession, "simhash")
-        self.fps = self.scratch.put(fingerprints(docs, shingle), "fingerprints")
-        nodes = self.scratch.put(self.fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-        found = links(nodes, nodes.count(), self.scratch, radius, tile)
+    def _classify(self, nodes: DataFrame, found: DataFrame) -> None:
         roots = connected_components(found, self.scratch)
         rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
         rooted = self.scratch.put(rooted, "rooted")
         least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
         self.classes = rooted.join(least, "root").select("fp", "component_id")
 
+
+class SimHash(Components):
+    """Fingerprints of a table, their links and components."""
+
+    def __init__(self, docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE, scratch: Scratch | None = None):
+        self.scratch = scratch or Scratch(docs.sparkSession, "simhash")
+        self.fps = self.scratch.put(fingerprints(docs, shingle), "fingerprints")
+        nodes = self.scratch.put(self.fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+        self._classify(nodes, links(nodes, nodes.count(), self.scratch, radius, tile))
+
     def report(self) -> DataFrame:
         """One row per document: doc_id, fingerprint, component_id."""
         return self.fps.join(self.classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -270,7 +276,11 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
     Of rows that repeat that doc_id with the same text one stays. Rows that surely stay are not shuffled.
     """
-    found = SimHash(docs, **options)
+    return keep_one_of(SimHash(docs, **options), docs)
+
+
+def keep_one_of(found: Components, docs: DataFrame) -> DataFrame:
+    """keep_one by components that are at hand."""
     key = ["doc_id", "text_hash"]
     verdict = found.fps.join(found.classes, "fp").select(*key, F.col("doc_id").eqNullSafe(F.col("component_id")).alias("stays"))
     verdict = verdict.groupBy(*key).agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n")).where("not stays or n > 1")
