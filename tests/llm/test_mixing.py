@@ -2,8 +2,10 @@ import random
 
 import numpy as np
 from rows import SCHEMA, document
+from tokenizers import Tokenizer
 
 from weftline.llm.mixing import DOMAINS, Mixture, labelled_domains
+from weftline.llm.tokenizing import word_bpe_path
 
 
 def themed(spark, n=240):
@@ -45,3 +47,13 @@ def test_tricky_rows_and_empty_table(spark, tricky, empty):
     assert len(rows) == tricky.count() and all(r.rate >= 0 for r in rows)
     none = Mixture(empty, labelled_domains(labels), list(DOMAINS.values()))
     assert none.rates().collect() == [] and none.mixed().collect() == []
+
+
+def test_tokens_are_those_of_the_tokenizer(spark):
+    texts = ["plain words here", "no" * 400, "水清い川" * 50, "café, déjà-vu!"]
+    docs = spark.createDataFrame([document(i, t) for i, t in enumerate(texts)], SCHEMA)
+    labelled = spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, domain int")
+    got = {r.doc_id: r.n_tokens for r in Mixture(docs, labelled, [0.5, 0.5]).rates().collect()}
+    library = Tokenizer.from_file(word_bpe_path())
+    assert got == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    assert got[2] > 50

@@ -2,7 +2,8 @@
 
 A classifier learned from a table of labelled documents (see subword.py; at most ``max_rows`` labelled
 rows, as in toxicity.py) gives each document a posterior p over domains. Rates r >= 0 are then fitted so
-that the expected token totals of the domains, sum of r * tokens * p, meet the targets: least squares on
+that the expected token totals of the domains, sum of r * tokens * p, meet the targets, with tokens of the
+public tokenizer (see tokenizing.py): least squares on
 the differences, by projected gradient from r = 1. Gradients are scaled by the second moments of the
 documents that can still move, and a step that does not lower the loss is halved.
 
@@ -31,8 +32,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.scratch import Scratch
-from weftline.llm.subword import SubwordSoftmax, words_of
+from weftline.llm.subword import SubwordSoftmax
 from weftline.llm.text import whole
+from weftline.llm.tokenizing import SharedTokenizer, word_bpe_path
 from weftline.llm.toxicity import training_rows
 
 MAX_ROWS = 4000
@@ -40,15 +42,15 @@ STEPS = 15
 TOLERANCE = 1e-6
 
 
-def _scored(docs: DataFrame, shared, classes: int) -> DataFrame:
+def _scored(docs: DataFrame, shared, tokens: SharedTokenizer, classes: int) -> DataFrame:
     """(doc_id, text_hash, n_tokens, p0, p1, ...)"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = SubwordSoftmax.of(shared.value)
+        model, tokenizer = SubwordSoftmax.of(shared.value), tokens.tokenizer()
         for batch in batches:
             texts = batch.column(2).to_pylist()
             p = np.array([model.posterior(t) for t in texts], np.float64).reshape(-1, classes)
-            n = pa.array([len(words_of(t)) for t in texts], pa.int64())
+            n = pa.array([tokenizer.count(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, *[pa.array(p[:, k]) for k in range(classes)]], names)
 
     names = ["doc_id", "text_hash", "n_tokens", *[f"p{k}" for k in range(classes)]]
@@ -60,13 +62,14 @@ def _scored(docs: DataFrame, shared, classes: int) -> DataFrame:
 class Mixture:
     """Fitted on docs. labelled: (doc_id, domain), domain the position in ``targets``, the wanted shares."""
 
-    def __init__(self, docs: DataFrame, labelled: DataFrame, targets: list[float], max_rows: int = MAX_ROWS, scratch: Scratch | None = None):
+    def __init__(self, docs: DataFrame, labelled: DataFrame, targets: list[float], max_rows: int = MAX_ROWS, scratch: Scratch | None = None, tokenizer: str | None = None):
         self.docs, self.classes = docs, len(targets)
         self.scratch = scratch or Scratch(docs.sparkSession, "mixing")
         rows = training_rows(docs, labelled, F.col("domain"), max_rows)
         model = SubwordSoftmax(self.classes).fit([bytes(r.text) for r in rows], [r.label for r in rows])
         self.shared = docs.sparkSession.sparkContext.broadcast(model.state())
-        self.scored = self.scratch.put(_scored(docs, self.shared, self.classes), "scored")
+        tokens = SharedTokenizer(docs.sparkSession, tokenizer or word_bpe_path())
+        self.scored = self.scratch.put(_scored(docs, self.shared, tokens, self.classes), "scored")
         self.p = [F.col(f"p{k}") for k in range(self.classes)]
         wanted = np.array(targets, float)
         self.steps = self._fit(wanted / wanted.sum())
