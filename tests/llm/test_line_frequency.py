@@ -1,6 +1,7 @@
 import re
 from collections import Counter
 
+from corpus_pipeline import quality_rules
 from rows import SCHEMA, document
 
 from weftline.llm.line_frequency import clean, line_frequency
@@ -45,3 +46,19 @@ def test_frequent_lines_go_and_depleted_documents_are_rejected(spark):
 def test_empty_table(empty):
     assert line_frequency(empty).collect() == []
     assert clean(empty).collect() == [] and clean(empty).columns == empty.columns
+
+
+def test_long_lines_and_large_hosts_keep_no_boilerplate(spark):
+    legal = " ".join(f"legal{i}" for i in range(60))
+    rows = [document(i, f"{prose(i, 90)}\n{legal}", "a") for i in range(30)]
+    rows += [document(1000 + i, prose(1000 + i) + ("\nshare this page" if i < 40 else ""), "b") for i in range(600)]  # 40 of 600: under a tenth, over the root
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for limits in ({}, {"host_keys": 1}, {"broadcast_keys": 1}):
+        out = {r.doc_id: r.text for r in clean(docs, share=None, max_words=None, **limits).collect()}
+        assert out == {i: prose(i, 90) for i in range(30)} | {1000 + i: prose(1000 + i) for i in range(600)}
+
+
+def test_pipeline_cleans_long_lines(spark):
+    legal = " ".join(f"legal{i}" for i in range(60))
+    docs = spark.createDataFrame([document(i, f"{prose(i, 90)}\n{legal}", "a") for i in range(30)], SCHEMA)
+    assert {r.text for r in quality_rules(spark, docs, "").collect()} == {prose(i, 90) for i in range(30)}

@@ -4,13 +4,17 @@ Lines are normalised (lower case, white space squeezed, trimmed) and hashed to 1
 (``source``) the distinct documents that hold a line are counted: rows of a host with equal text count
 as one document, so that copies of a page do not make its lines boilerplate. A line is removed if
 over max(MIN_DOCUMENTS, SHARE of the host's documents) hold it and it has at most MAX_LINE_WORDS words
-(longer lines are passages, the concern of deduplication). A document is depleted, and rejected, if
-removed lines held over DEPLETED of its words. Base rules reject short and repetitive documents.
+(these are the limits of op1's SQL). With max_words None lines of every length are counted, and with share
+None the limit is max(MIN_DOCUMENTS, square root of the host's documents), which a large host's boilerplate
+cannot hide below; the pipeline uses both. A document is depleted, and rejected, if removed lines held over
+DEPLETED of its words. Base rules reject short and repetitive documents.
 
 All of it is DataFrame functions. Lines are counted from one row per host and distinct text, which
 pre-aggregation makes before the shuffle; the counts are pre-aggregated too, so that a line that every
-document has sends one row a task. A host has fewer than 1 / SHARE times its mean number of lines per
-document as removable lines, so that they travel as one short array per host.
+document has sends one row a task. Few removable lines, as with a share there always are
+in a host (fewer than 1 / SHARE times its mean number of lines per document), travel as one short array per
+host. Over BROADCAST_KEYS of them, or HOST_KEYS of one host, lines are joined with them by host and key,
+salted, and each text gets the array of its own removable lines.
 
 Defined results: a null text has no words and fails the base rules; a null source is the empty host;
 lines without a word are never counted nor removed; rows that repeat a document are judged alike.
@@ -33,6 +37,10 @@ MIN_WORDS = 50
 REPEAT_PERCENT = 50
 #: Keys and hosts, of some 50 bytes each, that are broadcast at most.
 BROADCAST_KEYS = 200_000
+#: Removable lines of one host that are searched as an array at most.
+HOST_KEYS = 512
+#: Parts into which a line's documents are dealt when lines are joined.
+SALTS = 16
 SYMBOLS = "#*$%&|<>"
 
 
@@ -55,22 +63,45 @@ def _host(docs: DataFrame) -> Column:
     return F.coalesce(docs["source"].cast("string"), F.lit(""))
 
 
-def removable(docs: DataFrame, scratch: Scratch, min_documents: int = MIN_DOCUMENTS, share: float = SHARE, max_words: int = MAX_LINE_WORDS) -> DataFrame:
-    """(host, bad): the keys of each host's removable lines."""
+def _text_key(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2")]
+
+
+def removable(
+    docs: DataFrame,
+    scratch: Scratch,
+    min_documents: int = MIN_DOCUMENTS,
+    share: float | None = SHARE,
+    max_words: int | None = MAX_LINE_WORDS,
+    broadcast_keys: int = BROADCAST_KEYS,
+    host_keys: int = HOST_KEYS,
+) -> DataFrame:
+    """(host, bad): the keys of each host's removable lines; if they are many, (host, t1, t2, bad): those of each text."""
     text = whole(F.col("text"))
-    keys = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: line_words(x) <= max_words), line_key))
-    texts = docs.select(_host(docs).alias("host"), text.alias("text")).select("host", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2"), keys.alias("keys"))
+    lines = _lines(F.col("text"))
+    if max_words is not None:
+        lines = F.filter(lines, lambda x: line_words(x) <= max_words)
+    keys = F.array_distinct(F.transform(lines, line_key))
+    texts = docs.select(_host(docs).alias("host"), text.alias("text")).select("host", *_text_key(F.col("text")), keys.alias("keys"))
     texts = texts.groupBy("host", "t1", "t2").agg(F.first("keys").alias("keys"))
     # the null key stands for the document itself, and so counts the host's documents
     marks = F.concat(F.col("keys"), F.array(F.lit(None).cast("struct<a:bigint,b:bigint>")))
     counts = texts.select("host", F.explode(marks).alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
     counts = scratch.put(counts.where(F.col("key").isNull() | (F.col("n") > min_documents)), "line-counts")
-    hosts = counts.where("key is null").select("host", F.greatest(F.lit(float(min_documents)), F.col("n") * share).alias("most"))
-    bad = counts.where("key is not null").join(hosts, "host").where("n > most")
-    bad = scratch.put(bad.groupBy("host").agg(F.collect_list("key").alias("bad")), "removable")
-    keys = bad.agg(F.sum(F.lit(1) + F.size("bad"))).first()[0] or 0
-    # beyond this size the join is Spark's to plan: it shuffles the texts by host and splits large hosts
-    return F.broadcast(bad) if keys <= BROADCAST_KEYS else bad
+    limit = F.sqrt("n") if share is None else F.col("n") * share
+    hosts = counts.where("key is null").select("host", F.greatest(F.lit(float(min_documents)), limit).alias("most"))
+    bad = counts.where("key is not null").join(hosts, "host").where("n > most").select("host", "key")
+    bad = scratch.put(bad, "removable")
+    total, most = bad.groupBy("host").agg((F.count(F.lit(1)) + 1).alias("n")).agg(F.sum("n"), F.max("n")).first()
+    if (total or 0) <= broadcast_keys and (most or 0) <= host_keys:
+        return F.broadcast(bad.groupBy("host").agg(F.collect_list("key").alias("bad")))
+    found = texts.select("host", "t1", "t2", F.explode("keys").alias("key"))
+    if total <= broadcast_keys:
+        found = found.join(F.broadcast(bad), ["host", "key"])
+    else:
+        salted = bad.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = found.withColumn("salt", F.pmod("t2", F.lit(SALTS)).cast("int")).join(salted, ["host", "key", "salt"])
+    return scratch.put(found.groupBy("host", "t1", "t2").agg(F.collect_list("key").alias("bad")), "removable-by-text")
 
 
 def repeat_words(trigrams: Column) -> Column:
@@ -90,7 +121,10 @@ def repeat_words(trigrams: Column) -> Column:
 def measured(docs: DataFrame, bad: DataFrame) -> DataFrame:
     """docs as (row, text, lines, bad, ...) with the base counts, removed_words and the verdicts."""
     rows = docs.select(F.struct(*docs.columns).alias("row"), _host(docs).alias("host"), whole(F.col("text")).alias("text"))
-    rows = rows.join(bad, "host", "left")
+    if "t1" in bad.columns:
+        rows = rows.select("*", *_text_key(F.col("text"))).join(bad, ["host", "t1", "t2"], "left")
+    else:
+        rows = rows.join(bad, "host", "left")
     rows = rows.withColumn("w", F.array_remove(F.split("text", SPACE + "+"), ""))
     rows = rows.withColumn("lines", F.split("text", "\n"))
     rows = rows.withColumn("g", F.transform(F.expr("slice(w, 1, greatest(size(w) - 2, 0))"), lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2))))
