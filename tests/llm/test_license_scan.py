@@ -46,3 +46,14 @@ def test_tricky_rows_and_empty_table(tricky, empty):
 def test_short_templates_are_refused(tricky):
     with pytest.raises(ValueError):
         scan(tricky, {"x": "All rights reserved."})
+
+
+def test_short_notices_are_found_whole(spark):
+    texts = ["All rights reserved.", "some words, ALL  RIGHTS\nreserved! and all rights reserved", "all rights are reserved", "All rights", "x Released under the MIT License. All rights reserved."]
+    docs = spark.createDataFrame([document(i, t) for i, t in enumerate(texts)], SCHEMA)
+    got = {(r.doc_id, r.license, r.containment, r.first_word) for r in scan(docs).collect()}
+    name = "All-rights-reserved"
+    assert got == {(0, name, 1.0, 0), (1, name, 1.0, 2), (4, name, 1.0, 6), (4, "MIT", 1.0, 1)}
+    assert [(r.doc_id, r.license) for r in scan(docs, {"own": "no such words in any text"}, short={"x": "are reserved"}).collect()] == [(2, "x")]
+    with pytest.raises(ValueError):
+        scan(docs, short={"x": "..."})

@@ -15,8 +15,8 @@ sketches of windows never leave the task that reads the text.
 
 Defined results: a null or wordless text has no notice. One row per document and template, with the best
 containment and of equal ones the first word's place; rows that repeat a document give one row.
-An empty table gives no rows. Templates of fewer words than a shingle are refused. Extra columns are
-ignored.
+An empty table gives no rows. Notices of fewer words than a shingle are refused as templates and given as
+short ones: one shingle of all their words, found where those words follow each other. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -55,15 +55,18 @@ TEMPLATES = {
         MPL was not distributed with this file, You can obtain one at""",
 }
 
+#: Notices of fewer words than a shingle.
+SHORT_TEMPLATES = {"All-rights-reserved": "All rights reserved."}
+
 
 def license_words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(whole(text)), r"[^\p{L}\p{N}]+"), "")
 
 
-def shingles(words: Column) -> Column:
+def shingles(words: Column, size: int = SHINGLE) -> Column:
     """Hashes of the shingles, in order."""
-    heads = lambda w: F.slice(w, 1, F.greatest(F.size(w) - (SHINGLE - 1), F.lit(0)))
-    return bind(words, lambda w: F.transform(heads(w), lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, SHINGLE)])))
+    heads = lambda w: F.slice(w, 1, F.greatest(F.size(w) - (size - 1), F.lit(0)))
+    return bind(words, lambda w: F.transform(heads(w), lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, size)])))
 
 
 def sketch(hashes: Column, bands: int) -> Column:
@@ -97,21 +100,42 @@ def template_table(spark: SparkSession, templates: dict[str, str] | None = None)
     return rows.select("license", window_length(F.size("w")).alias("length"), F.array_distinct(shingles(F.col("w"))).alias("parts"))
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = CONTAINMENT, bands: int = BANDS) -> DataFrame:
-    """doc_id, license, containment, first_word: each template that a document holds."""
+def short_table(spark: SparkSession, short: dict[str, str]) -> DataFrame:
+    """(license, length, parts): the one shingle of each short template, whose length is its words'."""
+    rows = spark.createDataFrame(list(short.items()), "license string, text string").select("license", license_words(F.col("text")).alias("w"))
+    if wrong := rows.where((F.size("w") == 0) | (F.size("w") >= SHINGLE)).first():
+        raise ValueError(f"short template {wrong.license} must have 1 to {SHINGLE - 1} words")
+    part = F.coalesce(*[F.when(F.size("w") == m, shingles(F.col("w"), m)) for m in range(1, SHINGLE)])
+    return rows.select("license", F.size("w").alias("length"), part.alias("parts"))
+
+
+def short_hits(words: Column, size: int, hashes: list[int]) -> Column:
+    """The first place of each short template of so many words, as a window of one shingle."""
+    hit = lambda h, s: F.struct(F.lit(size).alias("length"), (F.array_position(h, s) - 1).cast("int").alias("start"), F.array(s).alias("part"))
+    return bind(shingles(words, size), lambda h: F.transform(F.array_intersect(h, F.lit(hashes).cast("array<bigint>")), lambda s: hit(h, s)))
+
+
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = CONTAINMENT, bands: int = BANDS, short: dict[str, str] | None = None) -> DataFrame:
+    """doc_id, license, containment, first_word: each template that a document holds. Own templates come without short ones."""
     known = template_table(docs.sparkSession, templates)
+    brief = short_table(docs.sparkSession, (SHORT_TEMPLATES if templates is None else {}) if short is None else short)
+    sizes: dict[int, list[int]] = {}
+    for r in brief.collect():
+        sizes.setdefault(r.length, []).append(r.parts[0])
     # the templates are given by the caller, at hand on the driver: their shingles are few, and checked
     parts = sorted({h for r in known.select("parts").collect() for h in r.parts})
-    if len(parts) > MAX_TEMPLATE_SHINGLES:
-        raise ValueError(f"templates have {len(parts)} shingles; at most {MAX_TEMPLATE_SHINGLES} are allowed")
+    if len(parts) + sum(map(len, sizes.values())) > MAX_TEMPLATE_SHINGLES:
+        raise ValueError(f"templates have {len(parts) + sum(map(len, sizes.values()))} shingles; at most {MAX_TEMPLATE_SHINGLES} are allowed")
     some = F.lit(parts).cast("array<bigint>")
     lengths = sorted(r.length for r in known.select("length").distinct().collect())
     near = lambda h: F.when(F.arrays_overlap(h, some), F.concat(*[windows_of(h, n, some) for n in lengths]))
+    nothing = F.array().cast("array<struct<length:int,start:int,part:array<bigint>>>")
+    every = lambda w: F.concat(F.coalesce(bind(shingles(w), near), nothing), *[short_hits(w, m, hashes) for m, hashes in sorted(sizes.items())])
     # an outer explode, filtered after it: the optimizer then computes a text's shingles once
-    windows = docs.select("doc_id", F.explode_outer(bind(shingles(license_words(F.col("text"))), near)).alias("at"))
+    windows = docs.select("doc_id", F.explode_outer(bind(license_words(F.col("text")), every)).alias("at"))
     windows = windows.where("at is not null").select("doc_id", "at.*")
     met = windows.select("doc_id", "length", "start", "part", F.explode(sketch(F.array_distinct("part"), bands)).alias("b")).select("doc_id", "length", "start", "part", "b.band", "b.least")
-    own = known.select("license", "length", "parts", F.explode(sketch(F.col("parts"), bands)).alias("b")).select("license", "length", "parts", "b.band", "b.least")
+    own = known.unionByName(brief).select("license", "length", "parts", F.explode(sketch(F.col("parts"), bands)).alias("b")).select("license", "length", "parts", "b.band", "b.least")
     met = met.join(F.broadcast(own), ["length", "band", "least"])
     share = F.size(F.array_intersect("parts", "part")) / F.size("parts")
     first = F.col("start") + F.array_position(F.transform("part", lambda h: F.array_contains("parts", h)), True) - 1
