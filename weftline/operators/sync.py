@@ -14,13 +14,14 @@ CREATE, UPDATE = "create", "update"
 def plan_pass(source: DataFrame, target: DataFrame, id_map: DataFrame, dictionary: Column) -> DataFrame:
     """(ordinal, source_id, target_id, has_base, action, payload) of every item of source.
 
-    source, target: (ordinal, item); id_map: (ordinal, source_id, target_id) keys of this direction.
+    source, target: (ordinal, item), target also with target_id if its rows were asked for by key; id_map: (ordinal, source_id, target_id) keys of this direction.
     dictionary: map of source to target properties. An item whose link names no row of target is still an
     update, on an empty base. An item without an id joins nothing and is created.
     """
     links = first_match(id_map.select("ordinal", "source_id", "target_id").where("source_id is not null"), ["source_id"])
     links = links.where(linked(F.col("target_id"))).select("source_id", "target_id")
-    rows = target.select("ordinal", key_of(property_of(F.col("item"), "id")).alias("target_id"), F.col("item").alias("base"))
+    target_key = F.col("target_id") if "target_id" in target.columns else key_of(property_of(F.col("item"), "id"))
+    rows = target.select("ordinal", target_key.alias("target_id"), F.col("item").alias("base"))
     rows = first_match(rows.where("target_id is not null"), ["target_id"]).select("target_id", "base")
     items = source.select("ordinal", key_of(property_of(F.col("item"), "id")).alias("source_id"), "item")
     joined = items.join(links, "source_id", "left").join(rows, "target_id", "left")

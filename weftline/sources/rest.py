@@ -71,6 +71,22 @@ def scan(spark: SparkSession, url: str) -> DataFrame:
     return rows.select("ordinal", record(F.col("item_json")).alias("item"))
 
 
+def fetch(requests: DataFrame) -> DataFrame:
+    """(ordinal, target_id, item) of single items, asked for by (target_id, url, method) in tasks."""
+    from weftline.functions.records import record
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            if left := next((r["url"] for r in rows if unfilled(r["url"])), None):
+                raise ValueError(f"unfilled path {left}")
+            items = [json.dumps(call(r["url"], r["method"]), ensure_ascii=False) for r in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.string())], ["target_id", "item_json"])
+
+    rows = requests.select("target_id", "url", "method").mapInArrow(run, "target_id string, item_json string")
+    return rows.select(F.lit(0).cast("long").alias("ordinal"), "target_id", record(F.col("item_json")).alias("item"))
+
+
 def write(requests: DataFrame) -> DataFrame:
     """Send (source_id, url, method, body, key); (source_id, response_id_json, error) of each.
 

@@ -11,13 +11,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from weftline.functions.paths import fill
 from weftline.functions.records import key_of
 from weftline.operators.keyed import latest
-from weftline.operators.sync import CREATE, directed, plan_pass
+from weftline.operators.sync import CREATE, UPDATE, directed, plan_pass
 from weftline.sources import rest
 from weftline.sources.catalog import Catalog
 
@@ -28,11 +28,16 @@ def id_pairs(catalog: Catalog, mapping_id: str) -> DataFrame:
     return latest(log, ["mapping_id", "a_id"]).select(F.col("seq").alias("ordinal"), "a_id", "b_id")
 
 
+def path_of(endpoint: Row) -> Column:
+    """The path of an endpoint with the key target_id filled in."""
+    value = F.regexp_replace("target_id", '^"|"$', "")  # string keys are quoted
+    names = F.array(*[F.lit(p.name) for p in (endpoint.parameters or [])]).cast("array<string>")
+    return fill(F.lit(endpoint.path), names, F.create_map(F.lit("id"), value))
+
+
 def requests_of(plan: DataFrame, base_url: str, create: Row, update: Row, mapping_id: str) -> DataFrame:
     """Planned rows as (source_id, url, method, body, key, action)."""
-    value = F.regexp_replace("target_id", '^"|"$', "")  # string keys are quoted
-    names = F.array(*[F.lit(p.name) for p in (update.parameters or [])]).cast("array<string>")
-    filled = fill(F.lit(update.path), names, F.create_map(F.lit("id"), value))
+    filled = path_of(update)
     is_create = F.col("action") == CREATE
     return plan.select(
         "source_id",
@@ -44,7 +49,7 @@ def requests_of(plan: DataFrame, base_url: str, create: Row, update: Row, mappin
     )
 
 
-def run_pass(catalog: Catalog, mapping: Row, reverse: bool, scan: Callable, write: Callable, work: str) -> int | None:
+def run_pass(catalog: Catalog, mapping: Row, reverse: bool, scan: Callable, write: Callable, work: str, fetch: Callable = rest.fetch) -> int | None:
     """Plan and apply one directed pass; rows applied, None if the mapping does not allow it."""
     spark = catalog.spark
     source, target = mapping.parts[::-1] if reverse else mapping.parts
@@ -58,10 +63,16 @@ def run_pass(catalog: Catalog, mapping: Row, reverse: bool, scan: Callable, writ
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
     items = kept(scan(spark, urls[source.api] + source.getAll.path), "source")
-    bases = scan(spark, urls[target.api] + target.getAll.path) if target.getAll else items.limit(0)
     dictionary = F.create_map(*[F.lit(x) for pair in source.fieldMapping.items() for x in pair]) if source.fieldMapping else F.create_map().cast("map<string,string>")
-    plan = plan_pass(items, bases, directed(id_pairs(catalog, mapping.id), reverse), dictionary)
-    if not target.getAll:  # without a way to see the target, linked items cannot be updated
+    pairs = directed(id_pairs(catalog, mapping.id), reverse)
+    if target.getOne:  # linked items are asked for one by one, in tasks: a list may not show all their properties
+        known = plan_pass(items, items.limit(0), pairs, dictionary).where(F.col("action") == UPDATE).select("target_id").distinct()
+        asked = known.select("target_id", F.concat(F.lit(urls[target.api]), path_of(target.getOne)).alias("url"), F.lit(target.getOne.method).alias("method"))
+        bases = kept(fetch(asked), "bases")
+    else:
+        bases = scan(spark, urls[target.api] + target.getAll.path) if target.getAll else items.limit(0)
+    plan = plan_pass(items, bases, pairs, dictionary)
+    if not (target.getOne or target.getAll):  # without a way to see the target, linked items cannot be updated
         plan = plan.where(F.col("action") == CREATE)
     requests = kept(requests_of(plan, urls[target.api], target.create, target.update, mapping.id), "requests")
     answers = kept(write(requests), "answers")
@@ -74,12 +85,12 @@ def run_pass(catalog: Catalog, mapping: Row, reverse: bool, scan: Callable, writ
     return requests.count()
 
 
-def run_round(catalog: Catalog, scan: Callable = rest.scan, write: Callable = rest.write, work: str | None = None) -> dict[str, str | list]:
+def run_round(catalog: Catalog, scan: Callable = rest.scan, write: Callable = rest.write, work: str | None = None, fetch: Callable = rest.fetch) -> dict[str, str | list]:
     """Both passes of every mapping; per mapping the rows applied by each pass, or the error that ended it."""
     report: dict[str, str | list] = {}
     for mapping in catalog.mappings().collect():  # the catalog of mappings, not records
         try:
-            report[mapping.id] = [run_pass(catalog, mapping, reverse, scan, write, work or f"{catalog.root}/work") for reverse in (False, True)]
+            report[mapping.id] = [run_pass(catalog, mapping, reverse, scan, write, work or f"{catalog.root}/work", fetch) for reverse in (False, True)]
         except Exception as error:
             report[mapping.id] = f"{type(error).__name__}: {str(error)[:300]}"
     return report
