@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from weftline.llm.bloom import with_likely
 from weftline.llm.components import connected_components
 from weftline.llm.scratch import Scratch
-from weftline.llm.text import whole
+from weftline.llm.text import row_of, whole
 
 SHINGLE = 4
 RADIUS = 4
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 def keyed(docs: DataFrame) -> DataFrame:
     """(row, doc_id, text_hash, text)"""
     text = whole(F.col("text"))
-    return docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return docs.select(row_of(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:
