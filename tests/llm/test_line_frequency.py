@@ -5,6 +5,7 @@ from corpus_pipeline import quality_rules
 from rows import SCHEMA, document
 
 from weftline.llm.line_frequency import clean, line_frequency
+from weftline.llm.queries import op1_line_frequency
 
 
 def brute(text):
@@ -54,7 +55,7 @@ def test_long_lines_and_large_hosts_keep_no_boilerplate(spark):
     rows += [document(1000 + i, prose(1000 + i) + ("\nshare this page" if i < 40 else ""), "b") for i in range(600)]  # 40 of 600: under a tenth, over the root
     docs = spark.createDataFrame(rows, SCHEMA)
     for limits in ({}, {"host_keys": 1}, {"broadcast_keys": 1}):
-        out = {r.doc_id: r.text for r in clean(docs, share=None, max_words=None, **limits).collect()}
+        out = {r.doc_id: r.text for r in clean(docs, **limits).collect()}
         assert out == {i: prose(i, 90) for i in range(30)} | {1000 + i: prose(1000 + i) for i in range(600)}
 
 
@@ -62,3 +63,17 @@ def test_pipeline_cleans_long_lines(spark):
     legal = " ".join(f"legal{i}" for i in range(60))
     docs = spark.createDataFrame([document(i, f"{prose(i, 90)}\n{legal}", "a") for i in range(30)], SCHEMA)
     assert {r.text for r in quality_rules(spark, docs, "").collect()} == {prose(i, 90) for i in range(30)}
+
+
+def test_column_names_with_dots(spark):
+    docs = spark.createDataFrame([document(i, prose(i)) for i in range(3)], SCHEMA).withColumnRenamed("kept", "a.b").withColumnRenamed("row", "row.`x")
+    out = clean(docs)
+    assert out.columns == docs.columns and out.count() == 3
+
+
+def test_long_boilerplate_is_removed_by_the_query(spark, tmp_path):
+    """A footer of 60 words on 30 pages of a host makes two thirds of their words."""
+    footer = " ".join(f"foot{i}" for i in range(60))
+    spark.createDataFrame([document(i, f"{prose(i, 30)}\n{footer}", "a") for i in range(30)], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = op1_line_frequency(spark, str(tmp_path)).collect()
+    assert {(r.removed_words, r.kept, r.base_failed) for r in rows} == {(60, False, False)}

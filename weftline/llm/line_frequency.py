@@ -2,19 +2,16 @@
 
 Lines are normalised (lower case, white space squeezed, trimmed) and hashed to 128 bits. Per host
 (``source``) the distinct documents that hold a line are counted: rows of a host with equal text count
-as one document, so that copies of a page do not make its lines boilerplate. A line is removed if
-over max(MIN_DOCUMENTS, SHARE of the host's documents) hold it and it has at most MAX_LINE_WORDS words
-(these are the limits of op1's SQL). With max_words None lines of every length are counted, and with share
-None the limit is max(MIN_DOCUMENTS, square root of the host's documents), which a large host's boilerplate
-cannot hide below; the pipeline uses both. A document is depleted, and rejected, if removed lines held over
-DEPLETED of its words. Base rules reject short and repetitive documents.
+as one document, so that copies of a page do not make its lines boilerplate. Lines of every length are
+counted. A line is removed if over MIN_DOCUMENTS documents hold it and over the square root of the
+host's documents, a limit that a large host's boilerplate cannot hide below. A document is depleted, and
+rejected, if removed lines held over DEPLETED of its words. Base rules reject short and repetitive documents.
 
 All of it is DataFrame functions. Lines are counted from one row per host and distinct text, which
 pre-aggregation makes before the shuffle; the counts are pre-aggregated too, so that a line that every
-document has sends one row a task. Few removable lines, as with a share there always are
-in a host (fewer than 1 / SHARE times its mean number of lines per document), travel as one short array per
-host. Over BROADCAST_KEYS of them, or HOST_KEYS of one host, lines are joined with them by host and key,
-salted, and each text gets the array of its own removable lines.
+document has sends one row a task. Few removable lines travel as one short array per host. Over
+BROADCAST_KEYS of them, or HOST_KEYS of one host, lines are joined with them by host and key, salted, and
+each text gets the array of its own removable lines; the result is the same.
 
 Defined results: a null text has no words and fails the base rules; a null source is the empty host;
 lines without a word are never counted nor removed; rows that repeat a document are judged alike.
@@ -27,11 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.scratch import Scratch
-from weftline.llm.text import SPACE, bind, whole
+from weftline.llm.text import SPACE, bind, row_of, whole
 
 MIN_DOCUMENTS = 10
-SHARE = 0.1
-MAX_LINE_WORDS = 40
 DEPLETED = 0.5
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
@@ -71,26 +66,21 @@ def removable(
     docs: DataFrame,
     scratch: Scratch,
     min_documents: int = MIN_DOCUMENTS,
-    share: float | None = SHARE,
-    max_words: int | None = MAX_LINE_WORDS,
     broadcast_keys: int = BROADCAST_KEYS,
     host_keys: int = HOST_KEYS,
 ) -> DataFrame:
     """(host, bad): the keys of each host's removable lines; if they are many, (host, t1, t2, bad): those of each text."""
     text = whole(F.col("text"))
-    lines = _lines(F.col("text"))
-    if max_words is not None:
-        lines = F.filter(lines, lambda x: line_words(x) <= max_words)
-    keys = F.array_distinct(F.transform(lines, line_key))
+    keys = F.array_distinct(F.transform(_lines(F.col("text")), line_key))
     texts = docs.select(_host(docs).alias("host"), text.alias("text")).select("host", *_text_key(F.col("text")), keys.alias("keys"))
     texts = texts.groupBy("host", "t1", "t2").agg(F.first("keys").alias("keys"))
     # the null key stands for the document itself, and so counts the host's documents
     marks = F.concat(F.col("keys"), F.array(F.lit(None).cast("struct<a:bigint,b:bigint>")))
     counts = texts.select("host", F.explode(marks).alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
     counts = scratch.put(counts.where(F.col("key").isNull() | (F.col("n") > min_documents)), "line-counts")
-    limit = F.sqrt("n") if share is None else F.col("n") * share
-    hosts = counts.where("key is null").select("host", F.greatest(F.lit(float(min_documents)), limit).alias("most"))
-    bad = counts.where("key is not null").join(hosts, "host").where("n > most").select("host", "key")
+    hosts = counts.where("key is null").select("host", F.col("n").alias("host_documents"))
+    # few keys are left of a host at this point, and one row a host: a hot host is a skewed join that Spark splits
+    bad = counts.where("key is not null").join(hosts, "host").where("n * n > host_documents").select("host", "key")
     bad = scratch.put(bad, "removable")
     total, most = bad.groupBy("host").agg((F.count(F.lit(1)) + 1).alias("n")).agg(F.sum("n"), F.max("n")).first()
     if (total or 0) <= broadcast_keys and (most or 0) <= host_keys:
@@ -120,7 +110,7 @@ def repeat_words(trigrams: Column) -> Column:
 
 def measured(docs: DataFrame, bad: DataFrame) -> DataFrame:
     """docs as (row, text, lines, bad, ...) with the base counts, removed_words and the verdicts."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), _host(docs).alias("host"), whole(F.col("text")).alias("text"))
+    rows = docs.select(row_of(docs).alias("row"), _host(docs).alias("host"), whole(F.col("text")).alias("text"))
     if "t1" in bad.columns:
         rows = rows.select("*", *_text_key(F.col("text"))).join(bad, ["host", "t1", "t2"], "left")
     else:
@@ -167,4 +157,5 @@ def clean(docs: DataFrame, scratch: Scratch | None = None, **limits) -> DataFram
     # an outer explode, filtered after it: a plain filter would be pushed down and measure each text twice
     out = measured(docs, bad).select("row", F.explode_outer(F.when(F.col("kept"), F.array(text))).alias("rest")).where("rest is not null")
     values = {"text": F.col("rest"), "n_chars": F.length("rest").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
-    return out.select(*[values.get(c, F.col(f"row.`{c}`")).alias(c) if values.get(c) is not None else F.col(f"row.`{c}`") for c in docs.columns])
+    fields = {c: F.col("row").getField(c) for c in docs.columns}
+    return out.select(*[(values[c] if values.get(c) is not None else fields[c]).alias(c) for c in docs.columns])

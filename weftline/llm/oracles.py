@@ -29,8 +29,8 @@ WITH docs AS (
 ), hosts AS (
   SELECT host, count(DISTINCT text) AS host_docs FROM docs GROUP BY host
 ), bad AS (
-  SELECT s.host, s.norm FROM sized s JOIN hosts h ON s.host = h.host WHERE s.n <= 40
-  GROUP BY s.host, s.norm, h.host_docs HAVING count(DISTINCT s.text) > greatest(10.0, h.host_docs * 0.1)
+  SELECT s.host, s.norm FROM sized s JOIN hosts h ON s.host = h.host
+  GROUP BY s.host, s.norm, h.host_docs HAVING count(DISTINCT s.text) > 10 AND count(DISTINCT s.text) * count(DISTINCT s.text) > h.host_docs
 ), removed AS (
   SELECT s.doc_id, sum(s.n) AS removed_words FROM sized s JOIN bad b ON s.host = b.host AND s.norm = b.norm GROUP BY s.doc_id
 ), windows AS (
