@@ -1,24 +1,31 @@
 """Mixing to target weights with soft domain membership.
 
 A classifier learned from a table of labelled documents (see subword.py; at most ``max_rows`` labelled
-rows, as in toxicity.py) gives each document a posterior p over domains. Rates r >= 0 are then fitted so
-that the expected token totals of the domains, sum of r * tokens * p, meet the targets, with tokens of the
-public tokenizer (see tokenizing.py): least squares on
-the differences, by projected gradient from r = 1. Gradients are scaled by the second moments of the
-documents that can still move, and a step that does not lower the loss is halved.
-
-Each step is one pass over a compact table (tokens, p) that adds up one total per domain; the driver
-holds those totals alone. As all documents start from the same rate and a step adds a linear function of
-p and cuts at zero, a document's rate is a short expression of its p and the steps: no state is
-kept per document between passes, and a lost executor costs one partition of one pass.
+rows, as in toxicity.py) gives each document a posterior p over domains, in steps of 1 / GRID. Rates
+r >= 0 are then fitted so that the expected token totals of the domains, sum of r * tokens * p, meet the
+targets, with tokens of the public tokenizer (see tokenizing.py): least squares on the differences, plus
+RIDGE times the token-weighted squares of r - 1, which picks the rates nearest to 1 where many fit.
+
+Fit: projected gradient from r = 1 in its lazy form. The gradient of a document's rate is p . d, d the
+differences; the steps add up to p . y with one vector y for all documents, and after each step the sum
+is projected on the nonnegative rates: r = max(0, 1 - p . y). A step is d - RIDGE * y, scaled by the second
+moments of the documents that can still move and halved until the dual objective, which is convex in y,
+falls enough; so the fit converges from any targets. It ends when the projected gradient is shorter
+than TOLERANCE. ``residual`` is the length of the differences that are left, ``converged`` tells whether
+that end was reached within STEPS; a fit that did not raises unless the caller allows it.
+
+Documents of equal posterior have equal rates at each step. Tokens are therefore added up per
+posterior once, which a grid of 1 / GRID bounds at binomial(GRID + k - 1, k - 1) rows for k domains, however
+many documents there are; each step is a distributed sum over that table, and the driver holds the
+domains' totals alone.
 
 Applied, a document is repeated as often as its rate says, the fraction decided by its hash, so that
 the expected number of its copies is its rate. Mixing may so leave out documents of domains in excess.
 
 Defined results: a null or wordless text has no tokens and the bias' posterior; labels as in
 toxicity.py; domains that no label names keep their place with a posterior near zero, and a target that
-nothing can meet is met as nearly as least squares can. An empty table gives no rows. Extra columns are
-ignored, or kept by ``mixed``.
+nothing can meet is met as nearly as least squares can. An empty table gives no rows, and one without a
+token keeps rates of 1. Extra columns are ignored, or kept by ``mixed``.
 """
 
 from __future__ import annotations
@@ -27,129 +34,137 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.scratch import Scratch
 from weftline.llm.subword import SubwordSoftmax
-from weftline.llm.text import whole
+from weftline.llm.text import row_of, whole
 from weftline.llm.tokenizing import SharedTokenizer, word_bpe_path
 from weftline.llm.toxicity import training_rows
 
 MAX_ROWS = 4000
-STEPS = 15
-TOLERANCE = 1e-6
+#: Posteriors are multiples of 1 / GRID.
+GRID = 512
+RIDGE = 1e-6
+STEPS = 60
+TOLERANCE = 1e-8
+
+
+def gridded(p: np.ndarray) -> np.ndarray:
+    """Posteriors rounded to multiples of 1 / GRID; the greatest takes what the others leave of 1."""
+    counts = np.rint(np.asarray(p, np.float64) * GRID)
+    top = counts.argmax(axis=1)
+    at = np.arange(len(counts))
+    counts[at, top] += GRID - counts.sum(axis=1)
+    return counts / GRID
 
 
-def _scored(docs: DataFrame, shared, tokens: SharedTokenizer, classes: int) -> DataFrame:
-    """(doc_id, text_hash, n_tokens, p0, p1, ...)"""
+def _scored(docs: DataFrame, shared, tokens: SharedTokenizer, classes: int, rows: bool) -> DataFrame:
+    """(doc_id, text_hash, n_tokens, p0, p1, ...) and, if asked for, the row. Texts alone go to Python."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("n_tokens long, p array<double>")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model, tokenizer = SubwordSoftmax.of(shared.value), tokens.tokenizer()
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            p = np.array([model.posterior(t) for t in texts], np.float64).reshape(-1, classes)
-            n = pa.array([tokenizer.count(t) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, *[pa.array(p[:, k]) for k in range(classes)]], names)
+            texts = [bytes(t) for t in batch]
+            p = gridded(np.array([model.posterior(t) for t in texts]).reshape(-1, classes))
+            yield pd.DataFrame({"n_tokens": [tokenizer.count(t) for t in texts], "p": list(p)})
 
-    names = ["doc_id", "text_hash", "n_tokens", *[f"p{k}" for k in range(classes)]]
     text = whole(F.col("text"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.encode(text, "UTF-8").alias("text"))
-    return rows.mapInArrow(run, ", ".join(f"{c} {'double' if c[0] == 'p' else 'long'}" for c in names))
+    own = [row_of(docs).alias("row")] if rows else []
+    found = docs.select(*own, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), score(F.encode(text, "UTF-8")).alias("s"))
+    return found.select(*(["row"] if rows else []), "doc_id", "text_hash", "s.n_tokens", *[F.get("s.p", F.lit(k)).alias(f"p{k}") for k in range(classes)])
 
 
 class Mixture:
-    """Fitted on docs. labelled: (doc_id, domain), domain the position in ``targets``, the wanted shares."""
-
-    def __init__(self, docs: DataFrame, labelled: DataFrame, targets: list[float], max_rows: int = MAX_ROWS, scratch: Scratch | None = None, tokenizer: str | None = None):
-        self.docs, self.classes = docs, len(targets)
+    """Fitted on docs. labelled: (doc_id, domain), domain the position in ``targets``, the wanted shares.
+
+    rows: keep the documents beside their scores, for ``mixed``.
+    """
+
+    def __init__(
+        self,
+        docs: DataFrame,
+        labelled: DataFrame,
+        targets: list[float],
+        max_rows: int = MAX_ROWS,
+        scratch: Scratch | None = None,
+        tokenizer: str | None = None,
+        rows: bool = False,
+        allow_unconverged: bool = False,
+    ):
+        self.classes = len(targets)
         self.scratch = scratch or Scratch(docs.sparkSession, "mixing")
-        rows = training_rows(docs, labelled, F.col("domain"), max_rows)
-        model = SubwordSoftmax(self.classes).fit([bytes(r.text) for r in rows], [r.label for r in rows])
-        self.shared = docs.sparkSession.sparkContext.broadcast(model.state())
+        learned = training_rows(docs, labelled, F.col("domain"), max_rows)
+        model = SubwordSoftmax(self.classes).fit([bytes(r.text) for r in learned], [r.label for r in learned])
+        shared = docs.sparkSession.sparkContext.broadcast(model.state())
         tokens = SharedTokenizer(docs.sparkSession, tokenizer or word_bpe_path())
-        self.scored = self.scratch.put(_scored(docs, self.shared, tokens, self.classes), "scored")
+        self.scored = self.scratch.put(_scored(docs, shared, tokens, self.classes, rows), "scored")
         self.p = [F.col(f"p{k}") for k in range(self.classes)]
         wanted = np.array(targets, float)
-        self.steps = self._fit(wanted / wanted.sum())
+        self.y = self._fit(wanted / wanted.sum())
+        if not (self.converged or allow_unconverged):
+            raise ArithmeticError(f"rates did not settle in {STEPS} steps; the residual is {self.residual:.3g}")
 
-    def _fit(self, wanted: np.ndarray) -> list[np.ndarray]:
+    def _fit(self, wanted: np.ndarray) -> np.ndarray:
+        """y, of which rates follow; sets residuals (one a step), residual and converged."""
         k = self.classes
         pairs = [(a, b) for a in range(k) for b in range(a, k)]
-        tokens = F.col("n_tokens")
-
-        def totals_after(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-            """Domain totals, and the second moments of the documents whose rate is not cut at zero."""
-            rated = self.scored.withColumn("rate", self.rate(steps))
-            free = F.when(F.col("rate") > 0, tokens).otherwise(0)
-            sums = rated.agg(*[F.sum(tokens * F.col("rate") * p) for p in self.p], *[F.sum(free * self.p[a] * self.p[b]) for a, b in pairs]).first()
+        cells = self.scratch.put(self.scored.groupBy(*self.p).agg(F.sum("n_tokens").cast("double").alias("n")).where("n > 0"), "cells")
+        total = float(cells.agg(F.sum("n")).first()[0] or 0)
+        self.residuals, self.converged = [], True
+        y = np.zeros(k)
+
+        def looked_at(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+            """Differences, second moments of what is free to move, and the dual objective."""
+            rated = cells.withColumn("rate", self.rate(y)).withColumn("free", F.when(F.col("rate") > 0, F.col("n")).otherwise(0.0))
+            n, rate = F.col("n") / total, F.col("rate")
+            sums = rated.agg(*[F.sum(n * rate * p) for p in self.p], *[F.sum(F.col("free") / total * self.p[a] * self.p[b]) for a, b in pairs], F.sum(n * rate * rate)).first()
             moments = np.zeros((k, k))
-            for (a, b), x in zip(pairs, sums[k:], strict=True):
-                moments[a, b] = moments[b, a] = x / self.total
-            return np.array(sums[:k], float) / self.total, moments
-
-        self.total = float(self.scored.agg(F.sum("n_tokens")).first()[0] or 0)
-        self.residuals: list[float] = []
-        steps: list[np.ndarray] = []
-        if not self.total:
-            return steps
-        totals, moments = totals_after(steps)
-        loss = float(((totals - wanted) ** 2).sum())
-        for _ in range(STEPS):
-            self.residuals.append(loss**0.5)
-            if loss**0.5 < TOLERANCE:
-                break
-            # the gradient p . difference, in the metric of the documents that still can move
-            step = np.linalg.solve(moments + 1e-6 * np.trace(moments) * np.eye(k) + 1e-12 * np.eye(k), totals - wanted)
-            for _ in range(6):
-                after, new_moments = totals_after([*steps, step])
-                new_loss = float(((after - wanted) ** 2).sum())
-                if new_loss < loss:
+            for (a, b), x in zip(pairs, sums[k:-1], strict=True):
+                moments[a, b] = moments[b, a] = x
+            return np.array(sums[:k], float) - wanted, moments, (RIDGE * y @ y + sums[-1]) / 2 + wanted @ y
+
+        if total:
+            d, moments, dual = looked_at(y)
+            for _ in range(STEPS):
+                self.residuals.append(float(np.linalg.norm(d)))
+                ahead = d - RIDGE * y  # zero where the projected gradient of every rate is zero
+                self.converged = bool(np.linalg.norm(ahead) < TOLERANCE)
+                if self.converged:
                     break
-                step = step / 2
-            if new_loss >= loss * (1 - 1e-6):
-                break
-            steps, totals, moments, loss = [*steps, step], after, new_moments, new_loss
-        return steps
-
-    def rate(self, steps: list[np.ndarray], p: list[Column] | None = None) -> Column:
-        """The rate of a document after the steps, of its posterior."""
+                step = np.linalg.solve(moments + (RIDGE + 1e-12) * np.eye(k), ahead)
+                for _ in range(40):
+                    found = looked_at(y + step)
+                    if found[2] <= dual - 1e-4 * ahead @ step + 1e-15:
+                        break
+                    step = step / 2
+                y, (d, moments, dual) = y + step, found
+            else:
+                self.residuals.append(float(np.linalg.norm(d)))
+        self.residual = self.residuals[-1] if self.residuals else 0.0
+        return y
+
+    def rate(self, y: np.ndarray) -> Column:
+        """The rate of a document, of its posterior."""
         rate = F.lit(1.0)
-        for step in steps:
-            move = F.lit(0.0)
-            for x, y in zip(p or self.p, step, strict=True):
-                move = move + x * F.lit(float(y))
-            rate = F.greatest(F.lit(0.0), rate - move)
-        return rate
-
-    @staticmethod
-    def copies(rate: Column, doc_id: Column, text_hash: Column) -> Column:
-        """rate rounded up or down by the document's hash, to rate on average."""
-        uniform = F.pmod(F.xxhash64(F.lit("mix"), doc_id, text_hash), F.lit(1 << 30)) / float(1 << 30)
-        return F.floor(rate + uniform).cast("int")
+        for p, step in zip(self.p, y, strict=True):
+            rate = rate - p * F.lit(float(step))
+        return F.greatest(F.lit(0.0), rate)
+
+    def _copied(self) -> DataFrame:
+        """The rates, and each rounded up or down by the document's hash, to the rate on average."""
+        uniform = F.pmod(F.xxhash64(F.lit("mix"), "doc_id", "text_hash"), F.lit(1 << 30)) / float(1 << 30)
+        return self.scored.withColumn("rate", self.rate(self.y)).withColumn("copies", F.floor(F.col("rate") + uniform).cast("int"))
 
     def rates(self) -> DataFrame:
         """One row per document: doc_id, n_tokens, p0, p1, ..., rate, copies."""
-        rated = self.scored.withColumn("rate", self.rate(self.steps))
-        return rated.withColumn("copies", self.copies(F.col("rate"), F.col("doc_id"), F.col("text_hash"))).drop("text_hash")
+        return self._copied().select("doc_id", "n_tokens", *self.p, "rate", "copies")
 
     def mixed(self) -> DataFrame:
         """The documents, each as often as its rate says, with the columns of docs. Nothing is shuffled."""
-        shared = self.shared
-
-        @F.pandas_udf("array<double>")
-        def posterior(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            model = SubwordSoftmax.of(shared.value)
-            for batch in batches:
-                yield pd.Series([model.posterior(t).astype(np.float64) for t in batch])
-
-        # marked so that the filter below does not score each text again
-        posterior = posterior.asNondeterministic()
-        text = whole(F.col("text"))
-        rows = self.docs.select(F.struct(*self.docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), posterior(F.encode(text, "UTF-8")).alias("p"))
-        rate = self.rate(self.steps, [F.get("p", F.lit(k)) for k in range(self.classes)])
-        rows = rows.withColumn("copies", self.copies(rate, F.col("id"), F.col("text_hash"))).where("copies > 0")
+        rows = self._copied().where("copies > 0")
         return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
