@@ -3,7 +3,9 @@ import re
 
 from pyspark.sql import functions as F
 
+from weftline.llm import bloom
 from weftline.llm.exact_dedup import DigestIndex, ExactDedup, exact_dedup
+from weftline.llm.scratch import Scratch
 
 
 def brute(rows):
@@ -48,9 +50,47 @@ def test_empty_table(empty):
     assert ExactDedup(empty).keep_first().collect() == []
 
 
-def test_index_merges_runs_and_keeps_the_least(spark, tmp_path):
-    index = DigestIndex(spark, str(tmp_path), fanout=2)
-    for batch in ([(5, "x"), (9, "y")], [(2, "x")], [(7, "y"), (1, "z")]):
+def flushed(spark, root, batches, fanout=2):
+    index = DigestIndex(spark, str(root), fanout=fanout)
+    for batch in batches:
         index.flush(spark.createDataFrame([(i, d.encode(), i) for i, d in batch], "doc_id long, digest binary, tag long"))
-    got = {bytes(r.digest): (r["first"].doc_id, r.n) for r in index.compact().collect()}
-    assert got == {b"x": (2, 2), b"y": (7, 2), b"z": (1, 1)}
+    return index
+
+
+def test_index_merges_runs_and_keeps_the_least(spark, tmp_path):
+    index = flushed(spark, tmp_path / "a", ([(5, "x"), (9, "y")], [(2, "x")], [(7, "y"), (1, "z"), (8, "w"), (3, "w")], [(4, "v")], [(6, "v")]))
+    assert {level: len(runs) for level, runs in index.levels.items() if runs} == {2: 1, 0: 1}
+    shared = index.shared(Scratch(spark, "test"))
+    got = {bytes(r.digest): (r["first"].doc_id, r.n) for r in shared.collect()}
+    assert got == {b"x": (2, 2), b"y": (7, 2), b"w": (3, 2), b"v": (4, 2)}
+    top = {bytes(r.digest): (r["first"].doc_id, r.n) for r in index.levels[2][0].digests.collect()}
+    assert top == {b"x": (2, 2), b"y": (7, 2), b"z": (1, 1), b"w": (3, 2), b"v": (4, 1)}
+    for run in index.runs:  # each file of a run is sorted
+        for part in run.digests.rdd.map(lambda r: bytes(r.digest)).glom().collect():
+            assert part == sorted(part)
+
+
+def test_filters_spare_look_ups_and_lose_none(spark, tmp_path):
+    names = lambda a, b: [(i, hashlib.sha256(str(i).encode()).hexdigest()) for i in range(a, b)]
+    index = flushed(spark, tmp_path / "b", (names(0, 3000), names(3000, 6000), names(6000, 9000)), fanout=9)
+    asked = spark.createDataFrame([(d.encode(),) for _, d in names(5990, 16000)], "digest binary")
+    passed = [likely.count() for likely in index.may_hold(asked)]
+    assert len(passed) == 3 and sum(passed) < 0.15 * 3 * asked.count() + 3010 and passed[2] >= 3000
+    assert {bytes(r.digest) for r in index.held(asked).collect()} == {d.encode() for _, d in names(5990, 9000)}
+
+
+def test_filters_over_the_broadcast_limit_are_joined_by_block(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(bloom, "MAX_BLOCKS", 0)
+    index = flushed(spark, tmp_path / "c", ([(i, str(i)) for i in range(5000)], [(9, "7"), (8, "x")]))
+    assert {bytes(r.digest) for r in index.hits[0].collect()} == {b"7"}
+
+
+def test_memtables_reach_several_levels(tricky):
+    found = ExactDedup(tricky.repartition(12))
+    assert {level for level, runs in found.index.levels.items() if runs} == {0, 1} and found.index.written == 9
+
+
+def test_column_names_with_dots(tricky):
+    dotted = tricky.withColumnRenamed("kept", "a.b").withColumnRenamed("row", "row.`x")
+    kept = ExactDedup(dotted).keep_first()
+    assert kept.columns == dotted.columns and kept.count() == len(set(brute(tricky.collect())[1]))

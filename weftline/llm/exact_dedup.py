@@ -1,15 +1,20 @@
 """Exact duplicates by a log-structured merge index of text digests.
 
-Documents arrive in memtables (groups of input partitions). Each memtable is flushed as a run: one row
-per digest with its smallest identifier and its rows, sorted by digest, with a Parquet Bloom filter on
-the digest. Compaction merges the runs of a level into one sorted run of the next level and keeps the
-smallest identifier of each digest. A text that hits another one's digest is verified byte for byte.
+Documents arrive in memtables: groups of input partitions, MEMTABLES of them or more, so that each holds
+MEMTABLE_ROWS at most on average. Each memtable is flushed as a run: one row per digest with its smallest
+identifier and its rows, sorted by digest, with a Bloom filter beside it. The digests of a new run are asked
+of the filters of all older runs; those that no filter may hold are new, the others are looked up in the
+runs by digest. When a level has FANOUT runs, compaction merges them into one sorted run of the next level
+and keeps the smallest identifier of each digest. Runs are never merged for the sake of a look-up: what
+several runs hold is known from the hits, and only those digests are gathered from the runs. A text that
+hits another one's digest is verified byte for byte.
 
 Everything is DataFrame functions. Only digests are shuffled, never whole texts: verification asks of
 each shared digest whether the least and the greatest text under it are the same bytes, and both are
 pre-aggregated where the texts are read, so a group of copies of any size sends one row per task.
-A blocked Bloom filter of the shared digests, of at most 16 MiB, is broadcast, so that only texts with a
-likely hit are verified; a false hit costs time, never a result.
+A blocked Bloom filter of the shared digests, of at most 64 MiB, is broadcast, so that only texts with a
+likely hit are verified; a false hit costs time, never a result. It is a third full at 200 million shared
+digests; with many more of them more texts are verified than need be.
 
 Defined results: a null text is an empty one. Of equal texts the row with the smallest doc_id stays; a
 null doc_id counts as greater than all others; of rows that repeat a doc_id and a text one stays.
@@ -18,67 +23,86 @@ An empty table gives no rows. Extra columns are ignored by ``report`` and kept b
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.bloom import with_likely
+from weftline.llm.bloom import asked, blocks_for, filter_of, with_likely
 from weftline.llm.scratch import Scratch
-from weftline.llm.text import squeezed
+from weftline.llm.text import row_of, squeezed
 
-MEMTABLES = 4
-FANOUT = 4
+MEMTABLES = 7
+MEMTABLE_ROWS = 500_000_000
+FANOUT = 3
 
 
 def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(F.encode(text, "UTF-8"), 256))
 
 
+@dataclass
+class Run:
+    """digests: (digest, first, n), first being struct(no_id, doc_id, tag); blocks: their filter."""
+
+    digests: DataFrame
+    blocks: DataFrame
+    n_blocks: int
+
 
 class DigestIndex:
-    """Runs of (digest, first, n) under root/level=L/run=R; first is struct(no_id, doc_id, tag)."""
+    """Runs under root/level=L/run=R, the filter of each under root/filter/run=R."""
 
-    def __init__(self, spark: SparkSession, root: str, fanout: int = FANOUT, digests_per_file: int = 50_000):
-        self.spark, self.root, self.fanout, self.per_file = spark, root, fanout, digests_per_file
-        self.levels: dict[int, list[DataFrame]] = {}
+    def __init__(self, spark: SparkSession, root: str, fanout: int = FANOUT):
+        self.spark, self.root, self.fanout = spark, root, fanout
+        self.levels: dict[int, list[Run]] = {}
+        self.hits: list[DataFrame] = []
         self.written = 0
 
-    def _write(self, df: DataFrame, level: int) -> DataFrame:
-        path = f"{self.root}/level={level}/run={self.written}"
-        self.written += 1
-        (
-            df.sortWithinPartitions("digest")
-            .write.option("parquet.bloom.filter.enabled#digest", "true")
-            .option("parquet.bloom.filter.expected.ndv#digest", str(self.per_file))
-            .parquet(path)
-        )
-        return self.spark.read.schema(df.schema).parquet(path)
+    @property
+    def runs(self) -> list[Run]:
+        return [run for level in sorted(self.levels) for run in self.levels[level]]
+
+    def _put(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.parquet(f"{self.root}/{path}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{path}")
+
+    def _write(self, df: DataFrame, level: int) -> Run:
+        k = self.written = self.written + 1
+        digests = self._put(df.sortWithinPartitions("digest"), f"level={level}/run={k}")
+        n_blocks = blocks_for(digests.count())
+        return Run(digests, self._put(filter_of(digests, n_blocks, ["digest"]), f"filter/run={k}"), n_blocks)
 
     def flush(self, entries: DataFrame) -> None:
-        """Write a memtable's entries (digest, doc_id, tag) as a run; compact a level that is full."""
-        run = entries.groupBy("digest").agg(
-            F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tag")).alias("first"), F.count(F.lit(1)).alias("n")
-        )
-        self.levels.setdefault(0, []).append(self._write(run, 0))
+        """Write a memtable's entries (digest, doc_id, tag) as a run, note what older runs hold of it, and compact a level that is full."""
+        order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tag")
+        run = self._write(entries.groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")), 0)
+        if self.runs:
+            self.hits.append(self._put(self.held(run.digests.select("digest")), f"hits/run={self.written}"))
+        self.levels.setdefault(0, []).append(run)
         level = 0
         while len(self.levels.get(level, [])) >= self.fanout:
-            self._merge_into(level + 1, self.levels.pop(level))
+            full = reduce(DataFrame.unionByName, [r.digests for r in self.levels.pop(level)])
+            merged = full.groupBy("digest").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
             level += 1
+            self.levels.setdefault(level, []).append(self._write(merged, level))
+
+    def may_hold(self, digests: DataFrame) -> list[DataFrame]:
+        """For each run the digests that its filter cannot rule out."""
+        return [asked(digests, run.blocks, run.n_blocks, ["digest"]).where("likely").select("digest") for run in self.runs]
 
-    def compact(self) -> DataFrame:
-        """Merge all runs into one, the whole index."""
-        runs = [run for level in sorted(self.levels) for run in self.levels[level]]
-        if len(runs) > 1:
-            top = max(self.levels) + 1
-            self.levels = {}
-            self._merge_into(top, runs)
-        return next(run for level in self.levels.values() for run in level)
+    def held(self, digests: DataFrame) -> DataFrame:
+        """Those of digests, each once, that a run holds: first by the filters, then by look-up of what they let through."""
+        found = [likely.join(run.digests.select("digest"), "digest") for likely, run in zip(self.may_hold(digests), self.runs, strict=True)]
+        return reduce(DataFrame.unionByName, found).distinct()
 
-    def _merge_into(self, level: int, runs: list[DataFrame]) -> None:
-        union = runs[0]
-        for run in runs[1:]:
-            union = union.unionByName(run)
-        merged = union.groupBy("digest").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
-        self.levels.setdefault(level, []).append(self._write(merged, level))
+    def shared(self, scratch: Scratch) -> DataFrame:
+        """(digest, first, n) of the digests of two rows or more, from all runs."""
+        repeated = [run.digests.where("n > 1").select("digest") for run in self.runs]
+        names = scratch.put(reduce(DataFrame.unionByName, [*repeated, *self.hits]).distinct(), "shared-names")
+        rows = with_likely(reduce(DataFrame.unionByName, [run.digests for run in self.runs]), names, names.count(), ["digest"]).where("likely").drop("likely")
+        return rows.join(names, "digest", "left_semi").groupBy("digest").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
 
 
 class ExactDedup:
@@ -91,6 +115,7 @@ class ExactDedup:
     def __init__(self, docs: DataFrame, memtables: int = MEMTABLES, digest=sha256, scratch: Scratch | None = None):
         self.docs, self.digest = docs, digest
         self.scratch = scratch or Scratch(docs.sparkSession, "exact-dedup")
+        memtables = max(memtables, -(-docs.count() // MEMTABLE_ROWS))
         entries = docs.select(
             "doc_id",
             digest(squeezed(F.col("text"))).alias("digest"),
@@ -100,17 +125,17 @@ class ExactDedup:
         # the upper bits of the tag are the input partition: its number deals documents to memtables
         entries = entries.withColumn("memtable", F.pmod(F.shiftright("tag", 33), F.lit(memtables)).cast("int"))
         self.entries = self.scratch.put(entries, "entries")
-        index = DigestIndex(docs.sparkSession, self.scratch.path("index"))
+        self.index = DigestIndex(docs.sparkSession, self.scratch.path("index"))
         for m in range(memtables):
-            index.flush(self.entries.where(F.col("memtable") == m))
-        self.index = index.compact()
-        self.shared = self.scratch.put(self.index.where("n > 1"), "shared")
+            # a file of entries is one input partition's: all but a memtable's own files are skipped by their statistics
+            self.index.flush(self.entries.where(F.col("memtable") == m))
+        self.shared = self.scratch.put(self.index.shared(self.scratch), "shared")
         self.n_shared = self.shared.count()
         self.collided = self._verify()
 
     def _probed(self) -> DataFrame:
         """Documents as (row, doc_id, norm, digest, likely): likely ones may share their digest."""
-        rows = self.docs.select(F.struct(*self.docs.columns).alias("row"), "doc_id", squeezed(F.col("text")).alias("norm"))
+        rows = self.docs.select(row_of(self.docs).alias("row"), "doc_id", squeezed(F.col("text")).alias("norm"))
         return with_likely(rows.withColumn("digest", self.digest(F.col("norm"))), self.shared, self.n_shared, ["digest"])
 
     def _verify(self) -> DataFrame:
