@@ -4,7 +4,8 @@ import re
 import pytest
 from rows import SCHEMA, document
 
-from weftline.llm.license_scan import TEMPLATES, scan
+from weftline.llm import license_scan
+from weftline.llm.license_scan import LENGTHS, TEMPLATES, collision, scan
 
 
 def shingles(text):
@@ -13,14 +14,34 @@ def shingles(text):
 
 
 def brute(text, template):
+    """The best containment over windows of the template's length, and the first word of the first such place."""
     parts, own = set(shingles(template)), shingles(text)
-    n = 2 * len(parts) + 8
-    return max((len(parts & set(own[i : i + n])) / len(parts) for i in range(max(1, len(own)))), default=0)
+    length = next(n for n in LENGTHS if len([x for x in re.split(r"[\W_]+", template) if x]) <= 3 * n // 4 + 1)
+    best = (0.0, 0)
+    for start in range(0, max(1, len(own)), length // 4):
+        window = own[start : start + length - 4]
+        share = len(parts & set(window)) / len(parts)
+        if share:
+            best = max(best, (share, -next(start + i for i, x in enumerate(window) if x in parts)))
+    return best[0], -best[1]
 
 
-def test_notices_are_found_and_clean_texts_are_not(spark):
-    rng = random.Random(6)
-    noise = lambda n: " ".join(f"v{rng.randrange(900)}" for _ in range(n))
+def expected(rows, templates):
+    found = {(d[0], name): brute(d[1], t) for d in rows for name, t in templates.items()}
+    return {(*key, *value) for key, value in found.items() if value[0] >= 0.8}
+
+
+def results(frame):
+    return {(r.doc_id, r.license, r.containment, r.first_word) for r in frame.collect()}
+
+
+def noise_of(seed):
+    rng = random.Random(seed)
+    return lambda n: " ".join(f"v{rng.randrange(900)}" for _ in range(n))
+
+
+def test_notices_are_found_and_clean_texts_are_not(spark, monkeypatch):
+    noise = noise_of(6)
     rows = []
     for i, (name, text) in enumerate(TEMPLATES.items()):
         for j, n in enumerate((0, 3, 17, 333)):
@@ -31,10 +52,34 @@ def test_notices_are_found_and_clean_texts_are_not(spark):
     words[20] = "XX"
     rows.append(document(900, noise(50) + " " + " ".join(words)))
     docs = spark.createDataFrame(rows, SCHEMA)
-    got = {(r.doc_id, r.license) for r in scan(docs).collect()}
-    want = {(d[0], name) for d in rows for name, t in TEMPLATES.items() if brute(d[1], t) >= 0.8}
-    assert got == want and (900, "MIT-grant") in got
+    want = expected(rows, TEMPLATES)
+    got = results(scan(docs))
+    assert got == want and (900, "MIT-grant") in {x[:2] for x in got}
     assert len(got) >= 4 * len(TEMPLATES)
+    monkeypatch.setattr(license_scan, "IN_LIST", 0)  # shingles joined instead of searched
+    assert results(scan(docs)) == want
+
+
+def test_whole_licenses_from_a_table(spark):
+    noise = noise_of(9)
+    law = {name: " ".join(f"{name}{k * 7919 % 99991}" for k in range(n)) for name, n in (("long", 1500), ("longest", 5600), ("other", 700))}
+    edited = law["long"].split()
+    for at in range(40, 1500, 60):
+        edited[at] = "XX"
+    half = " ".join(law["longest"].split()[:2800])
+    rows = [document(1, noise(700) + " " + law["long"] + " " + noise(80)), document(2, " ".join(edited)), document(3, law["longest"] + "\n" + law["other"]), document(4, half + noise(2000)), document(5, noise(3000))]
+    table = spark.createDataFrame([(*x, 1) for x in law.items()], "license string, text string, extra int")
+    got = results(scan(spark.createDataFrame(rows, SCHEMA), table))
+    assert got == expected(rows, law) and {x[:2] for x in got} == {(1, "long"), (2, "long"), (3, "longest"), (3, "other")}
+
+
+def test_settings_guarantee_collisions(spark):
+    for length in LENGTHS:
+        for words in range(max(5, 3 * (length // 2) // 4 + 2), 3 * length // 4 + 2, max(1, length // 32)):
+            assert length == 8 or words > 3 * length // 8 + 1
+            assert collision(words - 4, length) > 0.9999 - 1e-4
+    with pytest.raises(ValueError):
+        scan(spark.createDataFrame([document(1, "x")], SCHEMA), {"same": "la " * 800})
 
 
 def test_tricky_rows_and_empty_table(tricky, empty):

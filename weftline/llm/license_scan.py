@@ -1,26 +1,32 @@
-"""License notices in whole texts: MinHash bands over overlapping windows, then exact containment.
+"""License notices and whole licenses in whole texts: MinHash bands over overlapping windows, then exact containment.
 
 Texts and templates are lower-cased words of letters and digits, in shingles of SHINGLE words. Windows of
 LENGTHS words overlap by three quarters; a template is sought in windows of the least length L with
-t <= 3 L / 4 + 1 words, so that each place of a template lies wholly in some window of that length. A window
-that holds the wanted share of a template's shingles has a Jaccard similarity of at least 0.19 with it
-(template of 3/8 L words, L = 16); with BANDS bands of one MinHash row it meets the template in a band
-with probability 1 - (1 - 0.19)^32 > 0.998, and more for closer fits. What meets is verified exactly:
-at least CONTAINMENT of the template's distinct shingles are in the window.
-
-All of it is DataFrame functions. Documents, then windows, that share no shingle with any template cannot
-pass the verification and are left out before they are sketched; that loses nothing. The templates' shingles
-and sketches are broadcast while they are few (MAX_TEMPLATE_SHINGLES at most, checked), and the
-sketches of windows never leave the task that reads the text.
-
-Defined results: a null or wordless text has no notice. One row per document and template, with the best
-containment and of equal ones the first word's place; rows that repeat a document give one row.
-An empty table gives no rows. Notices of fewer words than a shingle are refused as templates and given as
-short ones: one shingle of all their words, found where those words follow each other. Extra columns are ignored.
+t <= 3 L / 4 + 1 words, so that each place of a template lies wholly in some window of that length: up to 12,289
+words, twice the longest of the common licenses. Of a window only shingles that some template has are
+sketched; the others cannot count for any template, and leaving them out only raises similarities. A
+window that holds the wanted share of a template's shingles has a Jaccard similarity of x / (t + L - 4 - x) with
+it at least, for x = CONTAINMENT t of t distinct shingles: 0.25 or more unless the template repeats its own
+wording. With BANDS bands of one MinHash row they meet in a band with probability 1 - (1 - 0.25)^32 > 0.9999;
+templates for which it would be under LEAST_COLLISION are refused. What meets is verified exactly, once for
+each window and template: at least CONTAINMENT of the template's distinct shingles are in the window.
+
+All of it is DataFrame functions. Shingles of templates are found where the text is read: by a hash set
+of up to IN_LIST of them, else by a broadcast hash join (of MAX_TEMPLATE_SHINGLES at most, checked). Only
+they are shuffled, to be gathered by window; a window gets L - 4 of them at most, and one with fewer than any
+template of its length needs is left out, which loses nothing.
+
+Defined results: a null or wordless text has no notice. One row per doc_id and template, with the best
+containment and of equal ones the first word's place; rows that repeat a doc_id give one row, and so do all
+rows without one. An empty table gives no rows. Notices of fewer words than a shingle are refused as
+templates and given as short ones: one shingle of all their words, found where those words follow each
+other. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,9 +34,12 @@ from weftline.llm.text import bind, whole
 
 SHINGLE = 5
 CONTAINMENT = 0.8
-LENGTHS = (8, 16, 32, 64, 128, 256)
+LENGTHS = tuple(8 << k for k in range(12))
 BANDS = 32
-MAX_TEMPLATE_SHINGLES = 100_000
+LEAST_COLLISION = 0.99
+#: Template shingles that are searched as a set; more are joined.
+IN_LIST = 1000
+MAX_TEMPLATE_SHINGLES = 2_000_000
 
 #: Wording of public license notices.
 TEMPLATES = {
@@ -70,8 +79,8 @@ def shingles(words: Column, size: int = SHINGLE) -> Column:
 
 
 def sketch(hashes: Column, bands: int) -> Column:
-    """(band, least) of each band: the least of the hashes re-hashed with the band's number."""
-    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.struct(b.alias("band"), F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, b))).alias("least")))
+    """The least of the hashes re-hashed with each band's number."""
+    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, b))))
 
 
 def window_length(words: Column) -> Column:
@@ -82,21 +91,19 @@ def window_length(words: Column) -> Column:
     return fit
 
 
-def windows_of(h: Column, length: int, some: Column) -> Column:
-    """(length, start, part) of the windows of so many words that share a shingle with some template."""
-    starts = F.sequence(F.lit(0), F.greatest(F.size(h) - 1, F.lit(0)), F.lit(length // 4))
-    cut = lambda s: F.struct(F.lit(length).alias("length"), s.alias("start"), F.slice(h, s + 1, length - (SHINGLE - 1)).alias("part"))
-    return F.filter(F.transform(starts, cut), lambda w: F.arrays_overlap(w["part"], some))
+def collision(shingles: int, length: int, containment: float = CONTAINMENT, bands: int = BANDS) -> float:
+    """The least probability that a template of so many distinct shingles meets a window that holds its share of them."""
+    held = ceil(containment * shingles - 1e-9)
+    return 1 - (1 - held / (shingles + length - (SHINGLE - 1) - held)) ** bands
 
 
-def template_table(spark: SparkSession, templates: dict[str, str] | None = None) -> DataFrame:
+def template_table(spark: SparkSession, templates: dict[str, str] | DataFrame | None = None) -> DataFrame:
     """(license, length, parts): the templates' distinct shingles and window length."""
-    rows = spark.createDataFrame(list((templates or TEMPLATES).items()), "license string, text string")
+    rows = templates if isinstance(templates, DataFrame) else spark.createDataFrame(list((templates or TEMPLATES).items()), "license string, text string")
     rows = rows.select("license", license_words(F.col("text")).alias("w"))
-    short = rows.where(F.size("w") < SHINGLE).first()
-    too_long = rows.where(F.size("w") > 3 * LENGTHS[-1] // 4 + 1).first()
-    if short or too_long:
-        raise ValueError(f"template {(short or too_long).license} must have {SHINGLE} to {3 * LENGTHS[-1] // 4 + 1} words")
+    longest = 3 * LENGTHS[-1] // 4 + 1
+    if wrong := rows.where((F.size("w") < SHINGLE) | (F.size("w") > longest)).first():
+        raise ValueError(f"template {wrong.license} must have {SHINGLE} to {longest} words")
     return rows.select("license", window_length(F.size("w")).alias("length"), F.array_distinct(shingles(F.col("w"))).alias("parts"))
 
 
@@ -109,36 +116,86 @@ def short_table(spark: SparkSession, short: dict[str, str]) -> DataFrame:
     return rows.select("license", F.size("w").alias("length"), part.alias("parts"))
 
 
-def short_hits(words: Column, size: int, hashes: list[int]) -> Column:
-    """The first place of each short template of so many words, as a window of one shingle."""
-    hit = lambda h, s: F.struct(F.lit(size).alias("length"), (F.array_position(h, s) - 1).cast("int").alias("start"), F.array(s).alias("part"))
-    return bind(shingles(words, size), lambda h: F.transform(F.array_intersect(h, F.lit(hashes).cast("array<bigint>")), lambda s: hit(h, s)))
+def hit(size: int, i: Column, h: Column) -> Column:
+    """A shingle of a template at word i; size is 0 for one of SHINGLE words, else a short template's words."""
+    return F.struct(F.lit(size).alias("size"), i.cast("int").alias("i"), h.alias("h"))
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = CONTAINMENT, bands: int = BANDS, short: dict[str, str] | None = None) -> DataFrame:
-    """doc_id, license, containment, first_word: each template that a document holds. Own templates come without short ones."""
-    known = template_table(docs.sparkSession, templates)
-    brief = short_table(docs.sparkSession, (SHORT_TEMPLATES if templates is None else {}) if short is None else short)
+def short_hits(words: Column, size: int, hashes: list[int]) -> Column:
+    """The first place of each short template of so many words."""
+    return bind(shingles(words, size), lambda h: F.transform(F.array_intersect(h, F.lit(hashes).cast("array<bigint>")), lambda s: hit(size, F.array_position(h, s) - 1, s)))
+
+
+def _hits(docs: DataFrame, known: DataFrame, n_parts: int, short: dict[int, list[int]]) -> DataFrame:
+    """(tag, doc_id, size, i, h): the places of the templates' shingles, tag telling rows apart."""
+    texts = docs.select("doc_id", F.col("text").alias("text"), F.monotonically_increasing_id().alias("tag"))
+    parts = known.select(F.explode("parts").alias("h")).distinct()
+    found = [lambda w, m=m, hashes=hashes: short_hits(w, m, hashes) for m, hashes in sorted(short.items())]
+    few = n_parts <= IN_LIST
+    if few:
+        some = [r.h for r in parts.collect()]
+        found.append(lambda w: F.filter(F.transform(shingles(w), lambda x, i: hit(0, i, x)), lambda p: p["h"].isin(some)))
+    # an outer explode, filtered after it: the optimizer then computes a text's shingles once
+    rows = texts.select("tag", "doc_id", F.explode_outer(bind(license_words(F.col("text")), lambda w: F.concat(*[f(w) for f in found]))).alias("at")) if found else None
+    rows = rows.where("at is not null").select("tag", "doc_id", "at.*") if found else None
+    if few:
+        return rows
+    every = texts.select("tag", "doc_id", F.posexplode(shingles(license_words(F.col("text")))).alias("i", "h"))
+    joined = every.join(F.broadcast(parts), "h").select("tag", "doc_id", F.lit(0).alias("size"), "i", "h")
+    return joined if rows is None else joined.unionByName(rows)
+
+
+def _windows(hits: DataFrame, need: dict[int, float]) -> DataFrame:
+    """(doc_id, length, hits): windows, by their hits in order, that hold as many distinct ones as some template of that length needs."""
+
+    def within(length: int) -> Column:
+        """The windows of that length that hold word i."""
+        hop, reach = length // 4, length - SHINGLE
+        first = F.greatest(F.ceil((F.col("i") - reach) / hop), F.lit(0)).cast("int")
+        return F.transform(F.sequence(first, F.floor(F.col("i") / hop).cast("int")), lambda k: F.struct(F.lit(length).alias("length"), k.alias("k")))
+
+    rows = hits.where("size = 0").select("tag", "doc_id", "i", "h", F.explode(F.concat(*[within(n) for n in need])).alias("w"))
+    gathered = rows.groupBy("tag", "doc_id", "w.length", "w.k").agg(F.sort_array(F.collect_list(F.struct("i", "h"))).alias("hits"))
+    enough = F.lit(False)
+    for length, least in need.items():
+        enough = enough | ((F.col("length") == length) & (F.size(F.array_distinct("hits.h")) >= least))
+    return gathered.where(enough).select("doc_id", "length", "hits")
+
+
+def scan(
+    docs: DataFrame,
+    templates: dict[str, str] | DataFrame | None = None,
+    containment: float = CONTAINMENT,
+    bands: int = BANDS,
+    short: dict[str, str] | None = None,
+) -> DataFrame:
+    """doc_id, license, containment, first_word: each template that a document holds. Templates: a name to text, or a table
+    (license, text). Own templates come without short ones."""
+    spark = docs.sparkSession
+    known = template_table(spark, templates)
+    # one row a window length and one a short template: small, whatever the templates
+    classes = known.groupBy("length").agg(F.min(F.size("parts")).alias("least"), F.sum(F.size("parts")).alias("n")).collect()
+    if (n_parts := sum(r.n for r in classes)) > MAX_TEMPLATE_SHINGLES:
+        raise ValueError(f"templates have {n_parts} shingles; at most {MAX_TEMPLATE_SHINGLES} are allowed")
+    if weak := [r.length for r in classes if collision(r.least, r.length, containment, bands) < LEAST_COLLISION]:
+        raise ValueError(f"templates sought in windows of {weak} words repeat their own wording too much for {bands} bands")
+    brief = short_table(spark, (SHORT_TEMPLATES if templates is None else {}) if short is None else short)
     sizes: dict[int, list[int]] = {}
     for r in brief.collect():
         sizes.setdefault(r.length, []).append(r.parts[0])
-    # the templates are given by the caller, at hand on the driver: their shingles are few, and checked
-    parts = sorted({h for r in known.select("parts").collect() for h in r.parts})
-    if len(parts) + sum(map(len, sizes.values())) > MAX_TEMPLATE_SHINGLES:
-        raise ValueError(f"templates have {len(parts) + sum(map(len, sizes.values()))} shingles; at most {MAX_TEMPLATE_SHINGLES} are allowed")
-    some = F.lit(parts).cast("array<bigint>")
-    lengths = sorted(r.length for r in known.select("length").distinct().collect())
-    near = lambda h: F.when(F.arrays_overlap(h, some), F.concat(*[windows_of(h, n, some) for n in lengths]))
-    nothing = F.array().cast("array<struct<length:int,start:int,part:array<bigint>>>")
-    every = lambda w: F.concat(F.coalesce(bind(shingles(w), near), nothing), *[short_hits(w, m, hashes) for m, hashes in sorted(sizes.items())])
-    # an outer explode, filtered after it: the optimizer then computes a text's shingles once
-    windows = docs.select("doc_id", F.explode_outer(bind(license_words(F.col("text")), every)).alias("at"))
-    windows = windows.where("at is not null").select("doc_id", "at.*")
-    met = windows.select("doc_id", "length", "start", "part", F.explode(sketch(F.array_distinct("part"), bands)).alias("b")).select("doc_id", "length", "start", "part", "b.band", "b.least")
-    own = known.unionByName(brief).select("license", "length", "parts", F.explode(sketch(F.col("parts"), bands)).alias("b")).select("license", "length", "parts", "b.band", "b.least")
-    met = met.join(F.broadcast(own), ["length", "band", "least"])
-    share = F.size(F.array_intersect("parts", "part")) / F.size("parts")
-    first = F.col("start") + F.array_position(F.transform("part", lambda h: F.array_contains("parts", h)), True) - 1
-    found = met.select("doc_id", "license", share.alias("containment"), first.cast("long").alias("first_word")).where(F.col("containment") >= containment)
+    hits = _hits(docs, known, n_parts, sizes)
+    windows = _windows(hits, {r.length: containment * r.least - 1e-9 for r in classes})
+    windows = windows.unionByName(hits.where("size > 0").select("doc_id", F.col("size").alias("length"), F.array(F.struct("i", "h")).alias("hits")))
+    # both sides of the template table are broadcast: bands rows a template, and each template's shingles once
+    own = known.unionByName(brief).withColumn("sketch", sketch(F.col("parts"), bands))
+    by_band = own.select("license", "length", F.posexplode("sketch").alias("band", "least"))
+    met = windows.withColumn("part", F.array_distinct("hits.h")).withColumn("window_sketch", sketch(F.col("part"), bands))
+    met = met.select("*", F.posexplode("window_sketch").alias("band", "least")).join(F.broadcast(by_band), ["length", "band", "least"])
+    met = met.join(F.broadcast(own.select("license", "parts", "sketch")), "license")
+    # of the bands in which they meet the first stands for all
+    first_band = F.array_position(F.zip_with("window_sketch", "sketch", lambda a, b: a == b), True) - 1
+    found = met.where(F.col("band") == first_band).withColumn("containment", F.size(F.array_intersect("parts", "part")) / F.size("parts"))
+    place = F.get(F.filter("hits", lambda x: F.array_contains("parts", x["h"])), F.lit(0))["i"]
+    found = found.where(F.col("containment") >= containment).select("doc_id", "license", "containment", place.cast("long").alias("first_word"))
     best = found.groupBy("doc_id", "license").agg(F.max(F.struct("containment", (-F.col("first_word")).alias("back"))).alias("best"))
     return best.select("doc_id", "license", F.col("best.containment").alias("containment"), (-F.col("best.back")).alias("first_word"))
