@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+from pyspark.sql import functions as F
 from rows import SCHEMA, document
 from tokenizers import Tokenizer
 
@@ -56,5 +57,16 @@ def test_whole_documents_without_conflicts(spark, tricky):
     check(spark.createDataFrame([document(i, "w " * rng.randrange(60), rng.choice("aaabcd")) for i in range(60)], SCHEMA), 64)
 
 
+def test_clusters_of_a_column_are_kept_apart(spark):
+    rows = [document(i, f"text {i}", f"s{i}") for i in range(12)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("near.copy", F.when(F.col("doc_id") < 9, F.col("doc_id") % 3))
+    out = packed(docs, cluster="near.copy").collect()
+    bins = defaultdict(list)
+    for r in out:
+        bins[r.bin_id].append(r.doc_id)
+    assert sorted(len({i % 3 for i in ids if i < 9}) for ids in bins.values()) == [3, 3, 3] and all(len([i for i in ids if i < 9]) == 3 for ids in bins.values())
+    assert len(next(ids for ids in bins.values() if 11 in ids)) > 3  # rows without a cluster conflict with none
+
+
 def test_empty_table(empty):
     assert packed(empty).collect() == []

@@ -1,11 +1,14 @@
+import json
+import random
 import zlib
 
 import numpy as np
 import pytest
+from rows import SCHEMA, document
 from tokenizers import Tokenizer
 
 from weftline.llm.scratch import Scratch
-from weftline.llm.sstable import ShardReader, ShardWriter, key_of, lookup, token_shards
+from weftline.llm.sstable import BLOCK_BYTES, ShardReader, ShardWriter, key_of, lookup, make_manifest, token_shards, write_shards
 from weftline.llm.tokenizing import WordTokenizer, word_bpe_path
 
 
@@ -27,8 +30,31 @@ def test_shards_give_back_what_was_written(spark, tricky):
         at += r.n_tokens
     crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
     assert sorted(map(repr, ((r.doc_id, r.n_tokens, r.ids_crc32) for r in got))) == sorted(repr((r.doc_id, len(x), crc(x))) for r in tricky.collect() for x in [ids_of(r.text)])
-    found = sorted((r.doc_id, len(r.ids)) for r in lookup(spark, scratch.path("shards"), [1, 10, 12345]).collect())
-    assert [d for d, _ in found] == [1, 10, 10]
+    make_manifest(spark, scratch.path("shards"), scratch.path("manifest"))
+    found = sorted(((r.doc_id, r.ids) for r in lookup(spark, scratch.path("manifest"), [1, 10, None, 12345]).collect()), key=repr)
+    assert found == sorted(((r.doc_id, ids_of(r.text)) for r in tricky.collect() if r.doc_id in (1, 10, None)), key=repr)
+
+
+def test_lookup_reads_few_bytes(spark):
+    rng, scratch = random.Random(2), Scratch(spark, "test")
+    docs = spark.createDataFrame([document(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(400))) for i in range(2000)], SCHEMA)
+    write_shards(docs, scratch.path("shards"), shard_text_bytes=1 << 20)
+    make_manifest(spark, scratch.path("shards"), scratch.path("manifest"))
+    files = spark.read.parquet(scratch.path("manifest")).collect()
+    assert len(files) >= 4 and sum(f.entries for f in files) == 2000
+    rows = lookup(spark, scratch.path("manifest"), [7, 1234, 99999]).collect()
+    assert sorted(r.doc_id for r in rows) == [7, 1234]
+    assert all(r.bytes_read < 3 * BLOCK_BYTES for r in rows) and sum(r.bytes_read for r in rows) < 0.1 * sum(f.size for f in files)
+
+
+def test_other_definitions_take_whole_texts():
+    definition = json.loads(open(word_bpe_path()).read())
+    del definition["normalizer"]["normalizers"][2]  # no longer lower-cases
+    changed = json.dumps(definition)
+    own, library = WordTokenizer(changed), Tokenizer.from_str(changed)
+    assert not own.by_word and WordTokenizer(open(word_bpe_path()).read()).by_word
+    for text in ("Hello  World's\tend", "ABC ABC abc"):
+        assert np.frombuffer(own.encode(text.encode()), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 def test_lookup_in_one_shard_and_damage():
@@ -38,11 +64,11 @@ def test_lookup_in_one_shard_and_damage():
             data += frame + b"\n"
     for frame in writer.finish():
         data += frame + b"\n"
-    reader = ShardReader(data)
+    reader = ShardReader.of(data)
     assert [len(reader.get(i)) for i in (None, -50, 0, 49, 50, -51)] == [1, 1, 1, 3, 0, 0]
     assert [d for d, _ in reader.scan()] == [None, *range(-50, 50), 49, 49]
     with pytest.raises(ValueError):
-        list(ShardReader(data[:10] + b"#" + data[11:]).scan())
+        list(ShardReader.of(data[:10] + b"#" + data[11:]).scan())
 
 
 def test_empty_table(empty):

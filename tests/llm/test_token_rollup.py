@@ -1,6 +1,8 @@
+import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from weftline.llm.scratch import Scratch
@@ -32,15 +34,42 @@ def test_signed_deltas_and_idempotent_commits(spark):
     assert totals(rollup.totals()) == want | {("z", "en", "v"): (1, 1)}
 
 
+def test_compaction_changes_no_total(spark):
+    rng = random.Random(4)
+    rollup = TokenRollup(spark, Scratch(spark, "test").path("rollup"), buckets=4, compact_after=3)
+    state = {}
+    for batch in range(1, 8):
+        rows = []
+        for doc in rng.sample(range(12), 6):
+            op, source, n = rng.choice(["insert", "revise", "delete"]), rng.choice("ab"), rng.randrange(9)
+            rows.append((doc, op, source, "en", "v", n, 0))
+            state.pop(doc, None) if op == "delete" else state.update({doc: (source, n)})
+        assert rollup.commit(batch, spark.createDataFrame(rows, SCHEMA))
+        want = Counter()
+        for source, n in state.values():
+            want[source, "en", "v"] += n
+        docs = Counter(source for source, _ in state.values())
+        assert totals(rollup.totals()) == totals(rollup.recounted()) == {k: (docs[k[0]], want[k]) for k in want | Counter({(s, "en", "v"): 1 for s in docs})}
+    assert len(rollup._marked("bases")) >= 2 and not rollup.commit(7, spark.createDataFrame(rows, SCHEMA))
+    before = totals(rollup.totals())
+    rollup.vacuum()
+    assert totals(rollup.totals()) == totals(rollup.recounted()) == before
+
+
+def test_a_small_batch_reads_one_bucket(spark):
+    rollup = TokenRollup(spark, Scratch(spark, "test").path("rollup"), buckets=8)
+    rollup.commit(1, spark.createDataFrame([(i, "insert", "a", "en", "v", 1, 0) for i in range(400)], SCHEMA))
+    read, ledger = [], rollup._ledger
+    rollup._ledger = lambda buckets=None: read.append(ledger(buckets)) or read[-1]
+    rollup.commit(2, spark.createDataFrame([(17, "revise", "a", "en", "v", 5, 0)], SCHEMA))
+    assert 0 < read[0].count() < 120 and len({f.split("bucket=")[1].split("/")[0] for f in read[0].select(F.input_file_name()).distinct().toPandas().iloc[:, 0]}) == 1
+    assert totals(rollup.totals()) == {("a", "en", "v"): (400, 404)}
+
+
 def test_rollup_of_a_table_matches_a_recount(tricky, empty):
-    library, rows, want = Tokenizer.from_file(word_bpe_path()), {}, Counter()
+    library, docs, tokens = Tokenizer.from_file(word_bpe_path()), Counter(), Counter()
     for r in tricky.collect():
-        n = len(library.encode(r.text or "", add_special_tokens=False).ids)
-        if r.doc_id is not None:
-            rows[r.doc_id] = max(rows.get(r.doc_id, (0,)), (n, r.source or "", r.lang or ""))
-    for n, source, lang in rows.values():
-        if n:
-            want[source, lang] += n
-    got = {(r.source or "", r.lang or ""): r.n_tokens for r in rollup_of(tricky).collect()}
-    assert got == want
+        docs[r.source, r.lang, "word_bpe_49k"] += 1
+        tokens[r.source, r.lang, "word_bpe_49k"] += len(library.encode(r.text or "", add_special_tokens=False).ids)
+    assert totals(rollup_of(tricky)) == {k: (n, tokens[k]) for k, n in docs.items()}
     assert rollup_of(empty).collect() == []

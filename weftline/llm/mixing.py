@@ -42,6 +42,7 @@ from weftline.llm.subword import SubwordSoftmax
 from weftline.llm.text import row_of, whole
 from weftline.llm.tokenizing import SharedTokenizer, word_bpe_path
 from weftline.llm.toxicity import training_rows
+from weftline.llm.wordtable import WordTable
 
 MAX_ROWS = 4000
 #: Posteriors are multiples of 1 / GRID.
@@ -66,10 +67,13 @@ def _scored(docs: DataFrame, shared, tokens: SharedTokenizer, classes: int, rows
     @F.pandas_udf("n_tokens long, p array<double>")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model, tokenizer = SubwordSoftmax.of(shared.value), tokens.tokenizer()
+        # one look-up of a word gives both its logits and its tokens
+        together = WordTable(lambda words: np.concatenate([model.word_logits(words), tokenizer.word_counts(words)]), classes + 1)
         for batch in batches:
             texts = [bytes(t) for t in batch]
-            p = gridded(np.array([model.posterior(t) for t in texts]).reshape(-1, classes))
-            yield pd.DataFrame({"n_tokens": [tokenizer.count(t) for t in texts], "p": list(p)})
+            sums, n_words = together.sums(texts)
+            n_tokens = sums[:, -1] if tokenizer.by_word else [tokenizer.count(t) for t in texts]
+            yield pd.DataFrame({"n_tokens": np.rint(n_tokens).astype(np.int64), "p": list(gridded(model.of_sums(sums[:, :-1], n_words)))})
 
     text = whole(F.col("text"))
     own = [row_of(docs).alias("row")] if rows else []

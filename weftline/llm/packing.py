@@ -12,7 +12,8 @@ one shard's lengths and bitmaps, not texts. Bits are numbered per shard, for the
 the clusters of which it holds two rows or more: bitmaps are exact.
 
 Lengths are token counts of the public tokenizer plus one end id. Documents with the same words in the
-same order are one cluster.
+same order are one cluster, or those with one value of a column that the caller names, such as
+components of near copies; a null there is a cluster of its own row.
 
 Defined results: a null or empty text has the end id alone and is packed; a null source is a source of
 its own; rows that repeat a document are packed each, in different bins. An empty table gives no rows.
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.scratch import Scratch
-from weftline.llm.text import whole
+from weftline.llm.text import named, whole
 from weftline.llm.tokenizing import SharedTokenizer, word_bpe_path
 
 CAPACITY = 2048
@@ -70,26 +71,28 @@ def pack(sizes: list[int], sources: list, clusters: list, capacity: int) -> list
     return out
 
 
-def measured(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
-    """(doc_id, source, cluster, n_tokens)"""
+def measured(docs: DataFrame, tokenizer_path: str | None = None, cluster: str | None = None) -> DataFrame:
+    """(doc_id, source, cluster, n_tokens), cluster being a digest"""
     shared = SharedTokenizer(docs.sparkSession, tokenizer_path or word_bpe_path())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = shared.tokenizer()
+        count = shared.tokenizer().counter()
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            n = pa.array([tokenizer.count(t) + 1 for t in texts], pa.int64())
-            cluster = pa.array([xxhash.xxh3_128_digest(b" ".join(t.split())) for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cluster, n], ["doc_id", "source", "cluster", "n_tokens"])
+            n = pa.array(count(texts)[0] + 1, pa.int64())
+            same = [b" ".join(t.split()) if c is None else c.encode() for t, c in zip(texts, batch.column(3).to_pylist(), strict=True)]
+            found = pa.array([xxhash.xxh3_128_digest(x) for x in same], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found, n], ["doc_id", "source", "cluster", "n_tokens"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.encode(whole(F.col("text")), "UTF-8").alias("text"))
+    given = F.coalesce(F.concat(F.lit("="), named(cluster).cast("string")), F.concat(F.lit("row "), F.monotonically_increasing_id())) if cluster else F.lit(None).cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.encode(whole(F.col("text")), "UTF-8").alias("text"), given.alias("given"))
     return rows.mapInArrow(run, "doc_id long, source string, cluster binary, n_tokens long")
 
 
-def packed(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, tokenizer_path: str | None = None, scratch: Scratch | None = None) -> DataFrame:
+def packed(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, tokenizer_path: str | None = None, scratch: Scratch | None = None, cluster: str | None = None) -> DataFrame:
     """One row per document, or per piece of a long one: doc_id, piece, bin_id, bin_start, n_tokens, doc_start, source, cluster."""
     scratch = scratch or Scratch(docs.sparkSession, "packing")
-    items = scratch.put(measured(docs, tokenizer_path).withColumn("tag", F.monotonically_increasing_id()), "items")
+    items = scratch.put(measured(docs, tokenizer_path, cluster).withColumn("tag", F.monotonically_increasing_id()), "items")
     n_shards = max(1, -(-items.count() // shard_rows))
     items = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "tag"), F.lit(n_shards)))
 

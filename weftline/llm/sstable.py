@@ -5,14 +5,18 @@ A shard file is a sequence of frames, each closed by one byte 0x0A:
                prefix-compressed against the entry before; then the CRC-32 of the block, 4 bytes
   block index  per block: varint key bytes, first key, offset u64, bytes u32 (a sparse index)
   Bloom filter of the keys: number of hashes u32, then its bits
-  footer       72 bytes: magic, id width, shard, entries, ids, the places of index and filter, CRC-32
+  footer       86 bytes: magic, id width, shard, entries, ids, the places of index and filter, the first and
+               the last key (length byte and 8 bytes each), CRC-32
 Integers are little-endian. A key is the identifier as a big-endian 64-bit number with its sign bit
 turned, so that bytes sort as numbers do; a null identifier is the empty key and sorts first. A value is
 the document's ids, each of the footer's width.
 
 Documents are dealt to shards by ranges of doc_id and written by Spark's text writer, which ends each
 row with 0x0A: a shard is one task's rows, streamed, and appears whole or not at all when its task
-commits, on any file system that Spark writes. Shards are read as binary files, one file at a time.
+commits, on any file system that Spark writes. Scans read shards as binary files, one file at a time.
+Look-ups seek: a manifest (a row per shard: place, size, key range) is made once from the footers alone;
+of a shard whose range holds a wanted identifier a task reads the footer, index and filter, and then
+only the blocks that may have it. Seeking needs a file system that Arrow opens (local, HDFS, S3, GCS).
 
 Defined results: a null text is empty and has the end id alone; rows that repeat a doc_id are entries
 of their own, in the order of their texts; an empty table gives no shard with entries. Extra columns
@@ -23,11 +27,12 @@ from __future__ import annotations
 
 import struct
 import zlib
-from bisect import bisect_left
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -43,7 +48,7 @@ SHARD_TEXT_BYTES = 32 << 20
 BLOCK_BYTES = 64 << 10
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 MAGIC = b"WLSST001"
-FOOTER = "<8sIIQQQQQQII"  # the last but one is spare
+FOOTER = "<8sIIQQQQQQ9s9sI"
 FOOTER_BYTES = struct.calcsize(FOOTER)
 
 
@@ -120,7 +125,8 @@ class ShardWriter:
         bloom = struct.pack("<I", BLOOM_HASHES) + bloom_bits(self.hashes)
         bloom_at = self.offset
         yield self._frame(bloom)
-        head = struct.pack(FOOTER, MAGIC, self.width, self.shard, self.entries, self.n_ids, index_at, len(index), bloom_at, len(bloom), 0, 0)[:-4]
+        ends = [bytes([len(k)]) + k for k in (self.index[0][0] if self.index else b"", self.last)]
+        head = struct.pack(FOOTER, MAGIC, self.width, self.shard, self.entries, self.n_ids, index_at, len(index), bloom_at, len(bloom), *ends, 0)[:-4]
         yield self._frame(head + struct.pack("<I", zlib.crc32(head)))
 
 
@@ -137,31 +143,47 @@ def bloom_bits(hashes: list[int]) -> bytes:
     return np.packbits(bits).tobytes()
 
 
+class Footer:
+    def __init__(self, foot: bytes):
+        magic, self.width, self.shard, self.entries, self.n_ids, self.index_at, self.index_len, self.bloom_at, self.bloom_len, first, last, crc = struct.unpack(FOOTER, foot)
+        if magic != MAGIC or zlib.crc32(foot[:-4]) != crc:
+            raise ValueError("not a shard, or a damaged one")
+        self.first, self.last = (k[1 : 1 + k[0]] for k in (first, last))
+
+
 class ShardReader:
-    """A shard's bytes: get by identifier, or scan in order."""
+    """A shard by what ``read(offset, length)`` gives of its ``size`` bytes: get by identifier, or scan in order.
 
-    def __init__(self, data):
-        self.data = memoryview(data).cast("B")  # an Arrow buffer has signed bytes
-        foot = bytes(self.data[-FOOTER_BYTES - 1 : -1])
-        magic, self.width, self.shard, self.entries, self.n_ids, index_at, index_len, bloom_at, bloom_len, _, _ = struct.unpack(FOOTER, foot)
-        if magic != MAGIC or zlib.crc32(foot[:-4]) != struct.unpack("<I", foot[-4:])[0]:
-            raise ValueError("not a shard, or a damaged one")
-        self.firsts, self.places, at = [], [], index_at
-        while at < index_at + index_len:
-            n, at = get_varint(self.data, at)
-            self.firsts.append(bytes(self.data[at : at + n]))
-            self.places.append(struct.unpack_from("<QI", self.data, at + n))
+    Footer, index and filter are read at once; a block when it is asked for.
+    """
+
+    def __init__(self, read: Callable[[int, int], bytes], size: int):
+        self.read = read
+        foot = Footer(bytes(read(size - FOOTER_BYTES - 1, FOOTER_BYTES)))
+        self.width, self.shard, self.entries, self.n_ids = foot.width, foot.shard, foot.entries, foot.n_ids
+        index, at = read(foot.index_at, foot.index_len), 0
+        self.firsts, self.places = [], []
+        while at < foot.index_len:
+            n, at = get_varint(index, at)
+            self.firsts.append(bytes(index[at : at + n]))
+            self.places.append(struct.unpack_from("<QI", index, at + n))
             at += n + 12
-        self.bloom = self.data[bloom_at + 4 : bloom_at + bloom_len]
+        self.bloom = read(foot.bloom_at + 4, foot.bloom_len - 4)
+
+    @classmethod
+    def of(cls, data) -> ShardReader:
+        """A shard that is at hand whole."""
+        view = memoryview(data).cast("B")  # an Arrow buffer has signed bytes
+        return cls(lambda offset, length: view[offset : offset + length], len(view))
 
     def may_hold(self, doc_id: int | None) -> bool:
         h = np.array([xxhash.xxh64_intdigest(key_of(doc_id))], np.uint64)
         return all(self.bloom[int(p) >> 3] >> (7 - (int(p) & 7)) & 1 for p in bloom_places(h, len(self.bloom) * 8)[0])
 
     def block(self, k: int) -> Iterator[tuple[bytes, memoryview]]:
-        offset, length = self.places[k]
-        data = self.data[offset : offset + length - 4]
-        if zlib.crc32(data) != struct.unpack_from("<I", self.data, offset + length - 4)[0]:
+        whole = memoryview(self.read(*self.places[k]))
+        data = whole[:-4]
+        if zlib.crc32(data) != struct.unpack("<I", whole[-4:])[0]:
             raise ValueError(f"block {k} is damaged")
         at, key = 0, b""
         while at < len(data):
@@ -230,7 +252,7 @@ def read_shards(spark: SparkSession, root: str, scratch: Scratch) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                reader = ShardReader(content.as_buffer())
+                reader = ShardReader.of(content.as_buffer())
                 at, out = 0, []
                 for doc_id, ids in reader.scan():
                     out.append((reader.shard, doc_id, at, len(ids), zlib.crc32(ids.tobytes())))
@@ -246,22 +268,59 @@ def read_shards(spark: SparkSession, root: str, scratch: Scratch) -> DataFrame:
     return rows.join(bases, "shard").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", "shard")
 
 
-def lookup(spark: SparkSession, root: str, doc_ids: list[int | None]) -> DataFrame:
-    """(doc_id, ids) of the wanted documents, by filter, index and one or two blocks of each shard.
+def seeker(path: str) -> tuple[Callable[[int, int], bytes], Callable[[], None]]:
+    """(read, close): a file's bytes by offset and length."""
+    system, at = pa.fs.FileSystem.from_uri(path)
+    file = system.open_input_file(at)
+    return (lambda offset, length: file.read_at(length, offset)), file.close
+
 
-    doc_ids is a list at hand, sent to every task; of each shard that may hold one, only its blocks are decoded.
+def make_manifest(spark: SparkSession, root: str, path: str) -> None:
+    """Writes (path, size, shard, entries, first, last) of each shard under root, from the footers alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for file, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                read, close = seeker(file)
+                foot = Footer(read(size - FOOTER_BYTES - 1, FOOTER_BYTES))
+                close()
+                out.append((file, size, foot.shard, foot.entries, foot.first, foot.last))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], t) for t in types], names)
+
+    names, types = ["path", "size", "shard", "entries", "first", "last"], [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+    # without its content column a binary file is listed, not read
+    shards(spark, root).select("path", "length").mapInArrow(run, "path string, size long, shard int, entries long, first binary, last binary").write.mode("overwrite").parquet(path)
+
+
+def lookup(spark: SparkSession, manifest: str, doc_ids: list[int | None]) -> DataFrame:
+    """(doc_id, ids, bytes_read) of the wanted documents, by key ranges, filter, index and the blocks that may hold them.
+
+    doc_ids is a list at hand, sent to every task. bytes_read counts all that was read of the shard, at its first row.
     """
-    wanted = list(dict.fromkeys(doc_ids))
+    wanted = sorted({key_of(d) for d in doc_ids})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
-                reader = ShardReader(content.as_buffer())
-                found = [(d, ids.tolist()) for d in wanted for ids in reader.get(d)]
+            for file, size, first, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                here = wanted[bisect_left(wanted, first) : bisect_right(wanted, last)]
+                if not here:
+                    continue
+                read, close = seeker(file)
+                taken = []
+
+                def counted(offset: int, length: int, read=read, taken=taken) -> bytes:
+                    taken.append(length)
+                    return read(offset, length)
+
+                reader = ShardReader(counted, size)
+                found = [(id_of(k), ids.tolist()) for k in here for ids in reader.get(id_of(k))]
+                close()
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([x for _, x in found], pa.list_(pa.int64()))], ["doc_id", "ids"])
+                    columns = [pa.array([d for d, _ in found], pa.int64()), pa.array([x for _, x in found], pa.list_(pa.int64())), pa.array([sum(taken)] + [0] * (len(found) - 1), pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "bytes_read"])
 
-    return shards(spark, root).select("content").mapInArrow(run, "doc_id long, ids array<long>")
+    return spark.read.parquet(manifest).select("path", "size", "first", "last").mapInArrow(run, "doc_id long, ids array<long>, bytes_read long")
 
 
 def token_shards(docs: DataFrame, tokenizer_path: str | None = None, scratch: Scratch | None = None, **options) -> DataFrame:

@@ -8,14 +8,16 @@ Misspelt words that training never met share most n-grams, and so most of their
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 
+from weftline.llm.wordtable import WordTable
+
 DIM, BUCKETS = 8, 1 << 16
 #: The mean of the words is scaled before the softmax, so that a few words in a hundred can decide.
 SCALE = 40
 GRAMS = (3, 4, 5)
-REMEMBERED = 300_000
 #: An odd 64-bit factor of the rolling hash.
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -58,15 +60,12 @@ class SubwordSoftmax:
         self.table = (rng.standard_normal((buckets, dim)) * 0.01).astype(np.float32)
         self.weights = rng.standard_normal((dim, classes)).astype(np.float32)
         self.bias = np.zeros(classes, np.float32)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.ids: dict[bytes, int] = {}
-        self.logits = np.zeros((1024, self.classes), np.float32)
 
     def fit(self, texts: list[bytes], labels: list[int], epochs: int = 5, batch: int = 64, rate: float = 0.2, seed: int = 2) -> SubwordSoftmax:
-        """Adagrad on the log loss of all parameters at once."""
+        """Adagrad on the log loss of all parameters at once. Without texts all classes are equally likely from then on."""
+        self._made = None
         if not texts:
+            self.weights[:] = 0
             return self
         vocabulary: dict[bytes, int] = {}
         bags = []
@@ -113,35 +112,30 @@ class SubwordSoftmax:
                 for parameter, g, square in zip((self.table, self.weights, self.bias), gradients, squares, strict=True):
                     square += g * g
                     parameter -= rate * g / np.sqrt(square)
-        self._forget()
         return self
 
-    def _learn(self, words: list[bytes]) -> None:
-        new = [w for w in set(words) if w not in self.ids]
-        if len(self.ids) + len(new) > REMEMBERED:
-            self._forget()
-            new = list(set(words))
-        at = len(self.ids)
-        if at + len(new) > len(self.logits):
-            grown = np.zeros((2 * (at + len(new)), self.classes), np.float32)
-            grown[:at] = self.logits[:at]
-            self.logits = grown
-        flat, n = buckets_of(new, self.buckets)
-        vectors = np.add.reduceat(self.table[flat], np.cumsum(n) - n, axis=0)
-        self.logits[at : at + len(new)] = (vectors / n[:, None]) @ self.weights
-        self.ids.update(zip(new, range(at, at + len(new)), strict=True))
+    def word_logits(self, words: list[bytes]) -> np.ndarray:
+        """[classes, words]: what each word, A-Z lowered, adds to a document's logits before they are averaged and scaled."""
+        flat, n = buckets_of([w.lower() for w in words], self.buckets)
+        return np.add.reduceat(self._bucket_logits()[flat], np.cumsum(n) - n, axis=0).T / n
+
+    def _bucket_logits(self) -> np.ndarray:
+        """table @ weights, made once after training."""
+        if getattr(self, "_made", None) is None:
+            self._made = self.table @ self.weights
+        return self._made
+
+    def of_sums(self, sums: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+        """Class probabilities of texts, from the sums of their words' logits; those of the bias alone if there is no word."""
+        return _softmax(SCALE * sums / np.maximum(n_words, 1)[:, None] + self.bias)
+
+    def scorer(self) -> Callable[[list[bytes]], np.ndarray]:
+        """Whole texts to class probabilities [texts, classes]; remembers words."""
+        table = WordTable(self.word_logits, self.classes)
+        return lambda texts: self.of_sums(*table.sums(texts))
 
     def posterior(self, text: bytes) -> np.ndarray:
-        """Class probabilities of a whole text; those of the bias alone if it has no word."""
-        words = words_of(text)
-        if not words:
-            return _softmax(self.bias[None, :])[0]
-        try:
-            ids = [self.ids[w] for w in words]
-        except KeyError:
-            self._learn(words)
-            ids = [self.ids[w] for w in words]
-        return _softmax((SCALE * self.logits[ids].mean(axis=0, dtype=np.float64) + self.bias)[None, :])[0]
+        return self.scorer()([text])[0]
 
     def state(self) -> tuple:
         return self.classes, self.table, self.weights, self.bias
@@ -151,7 +145,6 @@ class SubwordSoftmax:
         model = cls.__new__(cls)
         model.classes, model.table, model.weights, model.bias = state
         model.buckets = len(model.table)
-        model._forget()
         return model
 
 

@@ -1,25 +1,52 @@
-"""Token ids of whole texts with a public tokenizer, a word at a time.
+"""Token ids of whole texts with a public tokenizer, a word at a time where its definition allows it.
 
-The tokenizer drops white space and never joins across it, so that a text's ids are those of its words
+The tokenizer of word_bpe_49k.json drops white space and never joins across it, so that a text's ids are those of its words
 in order. Each task keeps the ids of words it has met. A new word goes to the library: whole, or, if it is
 plain letters with ASCII punctuation after them, as the two tokens into which the tokenizer cuts such a
 word, straight to the library's merges. Such letters are their own normal form and lower-case one by one,
-so that the ids are the same; tests hold both ways against each other.
+so that the ids are the same; tests hold both ways against each other. A definition whose normalizer,
+pre-tokenizer or model settings are not those of BY_WORD encodes whole texts in the library.
 """
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import SparkSession
 
+from weftline.llm.wordtable import WordTable
+
 WORD_BPE = "word_bpe_49k.json"
 #: Words that a task remembers; beyond that it starts afresh, which costs time only.
 REMEMBERED = 250_000
 PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
 
+#: What a definition must say for the words of a text to be encoded apart.
+BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False},
+    "truncation": None,
+    "padding": None,
+}
+
+
+def splits_into_words(definition: str) -> bool:
+    given = json.loads(definition)
+    given["model"] = {k: v for k, v in given["model"].items() if k not in ("vocab", "merges")}
+    plain = all(re.fullmatch(r"\S+", t["content"]) and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in given["added_tokens"])
+    return plain and all(given.get(k) == v for k, v in BY_WORD.items())
+
 
 def byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in byte-level vocabularies: itself if it prints, else the next after 255."""
@@ -43,6 +70,7 @@ class WordTokenizer:
         self.library = Tokenizer.from_str(definition)
         self.merges = self.library.model
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
+        self.by_word = splits_into_words(definition)
         self.letters = byte_letters()
         self.ids: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
@@ -60,21 +88,45 @@ class WordTokenizer:
             found = self.parts[part] = self._packed([t.id for t in self.merges.tokenize(spelt)])
         return found
 
+    def encoded(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word."""
+        out: list[bytes] = [b""] * len(words)
+        rest = []
+        for k, word in enumerate(words):
+            if plain := PLAIN.fullmatch(text := word.decode("utf-8", "replace")):
+                out[k] = self._part(plain[1].lower()) + (self._part(plain[2]) if plain[2] else b"")
+            else:
+                rest.append((k, text))
+        for (k, _), found in zip(rest, self.library.encode_batch_fast([t for _, t in rest], add_special_tokens=False), strict=True):
+            out[k] = self._packed(found.ids)
+        return out
+
     def learn(self, words: Iterable[bytes]) -> None:
         new = [w for w in set(words) if w not in self.ids]
         if len(self.ids) + len(new) > REMEMBERED:
             self.ids.clear()
             new = list(set(words))
-        rest = []
-        for word in new:
-            if plain := PLAIN.fullmatch(text := word.decode("utf-8", "replace")):
-                self.ids[word] = self._part(plain[1].lower()) + (self._part(plain[2]) if plain[2] else b"")
-            else:
-                rest.append((word, text))
-        for (word, _), found in zip(rest, self.library.encode_batch_fast([t for _, t in rest], add_special_tokens=False), strict=True):
-            self.ids[word] = self._packed(found.ids)
+        self.ids.update(zip(new, self.encoded(new), strict=True))
+
+    def word_counts(self, words: list[bytes]) -> np.ndarray:
+        """[1, words]: how many ids each word has."""
+        return np.fromiter(map(len, self.encoded(words)), np.int64, len(words))[None, :] / self.width
+
+    def counter(self) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]:
+        """Whole texts to their numbers of ids and of words; remembers words."""
+        if not self.by_word:
+            return lambda texts: (np.array([self.count(t) for t in texts], np.int64), np.array([len(t.split()) for t in texts], np.int64))
+        table = WordTable(self.word_counts, 1)
+
+        def count(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            sums, n_words = table.sums(texts)
+            return np.rint(sums[:, 0]).astype(np.int64), n_words
+
+        return count
 
     def encode(self, text: bytes) -> bytes:
+        if not self.by_word:
+            return self._packed(self.library.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids)
         words = text.split()
         try:
             return b"".join([self.ids[w] for w in words])

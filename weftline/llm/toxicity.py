@@ -2,8 +2,9 @@
 
 The model (see subword.py) is fitted on the driver from at most ``max_rows`` labelled rows (8,000), those of the
 least hashed doc_id; their identifiers are chosen from the labels alone and their texts are then fetched
-with a broadcast of at most that many identifiers. Its parameters, about 2 MB whatever the input's size,
-are broadcast; each text is scored where it is read, without a shuffle.
+with a broadcast of at most that many identifiers. Rows of over ``max_bytes`` of text (32 KiB) are not
+learned from, so that the driver never holds more than 256 MB of texts. The parameters, about 2 MB
+whatever the input's size, are broadcast; each whole text is scored where it is read, without a shuffle.
 
 Rows of which crc32(doc_id as text) mod FOLDS is HELD_OUT are never learned from. Labels, lang, source
 and doc_id are no inputs of a score.
@@ -26,6 +27,7 @@ from weftline.llm.subword import SubwordSoftmax
 from weftline.llm.text import whole
 
 MAX_ROWS = 8000
+MAX_BYTES = 32 << 10
 FOLDS, HELD_OUT = 5, 0
 
 
@@ -33,12 +35,12 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % FOLDS
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, target: Column, max_rows: int, learned: Column | None = None) -> list:
-    """At most max_rows rows (text, label) of labelled documents for which ``learned`` holds."""
+def training_rows(docs: DataFrame, labels: DataFrame, target: Column, max_rows: int, learned: Column | None = None, max_bytes: int = MAX_BYTES) -> list:
+    """At most max_rows rows (text, label) of labelled documents for which ``learned`` holds, none of over max_bytes."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), target.alias("label")).where("doc_id is not null and label is not null")
     known = known.where(F.lit(True) if learned is None else learned).groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(whole(F.col("text")), "UTF-8").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(whole(F.col("text")), "UTF-8").alias("text")).where(F.octet_length("text") <= max_bytes)
     # at most max_rows identifiers are broadcast; the order makes the fit the same in every run
     rows = texts.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(max_rows)
     return rows.select("text", "label").collect()
@@ -54,9 +56,9 @@ def score(docs: DataFrame, model: SubwordSoftmax) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model.state())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = SubwordSoftmax.of(shared.value)
+        score_all = SubwordSoftmax.of(shared.value).scorer()
         for batch in batches:
-            scores = np.array([model.posterior(t.as_py())[1] for t in batch.column(2)], np.float64)
+            scores = score_all(batch.column(2).to_pylist())[:, 1]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     held = (fold(F.col("doc_id")) == HELD_OUT).alias("held_out")
