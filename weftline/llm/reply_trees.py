@@ -8,8 +8,8 @@ their path's score, ties by node_id; the best ``top`` of them become one convers
 A turn is written <|im_start|>role, line feed, text, <|im_end|>, line feed. In a text a backslash is
 doubled and <| becomes <\\|, and in a role a line feed becomes \\n too, so that no text can look like
 a control string and every text is read back exactly. The loss mask is the spans, in code points, of
-assistant texts. A conversation is rows (segments) of at most SEGMENT_TURNS turns: however long it is, a
-task holds one segment, written or read in order.
+assistant texts. A conversation is rows (segments) of at most SEGMENT_TURNS turns, which different tasks
+write; a digest over a conversation reads its segments in order, one at a time.
 
 Defined results: a null text or role is empty; a null score is 0; a parent that is missing makes a node
 a root; nodes on a parent cycle, or below one, are on no path and are left out; of rows that repeat a
@@ -120,7 +120,7 @@ class ReplyTrees:
     def formatted(self, top: int = 1) -> DataFrame:
         """Segments: conv_id, tree, rank, segment, turns, formatted, spans."""
 
-        def segment(key: tuple, turns: list[tuple[str, str]], number: int) -> pa.RecordBatch:
+        def segment(key: list, turns: list[tuple[str, str]]) -> pa.RecordBatch:
             parts, spans, at = [], [], 0
             for role, text in turns:
                 head, body = f"{START}{escape(role, role=True)}\n", escape(text)
@@ -128,28 +128,29 @@ class ReplyTrees:
                     spans.append({"begin": at + len(head), "end": at + len(head) + len(body)})
                 parts += [head, body, END]
                 at += len(head) + len(body) + len(END)
-            row = [*key, number, len(turns), "".join(parts), spans]
+            row = [*key, len(turns), "".join(parts), spans]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
 
         names = ["conv_id", "tree", "rank", "segment", "turns", "formatted", "spans"]
         types = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            key, turns, number = None, [], 0
+            key, turns = None, []
             for batch in batches:
-                for conv_id, tree, rank, _, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if (conv_id, tree, rank) != key or len(turns) == SEGMENT_TURNS:
+                for *own, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if own != key:
                         if turns:
-                            yield segment(key, turns, number)
-                        number = number + 1 if (conv_id, tree, rank) == key else 0
-                        key, turns = (conv_id, tree, rank), []
+                            yield segment(key, turns)
+                        key, turns = own, []
                     turns.append((role, text))
             if turns:
-                yield segment(key, turns, number)
+                yield segment(key, turns)
 
-        rows = self.paths(top).repartition("tree", "rank").sortWithinPartitions("tree", "rank", "place")
+        # a long conversation's segments are written by different tasks
+        rows = self.paths(top).withColumn("segment", F.floor(F.col("place") / SEGMENT_TURNS).cast("int"))
+        rows = rows.repartition("tree", "rank", "segment").sortWithinPartitions("tree", "rank", "segment", "place")
         schema = "conv_id long, tree string, rank int, segment int, turns int, formatted string, spans array<struct<begin:bigint,end:bigint>>"
-        return rows.select("conv_id", "tree", "rank", "place", "role", "text").mapInArrow(run, schema)
+        return rows.select("conv_id", "tree", "rank", "segment", "role", "text").mapInArrow(run, schema)
 
 
 def read_back(segments: DataFrame) -> DataFrame:

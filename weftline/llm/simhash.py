@@ -44,6 +44,8 @@ TILE = 8192
 CHUNK = 1024
 #: Rows that may meet under one choice of fields on average, before more fields are used.
 GROUP = 256
+#: Parts into which the members of a component are dealt when they get its name.
+SALTS = 16
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -246,11 +248,13 @@ class Components:
     """Classes of fingerprints: the components of their links, each named by its least doc_id."""
 
     def _classify(self, nodes: DataFrame, found: DataFrame) -> None:
-        roots = connected_components(found, self.scratch)
-        rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        rooted = self.scratch.put(rooted, "rooted")
-        least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-        self.classes = rooted.join(least, "root").select("fp", "component_id")
+        """Sets classes from nodes (fp, least) and links. What links nothing is not joined; a root of many is dealt to SALTS parts."""
+        linked = nodes.join(connected_components(found, self.scratch).withColumnRenamed("node", "fp"), "fp", "left")
+        linked = self.scratch.put(linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")), "rooted")
+        least = linked.where("root is not null").groupBy("root").agg(F.min("least").alias("component_id"))
+        least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        alone = linked.where("root is null").select("fp", F.col("least").alias("component_id"))
+        self.classes = alone.unionByName(linked.where("root is not null").join(least, ["root", "salt"]).select("fp", "component_id"))
 
 
 class SimHash(Components):
