@@ -195,8 +195,8 @@ def test_rounds(spark, tmp_path, url):
 
 
 def test_connector_refuses_unfilled_paths(spark, url):
-    asked = spark.createDataFrame([("1", f"{url}/x/{{id}}", "put", "{}", "k")], "source_id string, url string, method string, body string, key string")
-    assert rest.write(asked).first().error.startswith("unfilled")
+    asked = spark.createDataFrame([(0, "1", f"{url}/x/{{id}}", "put", "{}", "k")], "ordinal long, source_id string, url string, method string, body string, key string")
+    assert rest.write(asked).first().error.startswith("unfilled") and rest.write(asked).first().failed
     Service.data = {"things": [{"id": 1}, {"id": "1", "n": None}]}
     got = rest.scan(spark, f"{url}/things")
     assert got.schema["item"].dataType.simpleString() == "map<string,variant>" and got.count() == 2

@@ -6,6 +6,7 @@ from test_engine import ISSUES, TICKETS
 
 from weftline.functions.records import record
 from weftline.plans.api import add_mapping, register_spec
+from weftline.sources import rest
 from weftline.sources.catalog import Catalog
 from weftline.streaming.rounds import run_round
 
@@ -21,7 +22,7 @@ def test_linked_items_are_updated_on_what_get_one_returns(spark, tmp_path, liste
     mapping = add_mapping(catalog, "issue", {a: first, b: second})
     catalog.append("id_map", spark.createDataFrame([(mapping, '"t1"', '"i1"', 1)], "mapping_id string, a_id string, b_id string, seq long"))
     rows = {"http://t/tickets": '{"id": "t1", "name": "N"}', "http://i/issues": '{"id": "i1"}'}
-    scan = lambda spark, url: spark.createDataFrame([(0, rows[url])], "ordinal long, j string").select("ordinal", record(F.col("j")).alias("item"))
+    scan = lambda spark, url, method="GET": spark.createDataFrame([(0, rows[url])], "ordinal long, j string").select("ordinal", record(F.col("j")).alias("item"))
     asked, sent = [], []
 
     def fetch(requests):
@@ -30,8 +31,31 @@ def test_linked_items_are_updated_on_what_get_one_returns(spark, tmp_path, liste
 
     def write(requests):
         sent.extend(r.body for r in requests.where("url like 'http://i/%'").collect())
-        return requests.select("source_id", F.lit(None).cast("string").alias("response_id_json"), F.lit(None).cast("string").alias("error"))
+        none = F.lit(None).cast("string")
+        return requests.select("ordinal", "source_id", none.alias("response_id_json"), none.alias("error"), F.lit(False).alias("failed"))
 
     report = run_round(catalog, scan=scan, write=write, fetch=fetch)
     assert report[mapping][0] == 1 and asked == ["http://i/issues/i1"]
     assert len(sent) == 1 and '"only":"here"' in sent[0].replace(" ", "")
+
+
+def test_a_linked_item_that_is_gone_is_updated_on_an_empty_base(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    class One(BaseHTTPRequestHandler):
+        def log_message(self, *_):
+            pass
+
+        def do_GET(self):
+            self.send_response(404 if self.path.endswith("gone") else 500 if self.path.endswith("broken") else 200)
+            self.end_headers()
+            self.wfile.write(b'{"id": "here"}')
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), One)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    ask = lambda *ids: spark.createDataFrame([(i, f"http://127.0.0.1:{server.server_port}/{i}", "get") for i in ids], "target_id string, url string, method string")
+    assert [r.target_id for r in rest.fetch(ask("here", "gone")).collect()] == ["here"]
+    with pytest.raises(Exception, match="500"):
+        rest.fetch(ask("broken")).collect()
+    server.shutdown()

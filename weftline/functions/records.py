@@ -53,11 +53,15 @@ def overlay(base: Column, item: Column, dictionary: Column) -> Column:
 
     A target whose last entry names a property that the item lacks is removed; a JSON null is written.
     """
-    entries = usable(dictionary)
-    last = lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["value"] == e["value"])
-    written = F.filter(F.transform(F.filter(entries, last), lambda e: F.struct(e["value"].alias("key"), F.try_element_at(item, e["key"]).alias("value"))), lambda e: e["value"].isNotNull())
-    kept = F.map_filter(F.coalesce(base, F.from_json(F.lit("{}"), RECORD)), lambda k, v: ~F.exists(entries, lambda e: e["value"] == k))
-    return F.map_concat(kept, F.map_from_entries(written))
+
+    def put(entries: Column) -> Column:
+        last = lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["value"] == e["value"])
+        written = F.transform(F.filter(entries, last), lambda e: F.struct(e["value"].alias("key"), F.try_element_at(item, e["key"]).alias("value")))
+        kept = F.map_filter(F.coalesce(base, F.from_json(F.lit("{}"), RECORD)), lambda k, v: ~F.exists(entries, lambda e: e["value"] == k))
+        return F.map_concat(kept, F.map_from_entries(F.filter(written, lambda e: e["value"].isNotNull())))
+
+    # the entries are bound, so that they are made once a row and not once a property
+    return F.get(F.transform(F.array(usable(dictionary)), put), F.lit(0))
 
 
 def without_id(item: Column) -> Column:

@@ -43,6 +43,16 @@ def selected(endpoints: DataFrame, selection: DataFrame) -> DataFrame:
     return endpoints.join(selection.select("identifier"), "identifier", "left_semi")
 
 
+def selection(identifiers: Column, selected: bool) -> Column:
+    """A selection in which all of an array of identifiers are on, or off."""
+    return F.map_from_arrays(F.array_distinct(identifiers), F.transform(F.array_distinct(identifiers), lambda _: F.lit(selected)))
+
+
+def chosen(selection: Column) -> Column:
+    """The identifiers that are on in a selection."""
+    return F.map_keys(F.map_filter(selection, lambda _, on: F.coalesce(on, F.lit(False))))
+
+
 def resolve(slots: DataFrame, endpoints: DataFrame) -> DataFrame:
     """slots (..., api_id, operation, identifier) with the first endpoint of that identifier; none if '' or unknown."""
     first = first_match(endpoints, ["api_id", "identifier"]).select("api_id", "identifier", F.struct("name", "description", "path", "method", "parameters", "requestBody", "responseSchema").alias("endpoint"))

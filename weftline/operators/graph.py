@@ -17,3 +17,10 @@ def options(df: DataFrame) -> DataFrame:
     """(name, value) choices with a blank one in front."""
     blank = df.sparkSession.createDataFrame([(0, "", None)], "ordinal int, name string, value string")
     return blank.unionByName(df.select(F.lit(1).alias("ordinal"), "name", F.col("id").cast("string").alias("value")))
+
+
+def sides(mappings: DataFrame, apis: DataFrame) -> DataFrame:
+    """(id, name, side, api, api_name, baseUrl): each mapping's parts with their services; a part of an unknown service is left out."""
+    parts = mappings.select("id", "name", F.posexplode("parts").alias("side", "part")).select("id", "name", "side", F.col("part.api").alias("api"))
+    known = apis.select(F.col("id").alias("api"), F.col("name").alias("api_name"), "baseUrl")
+    return parts.join(known, "api").select("id", "name", "side", "api", "api_name", "baseUrl")

@@ -40,6 +40,19 @@ def latest(log: DataFrame, keys: list[str], sequence: str = "seq") -> DataFrame:
     return log.groupBy(*keys).agg(last).select(*keys, *[F.col(f"found.`{c}`").alias(c) for c in rest]).select(*log.columns)
 
 
+def upsert_log(log: DataFrame, changes: DataFrame, keys: list[str], sequence: str = "seq") -> DataFrame:
+    """The table that a log and later changes, both with their sequence numbers, amount to."""
+    return latest(append(log, changes), keys, sequence)
+
+
+def as_dictionary(df: DataFrame, keys: list[str], name: str, value: str, order: str) -> DataFrame:
+    """(keys, dictionary): one map per key of name to value, of the rows in ``order``; of a name the last row counts."""
+    last = latest(df.where(F.col(name).isNotNull()).select(*keys, name, value, order), [*keys, name], order)
+    entries = F.sort_array(F.collect_list(F.struct(order, name, value)))
+    pairs = F.transform(entries, lambda e: F.struct(e[name].alias("key"), e[value].alias("value")))
+    return last.groupBy(*keys).agg(F.map_from_entries(pairs).alias("dictionary"))
+
+
 def with_default(df: DataFrame, other: DataFrame, keys: list[str], defaults: dict) -> DataFrame:
     """df with other's columns of the same key, the defaults where there is none."""
     joined = df.join(other, keys, "left")

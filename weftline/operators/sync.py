@@ -11,20 +11,42 @@ from weftline.operators.keyed import first_match
 CREATE, UPDATE = "create", "update"
 
 
-def plan_pass(source: DataFrame, target: DataFrame, id_map: DataFrame, dictionary: Column) -> DataFrame:
+def _links(id_map: DataFrame, unique: bool) -> DataFrame:
+    """(source_id, target_id) of this direction's links; of a source id the first one."""
+    links = id_map.select("ordinal", "source_id", "target_id").where("source_id is not null")
+    links = links if unique else first_match(links, ["source_id"])
+    return links.where(linked(F.col("target_id"))).select("source_id", "target_id")
+
+
+def _or_none(key: Column) -> Column:
+    """A join key in which rows without one are spread by their ordinal and match nothing: keys are JSON texts, never this."""
+    return F.coalesce(key, F.concat(F.lit("none "), F.col("ordinal")))
+
+
+def keyed_items(source: DataFrame) -> DataFrame:
+    """(ordinal, source_id, item)"""
+    return source.select("ordinal", key_of(property_of(F.col("item"), "id")).alias("source_id"), "item")
+
+
+def lookup_keys(source: DataFrame, id_map: DataFrame, unique: bool = False) -> DataFrame:
+    """(target_id): the target's keys of the items that are linked, each once: what to ask a target for."""
+    return keyed_items(source).select("source_id").join(_links(id_map, unique), "source_id").select("target_id").distinct()
+
+
+def plan_pass(source: DataFrame, target: DataFrame, id_map: DataFrame, dictionary: Column, unique: bool = False) -> DataFrame:
     """(ordinal, source_id, target_id, has_base, action, payload) of every item of source.
 
     source, target: (ordinal, item), target also with target_id if its rows were asked for by key; id_map: (ordinal, source_id, target_id) keys of this direction.
     dictionary: map of source to target properties. An item whose link names no row of target is still an
-    update, on an empty base. An item without an id joins nothing and is created.
+    update, on an empty base. An item without an id joins nothing and is created. unique: source ids of the
+    id map and keys of the target do not repeat, so that their first rows need not be sought.
     """
-    links = first_match(id_map.select("ordinal", "source_id", "target_id").where("source_id is not null"), ["source_id"])
-    links = links.where(linked(F.col("target_id"))).select("source_id", "target_id")
     target_key = F.col("target_id") if "target_id" in target.columns else key_of(property_of(F.col("item"), "id"))
-    rows = target.select("ordinal", target_key.alias("target_id"), F.col("item").alias("base"))
-    rows = first_match(rows.where("target_id is not null"), ["target_id"]).select("target_id", "base")
-    items = source.select("ordinal", key_of(property_of(F.col("item"), "id")).alias("source_id"), "item")
-    joined = items.join(links, "source_id", "left").join(rows, "target_id", "left")
+    rows = target.select("ordinal", target_key.alias("target_id"), F.col("item").alias("base")).where("target_id is not null")
+    rows = (rows if unique else first_match(rows, ["target_id"])).select(F.col("target_id").alias("base_id"), "base")
+    links = _links(id_map, unique).withColumnRenamed("source_id", "linked_id")
+    items = keyed_items(source)
+    joined = items.join(links, _or_none(F.col("source_id")) == F.col("linked_id"), "left").join(rows, _or_none(F.col("target_id")) == F.col("base_id"), "left")
     mapped = overlay(F.col("base"), F.col("item"), dictionary)
     update = F.col("target_id").isNotNull()
     return joined.select(
@@ -37,6 +59,11 @@ def plan_pass(source: DataFrame, target: DataFrame, id_map: DataFrame, dictionar
     )
 
 
+def unmapped(source: DataFrame, id_map: DataFrame) -> DataFrame:
+    """The items (ordinal, source_id, item) that no link names."""
+    return keyed_items(source).join(_links(id_map, False), "source_id", "left_anti")
+
+
 def directed(id_map: DataFrame, reverse: bool) -> DataFrame:
     """Pairs (a_id, b_id) as (source_id, target_id) of a pass from a to b, or from b to a."""
     a, b = ("b_id", "a_id") if reverse else ("a_id", "b_id")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from weftline import schemas
 from weftline.functions.paths import label
 from weftline.operators.endpoints import OPERATIONS, resolve, selected
 from weftline.operators.graph import graph as graph_of
+from weftline.operators.sync import useful
 from weftline.plans.matching import Matcher, NameMatcher
 from weftline.sources.catalog import Catalog
 from weftline.sources.spec import parse_specs
@@ -33,9 +35,33 @@ def _labels(catalog: Catalog, api_id: str, identifiers: list[str]) -> list[str]:
     return [r.label for r in rows.orderBy("ordinal").select(label(F.col("identifier"), F.col("description")).alias("label")).collect()]
 
 
-def propose_mappings(catalog: Catalog, a: str, selection_a: list[str], b: str, selection_b: list[str], matcher: Matcher | None = None) -> dict:
-    """Categories with the endpoints of both sides, from the selected endpoints."""
-    return (matcher or NameMatcher()).endpoints(_labels(catalog, a, selection_a), _labels(catalog, b, selection_b))
+def propose_mappings(catalog: Catalog, a: str, selection_a: list[str], b: str, selection_b: list[str], matcher: Matcher | None = None, only_useful: bool = True) -> dict:
+    """Categories with the endpoints of both sides, from the selected endpoints.
+
+    Whatever the matcher says, an endpoint that its side's selection lacks becomes '', and, unless the caller wants
+    them, categories of which a side cannot both be read and written are left out.
+    """
+    proposed = (matcher or NameMatcher()).endpoints(_labels(catalog, a, selection_a), _labels(catalog, b, selection_b))
+    rows = [(k, side, op, ops.get(op) or "") for k, sides in proposed.items() for side in ("api1", "api2") for ops in (sides.get(side) or {},) for op in OPERATIONS]
+    said = catalog.spark.createDataFrame(rows, "category string, side string, operation string, identifier string")
+    offered = catalog.spark.createDataFrame([("api1", x) for x in selection_a] + [("api2", x) for x in selection_b], "side string, identifier string")
+    of = lambda api, side: catalog.endpoints().where(F.col("api_id") == api).select(F.lit(side).alias("side"), "identifier")
+    known = of(a, "api1").unionByName(of(b, "api2"))
+    offered = offered.join(known, ["side", "identifier"], "left_semi").distinct().withColumn("found", F.lit(True))
+    there = said.join(offered, ["side", "identifier"], "left").withColumn("identifier", F.when(F.col("found"), F.col("identifier")).otherwise(""))
+    sides = there.groupBy("category", "side").pivot("operation", list(OPERATIONS)).agg(F.first("identifier"))
+    sides = sides.withColumn("is_useful", useful(*[F.col(c) for c in ("getAll", "getOne", "create", "update")]))
+    kept: dict = {}
+    for r in sides.collect():  # a proposal is a short answer to one request
+        kept.setdefault(r.category, {})[r.side] = ({op: r[op] for op in OPERATIONS}, r.is_useful)
+    return {k: {side: kept[k][side][0] for side in ("api1", "api2")} for k in proposed if not only_useful or all(is_useful for _, is_useful in kept[k].values())}
+
+
+def encoded(operation: str, endpoint: Row) -> dict:
+    """An endpoint as matchers see it: its operation, description and parsed bodies, those it has."""
+    body = lambda text: json.loads(text) if text else None
+    found = {"endpoint": operation, "description": endpoint.description, "requestBody": body(endpoint.requestBody), "responseSchema": body(endpoint.responseSchema)}
+    return {k: v for k, v in found.items() if v is not None}
 
 
 def add_mapping(catalog: Catalog, name: str, sides: dict[str, dict[str, str]], matcher: Matcher | None = None) -> str:
@@ -46,7 +72,7 @@ def add_mapping(catalog: Catalog, name: str, sides: dict[str, dict[str, str]], m
     wanted = spark.createDataFrame(slots, "side int, api_id string, operation string, identifier string")
     found = resolve(wanted, catalog.endpoints().where(F.col("api_id").isin(*sides))).select("side", "operation", "endpoint")
     found = {(r.side, r.operation): r.endpoint for r in found.collect()}  # ten endpoints at most
-    encode = lambda i: [{"operation": op} | found[i, op].asDict(recursive=True) for op in OPERATIONS if found[i, op]]
+    encode = lambda i: [encoded(op, found[i, op]) for op in OPERATIONS if found[i, op]]
     fields = [matcher.fields(encode(i), encode(1 - i)) for i in (0, 1)]
     parts = [(api, *(found[i, op] for op in OPERATIONS), fields[i]) for i, api in enumerate(sides)]
     mapping_id = str(uuid.uuid4())

@@ -10,10 +10,8 @@ from pyspark.sql import functions as F
 from weftline.functions.paths import fill, identifier
 from weftline.functions.records import key_of, properties_of, property_of, record
 from weftline.operators import endpoints, keyed, sync
-from weftline.operators.graph import graph
-
-BEFORE = "ts < timestamp_ntz '2024-01-02 12:00:00'"
-
+from weftline.operators.graph import graph, sides
+from weftline.plans.matching import joined
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -77,9 +75,8 @@ def typed_id_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prompt_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = table(spark, sf_dir, "nation")
-    names = F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name")))
-    return nation.groupBy("n_regionkey").agg(F.array_join(F.transform(names, lambda x: x["n_name"]), ",").alias("names"))
+    names = joined(F.col("n_nationkey"), F.col("n_name"), ",")
+    return table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(names.alias("names"))
 
 
 def first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,9 +91,9 @@ def replace_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def id_map_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = table(spark, sf_dir, "customer")
-    pairs = lambda step, more: customer.where(f"c_custkey % {step} = 0").select(F.col("c_custkey").alias("a_id"), (F.col("c_custkey") + more).alias("b_id"))
-    return keyed.upsert(pairs(20, 7), pairs(30, 11), ["a_id"])
+    """Customers as the log so far, suppliers of the same keys as the pairs that come to it."""
+    pairs = lambda name, key, more, seq: table(spark, sf_dir, name).select(F.col(key).alias("a_id"), (F.col(key) + more).alias("b_id"), F.lit(seq).alias("seq"))
+    return keyed.upsert_log(pairs("customer", "c_custkey", 7, 1), pairs("supplier", "s_suppkey", 11, 2), ["a_id"]).select("a_id", "b_id")
 
 
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,17 +105,18 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per user, which kinds of event occurred, as endpoints that are there or not."""
+    """Per user and day, which kinds of event occurred, as endpoints that are there or not."""
     there = lambda kind: F.when(F.bool_or(F.col("event_type") == kind), kind).alias(kind)
-    return table(spark, sf_dir, "events").where(BEFORE).groupBy("user_id").agg(*[there(k) for k in ("view", "click", "error", "purchase")])
+    day = F.date_format("ts", "yyyy-MM-dd").alias("day")
+    return table(spark, sf_dir, "events").groupBy("user_id", day).agg(*[there(k) for k in ("view", "click", "error", "purchase")])
 
 
 def sync_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flags(spark, sf_dir).select("user_id", sync.eligible(F.col("view"), F.col("click"), F.col("purchase")).alias("eligible"))
+    return _flags(spark, sf_dir).select("user_id", "day", sync.eligible(F.col("view"), F.col("click"), F.col("purchase")).alias("eligible"))
 
 
 def usefulness_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flags(spark, sf_dir).select("user_id", sync.useful(F.col("view"), F.col("click"), F.col("error"), F.col("purchase")).alias("is_useful"))
+    return _flags(spark, sf_dir).select("user_id", "day", sync.useful(F.col("view"), F.col("click"), F.col("error"), F.col("purchase")).alias("is_useful"))
 
 
 def selected_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,8 +127,13 @@ def selected_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unmapped_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").select("c_custkey", "c_name").join(keys, "c_custkey", "left_anti")
+    """Customers that no link names; suppliers' keys are linked."""
+    customer, supplier = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    source = customer.select(F.col("c_custkey").alias("ordinal"), item(id="c_custkey", name="c_name").alias("item"))
+    key = F.col("s_suppkey")
+    links = supplier.select(key.alias("ordinal"), key.cast("string").alias("source_id"), (key + 7).cast("string").alias("target_id"))
+    found = properties_of(F.col("item"), {"id": "bigint", "name": "string"})
+    return sync.unmapped(source, links).select(found.alias("p")).select(F.col("p.id").alias("c_custkey"), F.col("p.name").alias("c_name"))
 
 
 def append_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,8 +142,47 @@ def append_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalog_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+    """Nations as mappings of one part, regions as services."""
+    mappings = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.array(F.struct(F.col("n_regionkey").alias("api"))).alias("parts"))
+    apis = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"), F.lit("").alias("baseUrl"))
+    return sides(mappings, apis).select(F.col("id").alias("n_nationkey"), F.col("name").alias("n_name"), F.col("api_name").alias("r_name"))
+
+
+def lookup_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The updates of the plan, on bases asked for by key; suppliers answer as the target's getOne."""
+    customer, supplier = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    source = customer.select(F.col("c_custkey").alias("ordinal"), item(id="c_custkey", name="c_name").alias("item"))
+    links = customer.select(F.col("c_custkey").alias("ordinal"), F.col("c_custkey").cast("string").alias("source_id"), (F.col("c_custkey") + 7).cast("string").alias("target_id"))
+    wanted = sync.lookup_keys(source, links)
+    one = supplier.select(F.col("s_suppkey").cast("string").alias("target_id"), F.lit(0).alias("ordinal"), item(id="s_suppkey", title="s_name", nation="s_nationkey").alias("item"))
+    bases = wanted.join(one, "target_id")
+    found = properties_of(F.col("payload"), {"id": "bigint", "title": "string", "nation": "int"})
+    plan = sync.plan_pass(source, bases, links, constant_map({"name": "title"})).select("source_id", "target_id", "action", "has_base", found.alias("p"))
+    return plan.select("source_id", "target_id", "action", "has_base", F.col("p.id").alias("payload_id"), "p.title", "p.nation")
+
+
+def default_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with the rating their supplier of the same key has, 0 where there is none."""
+    rated = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_nationkey").alias("rating"))
+    return keyed.with_default(table(spark, sf_dir, "customer").select("c_custkey"), rated, ["c_custkey"], {"rating": 0})
+
+
+def selection_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per region its nations, all selected, none selected, and those with even keys selected."""
+    grouped = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(
+        F.sort_array(F.collect_list("n_name")).alias("names"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("n_name", (F.col("n_nationkey") % 2 == 0).alias("on"))))).alias("even"),
+    )
+    count = lambda on: F.size(endpoints.chosen(endpoints.selection(F.col("names"), on)))
+    return grouped.select("n_regionkey", count(True).alias("n_all"), count(False).alias("n_none"), F.array_join(F.sort_array(endpoints.chosen(F.col("even"))), ",").alias("even_names"))
+
+
+def fold_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per region a dictionary of first letters to nation keys; the last nation of a letter counts."""
+    nation = table(spark, sf_dir, "nation").select("n_regionkey", F.substring("n_name", 1, 1).alias("letter"), "n_nationkey", F.col("n_nationkey").alias("ordinal"))
+    found = keyed.as_dictionary(nation, ["n_regionkey"], "letter", "n_nationkey", "ordinal")
+    pairs = F.transform(F.map_entries("dictionary"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return found.select("n_regionkey", F.size("dictionary").alias("n_entries"), F.array_join(pairs, ",").alias("entries"))
 
 
 def default_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,6 +220,7 @@ def two_pass_round(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     sync_plan, sync_action_counts, endpoint_identifier, verb_unpivot, path_template, json_field, typed_id_key, prompt_concat, first_match, replace_by_key, id_map_upsert,
     graph_edges, sync_eligibility, usefulness_rule, selected_endpoints, unmapped_source, append_rows, catalog_join, default_fallback, param_filter, two_pass_round,
+    lookup_base, default_row, selection_maps, fold_dictionary,
 ]
 
 _PLAN_SQL = """
@@ -191,9 +234,9 @@ WITH id_map AS (
 
 _FLAGS_SQL = """
 WITH flags AS (
-  SELECT user_id, bool_or(event_type = 'view') AS v, bool_or(event_type = 'click') AS c, bool_or(event_type = 'error') AS e,
+  SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, bool_or(event_type = 'view') AS v, bool_or(event_type = 'click') AS c, bool_or(event_type = 'error') AS e,
          bool_or(event_type = 'purchase') AS p
-  FROM events WHERE ts < TIMESTAMP '2024-01-02 12:00:00' GROUP BY user_id
+  FROM events GROUP BY ALL
 )
 """
 
@@ -219,12 +262,12 @@ UNION ALL SELECT p_partkey, 'put', 2, p_type FROM part WHERE p_size > 10""",
     "first_match": "SELECT n_regionkey, arg_min(n_name, n_nationkey) AS first_name FROM nation GROUP BY n_regionkey",
     "replace_by_key": "SELECT n_nationkey, CASE WHEN n_nationkey = 3 THEN 'REPLACED' ELSE n_name END AS n_name, n_regionkey FROM nation",
     "id_map_upsert": """
-WITH old AS (SELECT c_custkey AS a_id, c_custkey + 7 AS b_id FROM customer WHERE c_custkey % 20 = 0),
-     new AS (SELECT c_custkey AS a_id, c_custkey + 11 AS b_id FROM customer WHERE c_custkey % 30 = 0)
+WITH old AS (SELECT c_custkey AS a_id, c_custkey + 7 AS b_id FROM customer),
+     new AS (SELECT s_suppkey AS a_id, s_suppkey + 11 AS b_id FROM supplier)
 SELECT coalesce(n.a_id, o.a_id) AS a_id, coalesce(n.b_id, o.b_id) AS b_id FROM old o FULL JOIN new n ON o.a_id = n.a_id""",
     "graph_edges": "SELECT n_nationkey::VARCHAR AS id, n_regionkey::VARCHAR AS src, n_nationkey::VARCHAR AS dst, n_name AS label FROM nation",
-    "sync_eligibility": _FLAGS_SQL + "SELECT user_id, v AND c AND p AS eligible FROM flags",
-    "usefulness_rule": _FLAGS_SQL + "SELECT user_id, (v OR c) AND (e OR p) AS is_useful FROM flags",
+    "sync_eligibility": _FLAGS_SQL + "SELECT user_id, day, v AND c AND p AS eligible FROM flags",
+    "usefulness_rule": _FLAGS_SQL + "SELECT user_id, day, (v OR c) AND (e OR p) AS is_useful FROM flags",
     "selected_endpoints": """
 SELECT p_partkey AS ordinal, 'GET /' || p_brand AS identifier FROM part
 WHERE p_brand IN (SELECT p_brand FROM part WHERE p_size = 7)""",
@@ -245,6 +288,17 @@ SELECT p_partkey, (row_number() OVER (PARTITION BY p_partkey ORDER BY given) - 1
     "two_pass_round": """
 SELECT c_custkey AS id, c_name AS name, 'update' AS action FROM customer JOIN supplier ON c_custkey = s_suppkey
 WHERE c_custkey <> 0  -- a link to 0 is none: it would be a create""",
+    "lookup_base": """
+SELECT c_custkey::VARCHAR AS source_id, (c_custkey + 7)::VARCHAR AS target_id, 'update' AS action, s_suppkey IS NOT NULL AS has_base,
+       s_suppkey AS payload_id, c_name AS title, s_nationkey AS nation
+FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey + 7""",
+    "default_row": "SELECT c_custkey, coalesce(s_nationkey, 0) AS rating FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey",
+    "selection_maps": """
+SELECT n_regionkey, count(*)::INTEGER AS n_all, 0 AS n_none, coalesce(string_agg(n_name, ',' ORDER BY n_name) FILTER (n_nationkey % 2 = 0), '') AS even_names
+FROM nation GROUP BY n_regionkey""",
+    "fold_dictionary": """
+WITH last AS (SELECT n_regionkey, left(n_name, 1) AS letter, max(n_nationkey) AS v FROM nation GROUP BY 1, 2)
+SELECT n_regionkey, count(*)::INTEGER AS n_entries, string_agg(letter || '=' || v, ',' ORDER BY v) AS entries FROM last GROUP BY n_regionkey""",
 }
 
 

@@ -10,7 +10,7 @@ import json
 from collections.abc import Callable
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.paths import blanked, label
@@ -23,10 +23,16 @@ class Matcher(Protocol):
     def fields(self, source: list[dict], target: list[dict]) -> dict[str, str]: ...
 
 
+def joined(ordinal: Column, text: Column, separator: str) -> Column:
+    """An aggregate: texts in the order of their ordinals, one after the other."""
+    lines = F.sort_array(F.collect_list(F.struct(ordinal.alias("ordinal"), text.alias("text"))))
+    return F.array_join(F.transform(lines, lambda x: x["text"]), separator)
+
+
 def prompt_lines(endpoints: DataFrame) -> str:
     """Labels of a service's selected endpoints in catalog order, a line each."""
-    lines = F.sort_array(F.collect_list(F.struct("ordinal", label(F.col("identifier"), F.col("description")).alias("label"))))
-    return endpoints.agg(F.array_join(F.transform(lines, lambda x: x["label"]), "\n").alias("lines")).first().lines
+    lines = joined(F.col("ordinal"), label(F.col("identifier"), F.col("description")), "\n")
+    return endpoints.agg(lines.alias("lines")).first().lines
 
 
 ENDPOINT_PROMPT = """Two services offer these endpoints.
@@ -81,8 +87,8 @@ def pairs_by_name(a: DataFrame, b: DataFrame) -> DataFrame:
     return met.groupBy("a_identifier").agg(best)
 
 
-def properties(bodies: list[str]) -> list[str]:
-    """Names of properties that JSON schemas in these texts declare."""
+def properties(bodies: list) -> list[str]:
+    """Names of properties that these JSON schemas, parsed or as texts, declare."""
     found: dict[str, None] = {}
 
     def walk(node) -> None:
@@ -97,7 +103,7 @@ def properties(bodies: list[str]) -> list[str]:
 
     for body in bodies:
         if body:
-            walk(json.loads(body))
+            walk(json.loads(body) if isinstance(body, str) else body)
     return list(found)
 
 

@@ -2,6 +2,10 @@
 
 A table is read whole or pruned by Spark; it is never overwritten while a plan may still read it. There is
 one writer at a time. A table that was never written is empty. JSON files serve for interchange only.
+
+The id map is a log: an append writes the new rows alone, in folders by mapping, and a read takes all
+versions since the last whole one. ``compact`` makes a whole one of each pair's last row; it happens by
+itself after COMPACT_AFTER appends.
 """
 
 from __future__ import annotations
@@ -13,8 +17,13 @@ from pyspark.sql import functions as F
 
 from weftline import schemas
 from weftline.operators.endpoints import with_identifier
+from weftline.operators.keyed import latest
 
 TABLES = {"apis": schemas.APIS, "mappings": schemas.MAPPINGS, "id_map": schemas.ID_MAP}
+#: Tables that are logs: the column of their folders and the key of which the last row counts.
+LOGS = {"id_map": ("mapping_id", ["mapping_id", "a_id"])}
+WHOLE = "-whole"
+COMPACT_AFTER = 50
 
 
 class Catalog:
@@ -25,29 +34,54 @@ class Catalog:
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return hadoop, hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _version(self, table: str) -> str | None:
-        """The newest pointer; pointers are empty folders named by number and version."""
+    def _pointers(self, table: str) -> list[str]:
+        """Pointers in order; they are empty folders named by number and version."""
         path, fs = self._fs(f"{self.root}/{table}/pointers")
-        if not fs.exists(path):
-            return None
-        return max((s.getPath().getName() for s in fs.listStatus(path)), default=None)
+        return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+
+    def _current(self, table: str) -> list[str]:
+        """The versions that make up the table: the newest, or those of a log since the last whole one."""
+        pointers = self._pointers(table)
+        if table not in LOGS:
+            return pointers[-1:]
+        whole = max((i for i, p in enumerate(pointers) if p.endswith(WHOLE)), default=0)
+        return pointers[whole:]
+
+    def next_number(self, table: str) -> int:
+        """The number of the table's next version."""
+        pointers = self._pointers(table)
+        return int(pointers[-1][:10]) + 1 if pointers else 0
 
     def read(self, table: str) -> DataFrame:
-        pointer = self._version(table)
-        if pointer is None:
+        current = self._current(table)
+        if not current:
             return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/{table}/versions/{pointer}")
+        versions = f"{self.root}/{table}/versions"
+        columns = [f.name for f in self.spark.createDataFrame([], TABLES[table]).schema]
+        reader = self.spark.read.schema(TABLES[table] + ", version string").option("basePath", versions)
+        return reader.parquet(*[f"{versions}/version={p}" for p in current]).select(*columns)
 
-    def write(self, table: str, df: DataFrame) -> None:
-        last = self._version(table)
-        pointer = f"{int(last[:10]) + 1 if last else 0:010d}-{uuid.uuid4().hex}"
+    def _put(self, table: str, df: DataFrame, kind: str = "") -> None:
+        pointer = f"{self.next_number(table):010d}-{uuid.uuid4().hex}{kind}"
         empty = self.spark.createDataFrame([], TABLES[table])
-        df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in empty.schema]).write.parquet(f"{self.root}/{table}/versions/{pointer}")
+        writer = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in empty.schema]).write
+        (writer.partitionBy(LOGS[table][0]) if table in LOGS else writer).parquet(f"{self.root}/{table}/versions/version={pointer}")
         path, fs = self._fs(f"{self.root}/{table}/pointers/{pointer}")
         fs.mkdirs(path)
 
+    def write(self, table: str, df: DataFrame) -> None:
+        self._put(table, df, WHOLE if table in LOGS else "")
+
     def append(self, table: str, rows: DataFrame) -> None:
-        self.write(table, self.read(table).unionByName(rows))
+        if table not in LOGS:
+            return self.write(table, self.read(table).unionByName(rows))
+        self._put(table, rows)
+        if len(self._current(table)) > COMPACT_AFTER:
+            self.compact(table)
+
+    def compact(self, table: str) -> None:
+        """The last row of each key of a log, as one whole version."""
+        self.write(table, latest(self.read(table), LOGS[table][1]))
 
     def apis(self) -> DataFrame:
         return self.read("apis")

@@ -1,12 +1,15 @@
 """REST collections: a batch reader as a Python data source, and a writer of planned changes.
 
-Calls are made in tasks. A status outside 2xx fails the task. Writes carry an idempotency key made of the
-mapping, the side and the source's id: a task that Spark repeats sends the same key again.
+Calls are made in tasks. A status outside 2xx fails a read. Of a write it is the error of its row: the other
+rows are still sent, and what they answered is not lost. Writes carry an idempotency key, which the rows
+bring with them: a task that Spark repeats sends the same key again.
 """
 
 from __future__ import annotations
 
 import json
+import urllib.error
+import urllib.parse
 import urllib.request
 from collections.abc import Iterator
 from typing import Any
@@ -17,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 TIMEOUT = 30
+#: Statuses of a single item that is not there.
+GONE = (404, 410)
 
 
 def call(url: str, method: str = "GET", body: str | None = None, key: str | None = None) -> Any:
@@ -24,6 +29,7 @@ def call(url: str, method: str = "GET", body: str | None = None, key: str | None
     headers = {} if body is None else {"content-type": "application/json"}
     if key:
         headers["idempotency-key"] = key
+    url = urllib.parse.quote(url, safe="%/:?#[]@!$&'()*+,;=~{}")  # blanks and letters outside ASCII, as clients do
     request = urllib.request.Request(url, None if body is None else body.encode(), headers, method=method.upper())
     with urllib.request.urlopen(request, timeout=TIMEOUT) as answer:  # raises on other than 2xx and redirects
         return json.loads(answer.read() or b"null")
@@ -37,7 +43,10 @@ def unfilled(path: str) -> list[str]:
 
 
 class RestCollection(DataSource):
-    """spark.read.format("rest_collection").option("url", ...): (ordinal, item_json) of a JSON array."""
+    """spark.read.format("rest_collection").option("url", ...): (ordinal, item_json) of a JSON array.
+
+    Where a service pages, options page_parameter, pages and first_page (1) make a partition of each page.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -53,57 +62,74 @@ class RestCollection(DataSource):
 class CollectionReader(DataSourceReader):
     def __init__(self, options):
         self.url, self.method = options["url"], options.get("method", "GET")
+        self.parameter, self.pages, self.first = options.get("page_parameter"), int(options.get("pages", 1)), int(options.get("first_page", 1))
 
     def partitions(self):
-        return [InputPartition(self.url)]
+        return [InputPartition(k) for k in range(self.pages if self.parameter else 1)]
 
     def read(self, partition) -> Iterator[tuple]:
-        for i, item in enumerate(call(partition.value, self.method)):
-            yield i, json.dumps(item, ensure_ascii=False)
+        url = self.url
+        if self.parameter:
+            url += f"{'&' if '?' in url else '?'}{self.parameter}={self.first + partition.value}"
+        for i, item in enumerate(call(url, self.method)):
+            yield (partition.value << 32) + i, json.dumps(item, ensure_ascii=False)
 
 
-def scan(spark: SparkSession, url: str) -> DataFrame:
+def scan(spark: SparkSession, url: str, method: str = "GET", **paging) -> DataFrame:
     """(ordinal, item) of a collection; placeholders in the url are sent as they are."""
     from weftline.functions.records import record
 
     spark.dataSource.register(RestCollection)
-    rows = spark.read.format("rest_collection").option("url", url).load()
+    rows = spark.read.format("rest_collection").options(url=url, method=method, **{k: str(v) for k, v in paging.items()}).load()
     return rows.select("ordinal", record(F.col("item_json")).alias("item"))
 
 
 def fetch(requests: DataFrame) -> DataFrame:
-    """(ordinal, target_id, item) of single items, asked for by (target_id, url, method) in tasks."""
+    """(ordinal, target_id, item) of single items, asked for by (target_id, url, method) in tasks. One that is not there gives no row."""
     from weftline.functions.records import record
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
+            rows, found = batch.to_pylist(), []
             if left := next((r["url"] for r in rows if unfilled(r["url"])), None):
                 raise ValueError(f"unfilled path {left}")
-            items = [json.dumps(call(r["url"], r["method"]), ensure_ascii=False) for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.string())], ["target_id", "item_json"])
+            for r in rows:
+                try:
+                    found.append((r["target_id"], json.dumps(call(r["url"], r["method"]), ensure_ascii=False)))
+                except urllib.error.HTTPError as error:
+                    if error.code not in GONE:
+                        raise
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in (0, 1)], ["target_id", "item_json"])
 
     rows = requests.select("target_id", "url", "method").mapInArrow(run, "target_id string, item_json string")
     return rows.select(F.lit(0).cast("long").alias("ordinal"), "target_id", record(F.col("item_json")).alias("item"))
 
 
+ANSWER = "ordinal long, source_id string, response_id_json string, error string, failed boolean"
+
+
 def write(requests: DataFrame) -> DataFrame:
-    """Send (source_id, url, method, body, key); (source_id, response_id_json, error) of each.
+    """Send (ordinal, source_id, url, method, body, key); (ordinal, source_id, response_id_json, error, failed) of each.
 
+    failed: the call itself, or what led to it; a created item without an id is an error of its row only.
     The result is not to be computed twice: persist it to a table before it is read.
     """
 
+    def sent(r: dict) -> tuple[str | None, str | None, bool]:
+        if unfilled(r["url"]):
+            return None, f"unfilled path {r['url']}", True
+        try:
+            answer = call(r["url"], r["method"], r["body"], r["key"])
+        except (OSError, ValueError) as error:  # refused, timed out, a status outside 2xx, no JSON
+            return None, f"{type(error).__name__}: {error}", True
+        found = answer.get("id") if isinstance(answer, dict) else None
+        missing = r["method"].upper() == "POST" and found is None
+        return None if found is None else json.dumps(found), "the answer has no id" if missing else None, False
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_()]
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                if unfilled(r["url"]):
-                    out.append((r["source_id"], None, f"unfilled path {r['url']}"))
-                    continue
-                answer = call(r["url"], r["method"], r["body"], r["key"])
-                found = answer.get("id") if isinstance(answer, dict) else None
-                missing = r["method"].upper() == "POST" and found is None
-                out.append((r["source_id"], None if found is None else json.dumps(found), "the answer has no id" if missing else None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.string())] * 3, ["source_id", "response_id_json", "error"])
-
-    return requests.select("source_id", "url", "method", "body", "key").mapInArrow(run, "source_id string, response_id_json string, error string")
+            out = [(r["ordinal"], r["source_id"], *sent(r)) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], ["ordinal", "source_id", "response_id_json", "error", "failed"])
+
+    return requests.select("ordinal", "source_id", "url", "method", "body", "key").mapInArrow(run, ANSWER)

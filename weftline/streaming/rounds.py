@@ -1,9 +1,14 @@
 """Sync rounds: both directed passes of each mapping, once or in a stream.
 
 A pass is planned as a table first, then applied; requests are written down before they are sent and the
-answers after, so that an id that was created is never lost with an executor. One mapping's failure ends its round
-only. The passes of a round depend on each other: the id map is committed between them. As a stream, rounds
-are micro-batches of a rate source: starts come at a fixed rate, not at a fixed delay after a round.
+answers after, so that an id that was created is never lost with an executor. A call that fails does not
+keep the others of its pass from being sent: the ids of what was created are committed, and then the
+failure ends the mapping's round, and no other's. The passes of a round depend on each other: the id map
+is committed between them. As a stream, rounds are micro-batches of a rate source: starts come at a fixed
+rate, not at a fixed delay after a round.
+
+Of items that repeat an id in one snapshot the first is written first, and the last of the others after its id
+is known, as an update: what the steps between would have written is written over by it.
 """
 
 from __future__ import annotations
@@ -16,12 +21,17 @@ from pyspark.sql import functions as F
 
 from weftline.functions.paths import fill
 from weftline.functions.records import key_of
+from weftline.operators.graph import sides
 from weftline.operators.keyed import latest
-from weftline.operators.sync import CREATE, UPDATE, directed, plan_pass
+from weftline.operators.sync import CREATE, directed, keyed_items, lookup_keys, plan_pass
 from weftline.sources import rest
 from weftline.sources.catalog import Catalog
 
 
+class SyncError(RuntimeError):
+    """Calls of a pass failed; what succeeded is committed."""
+
+
 def id_pairs(catalog: Catalog, mapping_id: str) -> DataFrame:
     """(ordinal, a_id, b_id): the last pair of each a_id of a mapping."""
     log = catalog.read("id_map").where(F.col("mapping_id") == mapping_id)
@@ -29,60 +39,86 @@ def id_pairs(catalog: Catalog, mapping_id: str) -> DataFrame:
 
 
 def path_of(endpoint: Row) -> Column:
-    """The path of an endpoint with the key target_id filled in."""
-    value = F.regexp_replace("target_id", '^"|"$', "")  # string keys are quoted
+    """The path of an endpoint with the key target_id, a JSON text, filled in as plain text."""
+    value = F.try_variant_get(F.try_parse_json("target_id"), "$", "string")
     names = F.array(*[F.lit(p.name) for p in (endpoint.parameters or [])]).cast("array<string>")
     return fill(F.lit(endpoint.path), names, F.create_map(F.lit("id"), value))
 
 
-def requests_of(plan: DataFrame, base_url: str, create: Row, update: Row, mapping_id: str) -> DataFrame:
-    """Planned rows as (source_id, url, method, body, key, action)."""
-    filled = path_of(update)
+def requests_of(plan: DataFrame, base_url: str, create: Row, update: Row, mapping_id: str, run_id: str) -> DataFrame:
+    """Planned rows as (ordinal, source_id, url, method, body, key, action).
+
+    The key names the run and the row, so that no two requests share one. A create of an item with an id is
+    named by that id instead: a service that honours keys then creates it once, even if its answer was lost.
+    """
     is_create = F.col("action") == CREATE
+    item = F.when(is_create & F.col("source_id").isNotNull(), F.concat(F.lit("create:"), "source_id")).otherwise(F.concat_ws(":", F.col("action"), F.lit(run_id), F.col("ordinal")))
     return plan.select(
+        "ordinal",
         "source_id",
-        F.concat(F.lit(base_url), F.when(is_create, F.lit(create.path)).otherwise(filled)).alias("url"),
+        F.concat(F.lit(base_url), F.when(is_create, F.lit(create.path)).otherwise(path_of(update))).alias("url"),
         F.when(is_create, F.lit(create.method)).otherwise(F.lit(update.method)).alias("method"),
         F.to_json("payload").alias("body"),
-        F.concat_ws(":", F.lit(mapping_id), F.lit(base_url), "action", "source_id").alias("key"),
+        F.concat(F.lit(f"{mapping_id}:{base_url}:"), item).alias("key"),
         "action",
     )
 
 
+def repeats(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(first, later): the first item of each id, with all that have none, and of ids with more the last item."""
+    named = keyed_items(items)
+    ends = named.where("source_id is not null").groupBy("source_id").agg(F.min("ordinal").alias("first"), F.max("ordinal").alias("last")).where("first < last")
+    # ids that repeat are few, if there are any: the items meet them alone
+    met = named.join(ends, "source_id", "left")
+    first = met.where("last is null or ordinal = first").select("ordinal", "item")
+    return first, met.where("ordinal = last").select("ordinal", "item")
+
+
 def run_pass(catalog: Catalog, mapping: Row, reverse: bool, scan: Callable, write: Callable, work: str, fetch: Callable = rest.fetch) -> int | None:
     """Plan and apply one directed pass; rows applied, None if the mapping does not allow it."""
     spark = catalog.spark
     source, target = mapping.parts[::-1] if reverse else mapping.parts
     if not (source.getAll and target.create and target.update):
         return None
-    urls = {r.id: r.baseUrl for r in catalog.apis().where(F.col("id").isin(source.api, target.api)).select("id", "baseUrl").collect()}
-    folder = f"{work}/{uuid.uuid4().hex}"
+    urls = {r.api: r.baseUrl for r in sides(catalog.mappings().where(F.col("id") == mapping.id), catalog.apis()).collect()}  # two rows
+    run_id = uuid.uuid4().hex
+    folder = f"{work}/{run_id}"
 
     def kept(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
-    items = kept(scan(spark, urls[source.api] + source.getAll.path), "source")
+    items = kept(scan(spark, urls[source.api] + source.getAll.path, source.getAll.method), "source")
     dictionary = F.create_map(*[F.lit(x) for pair in source.fieldMapping.items() for x in pair]) if source.fieldMapping else F.create_map().cast("map<string,string>")
-    pairs = directed(id_pairs(catalog, mapping.id), reverse)
-    if target.getOne:  # linked items are asked for one by one, in tasks: a list may not show all their properties
-        known = plan_pass(items, items.limit(0), pairs, dictionary).where(F.col("action") == UPDATE).select("target_id").distinct()
-        asked = known.select("target_id", F.concat(F.lit(urls[target.api]), path_of(target.getOne)).alias("url"), F.lit(target.getOne.method).alias("method"))
-        bases = kept(fetch(asked), "bases")
-    else:
-        bases = scan(spark, urls[target.api] + target.getAll.path) if target.getAll else items.limit(0)
-    plan = plan_pass(items, bases, pairs, dictionary)
-    if not (target.getOne or target.getAll):  # without a way to see the target, linked items cannot be updated
-        plan = plan.where(F.col("action") == CREATE)
-    requests = kept(requests_of(plan, urls[target.api], target.create, target.update, mapping.id), "requests")
-    answers = kept(write(requests), "answers")
-    ids = answers.where("error is null and source_id is not null").join(requests.where(F.col("action") == CREATE).select("source_id"), "source_id")
-    new = ids.select("source_id", key_of(F.parse_json("response_id_json")).alias("target_id")).where("target_id is not null")
-    a, b = ("target_id", "source_id") if reverse else ("source_id", "target_id")
-    if not new.isEmpty():
-        last = catalog.read("id_map").agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
-        catalog.append("id_map", new.select(F.lit(mapping.id).alias("mapping_id"), F.col(a).alias("a_id"), F.col(b).alias("b_id"), F.lit(last + 1).alias("seq")))
-    return requests.count()
+
+    def apply(items: DataFrame, step: str) -> int:
+        pairs = directed(id_pairs(catalog, mapping.id), reverse)
+        if target.getOne:  # linked items are asked for one by one, in tasks: a list may not show all their properties
+            known = lookup_keys(items, pairs)
+            asked = known.select("target_id", F.concat(F.lit(urls[target.api]), path_of(target.getOne)).alias("url"), F.lit(target.getOne.method).alias("method"))
+            bases = kept(fetch(asked), f"bases-{step}")
+        else:
+            bases = scan(spark, urls[target.api] + target.getAll.path, target.getAll.method) if target.getAll else items.limit(0)
+        plan = plan_pass(items, bases, pairs, dictionary)
+        if not (target.getOne or target.getAll):  # without a way to see the target, linked items cannot be updated
+            plan = plan.where(F.col("action") == CREATE)
+        requests = kept(requests_of(plan, urls[target.api], target.create, target.update, mapping.id, f"{run_id}-{step}"), f"requests-{step}")
+        answers = kept(write(requests), f"answers-{step}")
+        created = requests.where((F.col("action") == CREATE) & F.col("source_id").isNotNull()).select("ordinal")
+        ids = answers.where("error is null").join(created, "ordinal")
+        new = ids.select("ordinal", "source_id", key_of(F.parse_json("response_id_json")).alias("target_id")).where("target_id is not null")
+        if not new.isEmpty():
+            a, b = ("target_id", "source_id") if reverse else ("source_id", "target_id")
+            order = F.lit(catalog.next_number("id_map") << 40) + F.pmod("ordinal", F.lit(1 << 40))
+            catalog.append("id_map", new.select(F.lit(mapping.id).alias("mapping_id"), F.col(a).alias("a_id"), F.col(b).alias("b_id"), order.alias("seq")))
+        failed = answers.where("failed").agg(F.count(F.lit(1)).alias("n"), F.min("error").alias("first")).first()
+        if failed.n:
+            raise SyncError(f"{failed.n} calls failed, among them: {failed.first}")
+        return requests.count()
+
+    first, later = repeats(items)
+    applied = apply(first, "first")
+    return applied if later.isEmpty() else applied + apply(later, "later")
 
 
 def run_round(catalog: Catalog, scan: Callable = rest.scan, write: Callable = rest.write, work: str | None = None, fetch: Callable = rest.fetch) -> dict[str, str | list]:
@@ -106,4 +142,4 @@ def run_stream(catalog: Catalog, checkpoint: str, seconds: int = 5, available_no
 
     ticks = catalog.spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
     writer = ticks.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
-    return (writer.trigger(once=True) if available_now else writer.trigger(processingTime=f"{seconds} seconds")).start()
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{seconds} seconds")).start()
