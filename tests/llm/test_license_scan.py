@@ -102,3 +102,9 @@ def test_short_notices_are_found_whole(spark):
     assert [(r.doc_id, r.license) for r in scan(docs, {"own": "no such words in any text"}, short={"x": "are reserved"}).collect()] == [(2, "x")]
     with pytest.raises(ValueError):
         scan(docs, short={"x": "..."})
+
+
+def test_rows_without_an_id_are_one(spark):
+    texts = [(None, "Released under the MIT License."), (None, "x y z released under the MIT license"), (3, None)]
+    docs = spark.createDataFrame([document(i, t) for i, t in texts], SCHEMA)
+    assert results(scan(docs)) == {(None, "MIT", 1.0, 0)}

@@ -87,3 +87,9 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "u long, v long")
     got = dict(connected_components(edges, Scratch(spark, "test")).collect())
     assert got == {**{i: 0 for i in range(201)}, 500: 500, 501: 500}
+
+
+def test_column_names_with_dots(tricky):
+    dotted = tricky.withColumnRenamed("kept", "a.b").withColumnRenamed("row", "row.`x")
+    kept = keep_one(dotted)
+    assert kept.columns == dotted.columns and kept.count() == keep_one(tricky).count()
