@@ -13,7 +13,7 @@ from weftline.operators import keyed
 from weftline.operators.endpoints import resolve
 from weftline.operators.graph import options
 from weftline.plans.api import add_mapping, graph, propose_mappings, register_spec
-from weftline.plans.matching import ModelMatcher, NameMatcher, pairs_by_name, prompt_lines
+from weftline.plans.matching import ModelMatcher, NameMatcher, TextModelMatcher, pairs_by_name, prompt_lines
 from weftline.sources import rest
 from weftline.sources.catalog import Catalog, read_json
 from weftline.sources.spec import outline, parse_specs, read_specs
@@ -91,9 +91,10 @@ class Service(BaseHTTPRequestHandler):
 
     def do_PUT(self):
         name, at = self.path.strip("/").split("/")
-        rows = Service.data[name]
-        rows[:] = [self.body() if r["id"] == at else r for r in rows]
-        self.answer(rows)
+        rows, body = Service.data[name], self.body()
+        known = any(r["id"] == at for r in rows)
+        rows[:] = [body if r["id"] == at else r for r in rows]
+        self.answer(rows, 200 if known else 404)
 
 
 @pytest.fixture(scope="module")
@@ -155,6 +156,8 @@ def test_matchers(spark):
     model = ModelMatcher(lambda prompt: asked.append(prompt))
     assert model.endpoints(["GET /a - x"], ["GET /b - y"]) == {} and "GET /a - x" in asked[0]
     assert model.fields([{"operation": "getAll"}], []) == {} and "getAll" in asked[1]
+    text = TextModelMatcher(lambda prompt: 'Sure {not json}: {"name": "title"} {"b": 1}')
+    assert text.fields([], []) == {"name": "title"} and TextModelMatcher(lambda prompt: "no").fields([], []) == {}
     side = lambda *x: spark.createDataFrame([(i,) for i in x], "identifier string")
     pairs = pairs_by_name(side("GET /repos/{owner}/issues", "GET /repos/{owner}/issues/{i-d}"), side("GET /repos/{o}/issues", "GET /x/issue", "GET /repos/{o}/issues/{n}"))
     assert dict(pairs.collect()) == {"GET /repos/{owner}/issues": "GET /repos/{o}/issues", "GET /repos/{owner}/issues/{i-d}": "GET /repos/{o}/issues/{n}"}

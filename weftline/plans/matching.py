@@ -74,6 +74,23 @@ class ModelMatcher:
         return json.loads(self.ask(FIELD_PROMPT.format(source=show(source), target=show(target))) or "{}")
 
 
+class TextModelMatcher(ModelMatcher):
+    """A model that continues text instead of answering in JSON mode: the first JSON object in what it writes counts, none as {}."""
+
+    def __init__(self, continue_text: Callable[[str], str | None]):
+        super().__init__(lambda prompt: self.first_object(continue_text(prompt + "\n\nJSON:") or ""))
+
+    @staticmethod
+    def first_object(text: str) -> str | None:
+        decoder, at = json.JSONDecoder(), text.find("{")
+        while at >= 0:
+            try:
+                return json.dumps(decoder.raw_decode(text, at)[0])
+            except json.JSONDecodeError:
+                at = text.find("{", at + 1)
+        return None
+
+
 def pairs_by_name(a: DataFrame, b: DataFrame) -> DataFrame:
     """(a_identifier, b_identifier): the same method and path but for placeholder names; else, of those with
     the same method and last fixed word but for a plural s, the closest by edit distance."""
