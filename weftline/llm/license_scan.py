@@ -146,7 +146,8 @@ def _hits(docs: DataFrame, known: DataFrame, n_parts: int, short: dict[int, list
 
 
 def _windows(hits: DataFrame, need: dict[int, float]) -> DataFrame:
-    """(doc_id, length, hits): windows, by their hits in order, that hold as many distinct ones as some template of that length needs."""
+    """(doc_id, length, hits): windows, by their hits in order, that hold as many distinct ones as some template of that
+    length needs. A hit of a short template is a window of its own."""
 
     def within(length: int) -> Column:
         """The windows of that length that hold word i."""
@@ -154,9 +155,10 @@ def _windows(hits: DataFrame, need: dict[int, float]) -> DataFrame:
         first = F.greatest(F.ceil((F.col("i") - reach) / hop), F.lit(0)).cast("int")
         return F.transform(F.sequence(first, F.floor(F.col("i") / hop).cast("int")), lambda k: F.struct(F.lit(length).alias("length"), k.alias("k")))
 
-    rows = hits.where("size = 0").select("tag", "doc_id", "i", "h", F.explode(F.concat(*[within(n) for n in need])).alias("w"))
+    own = F.array(F.struct(F.col("size").alias("length"), F.col("i").alias("k")))
+    rows = hits.select("tag", "doc_id", "i", "h", F.explode(F.when(F.col("size") > 0, own).otherwise(F.concat(*[within(n) for n in need]) if need else own)).alias("w"))
     gathered = rows.groupBy("tag", "doc_id", "w.length", "w.k").agg(F.sort_array(F.collect_list(F.struct("i", "h"))).alias("hits"))
-    enough = F.lit(False)
+    enough = F.col("length") < SHINGLE
     for length, least in need.items():
         enough = enough | ((F.col("length") == length) & (F.size(F.array_distinct("hits.h")) >= least))
     return gathered.where(enough).select("doc_id", "length", "hits")
@@ -183,9 +185,7 @@ def scan(
     sizes: dict[int, list[int]] = {}
     for r in brief.collect():
         sizes.setdefault(r.length, []).append(r.parts[0])
-    hits = _hits(docs, known, n_parts, sizes)
-    windows = _windows(hits, {r.length: containment * r.least - 1e-9 for r in classes})
-    windows = windows.unionByName(hits.where("size > 0").select("doc_id", F.col("size").alias("length"), F.array(F.struct("i", "h")).alias("hits")))
+    windows = _windows(_hits(docs, known, n_parts, sizes), {r.length: containment * r.least - 1e-9 for r in classes})
     # both sides of the template table are broadcast: bands rows a template, and each template's shingles once
     own = known.unionByName(brief).withColumn("sketch", sketch(F.col("parts"), bands))
     by_band = own.select("license", "length", F.posexplode("sketch").alias("band", "least"))
