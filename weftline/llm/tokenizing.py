@@ -23,6 +23,7 @@ from weftline.llm.wordtable import WordTable
 WORD_BPE = "word_bpe_49k.json"
 #: Words that a task remembers; beyond that it starts afresh, which costs time only.
 REMEMBERED = 250_000
+MARKS = frozenset(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
 
 #: What a definition must say for the words of a text to be encoded apart.
@@ -93,7 +94,12 @@ class WordTokenizer:
         out: list[bytes] = [b""] * len(words)
         rest = []
         for k, word in enumerate(words):
-            if plain := PLAIN.fullmatch(text := word.decode("utf-8", "replace")):
+            # the two commonest forms of PLAIN, told without a pattern: ASCII letters, perhaps with one mark after them
+            if word.isalpha():
+                out[k] = self._part(word.lower().decode())
+            elif word[:-1].isalpha() and word[-1] in MARKS:
+                out[k] = self._part(word[:-1].lower().decode()) + self._part(chr(word[-1]))
+            elif plain := PLAIN.fullmatch(text := word.decode("utf-8", "replace")):
                 out[k] = self._part(plain[1].lower()) + (self._part(plain[2]) if plain[2] else b"")
             else:
                 rest.append((k, text))
