@@ -1,6 +1,7 @@
 """What a sync round writes when calls fail, ids are missing, repeat or need escaping, and services honour keys."""
 
 import json
+import os
 import threading
 import urllib.parse
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
@@ -93,9 +94,10 @@ def test_a_failed_call_loses_no_id_of_the_others(linked):
     Service.data["tickets"] = [ticket(i) for i in range(1, 6)]
     Service.fail = {"N3"}
     assert run_round(catalog)[mapping].startswith("SyncError: 1 calls failed")
+    assert len(os.listdir(f"{catalog.root}/work")) == 1  # the failed pass can be looked at
     assert len(Service.data["issues"]) == 4 and id_pairs(catalog, mapping).count() == 4
     Service.fail = set()
-    assert run_round(catalog) == {mapping: [5, 5]}
+    assert run_round(catalog) == {mapping: [5, 5]} and len(os.listdir(f"{catalog.root}/work")) == 1
     assert sorted(r["title"] for r in Service.data["issues"]) == ["N1", "N2", "N3", "N4", "N5"] and len(Service.data["tickets"]) == 5
     assert len({r.b_id for r in id_pairs(catalog, mapping).collect()}) == 5
 
@@ -160,6 +162,10 @@ def test_the_id_map_is_a_log(spark, tmp_path, monkeypatch):
         assert id_pairs(catalog, "7").count() == k + 1
         assert len(catalog._current("id_map")) <= 3
     assert any(p.endswith("-whole") for p in catalog._pointers("id_map"))
+    before, parts = sorted(catalog.read("id_map").collect()), catalog._current("id_map")
+    catalog.vacuum("id_map")
+    assert sorted(catalog.read("id_map").collect()) == before and catalog._pointers("id_map") == parts
+    assert sorted(os.listdir(tmp_path / "id_map" / "versions")) == [f"version={p}" for p in parts]
 
 
 def test_proposals_name_known_endpoints_and_useful_pairs(linked, spark):

@@ -83,6 +83,17 @@ class Catalog:
         """The last row of each key of a log, as one whole version."""
         self.write(table, latest(self.read(table), LOGS[table][1]))
 
+    def vacuum(self, table: str) -> None:
+        """Deletes versions that are no longer part of the table; to be called when no plan reads them."""
+        current = self._current(table)
+        for pointer in [p for p in self._pointers(table) if p not in current]:
+            for folder in (f"pointers/{pointer}", f"versions/version={pointer}"):  # first what names it
+                self.remove(f"{self.root}/{table}/{folder}")
+
+    def remove(self, path: str) -> None:
+        hadoop, fs = self._fs(path)
+        fs.delete(hadoop, True)
+
     def apis(self) -> DataFrame:
         return self.read("apis")
 

@@ -99,7 +99,8 @@ def run_pass(catalog: Catalog, mapping: Row, reverse: bool, scan: Callable, writ
             bases = kept(fetch(asked), f"bases-{step}")
         else:
             bases = scan(spark, urls[target.api] + target.getAll.path, target.getAll.method) if target.getAll else items.limit(0)
-        plan = plan_pass(items, bases, pairs, dictionary)
+        # pairs have one row for each a_id, and what was asked for by key one for each key
+        plan = plan_pass(items, bases, pairs, dictionary, unique=bool(target.getOne) and not reverse)
         if not (target.getOne or target.getAll):  # without a way to see the target, linked items cannot be updated
             plan = plan.where(F.col("action") == CREATE)
         requests = kept(requests_of(plan, urls[target.api], target.create, target.update, mapping.id, f"{run_id}-{step}"), f"requests-{step}")
@@ -118,7 +119,10 @@ def run_pass(catalog: Catalog, mapping: Row, reverse: bool, scan: Callable, writ
 
     first, later = repeats(items)
     applied = apply(first, "first")
-    return applied if later.isEmpty() else applied + apply(later, "later")
+    if not later.isEmpty():
+        applied += apply(later, "later")
+    catalog.remove(folder)  # all is committed; the tables of a pass that failed stay
+    return applied
 
 
 def run_round(catalog: Catalog, scan: Callable = rest.scan, write: Callable = rest.write, work: str | None = None, fetch: Callable = rest.fetch) -> dict[str, str | list]:
