@@ -38,10 +38,9 @@ class Scratch:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def put(self, df: DataFrame, table: str, by: str | None = None) -> DataFrame:
-        """df, written and read again; ``by`` names a column whose values become folders."""
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(by) if by else writer).parquet(self.path(table))
+    def put(self, df: DataFrame, table: str) -> DataFrame:
+        """df, written and read again."""
+        df.write.mode("overwrite").parquet(self.path(table))
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
     def drop(self, table: str) -> None:

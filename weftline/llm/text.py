@@ -14,10 +14,6 @@ def whole(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
 
-def words(text: Column) -> Column:
-    return F.array_remove(F.split(whole(text), SPACE + "+"), "")
-
-
 def squeezed(text: Column) -> Column:
     """Each run of white space as one space."""
     return F.regexp_replace(whole(text), SPACE + "+", " ")
