@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
@@ -22,7 +22,7 @@ from weftline.llm.wordtable import WordTable
 
 WORD_BPE = "word_bpe_49k.json"
 #: Words that a task remembers; beyond that it starts afresh, which costs time only.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 MARKS = frozenset(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
 
@@ -62,22 +62,41 @@ def word_bpe_path() -> str:
     return public_tokenizers.path(WORD_BPE)
 
 
+class _Words(dict):
+    """Words to their ids; one that is not there is encoded and remembered."""
+
+    def __init__(self, encode: Callable[[bytes], bytes]):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = self[word] = self.encode(word)
+        return found
+
+
 class WordTokenizer:
     """Little-endian ids of UTF-8 texts, ``width`` bytes each."""
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, by_word: bool | None = None):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(definition)
         self.merges = self.library.model
-        self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
-        self.by_word = splits_into_words(definition)
+        size = self.library.get_vocab_size()
+        self.width = 2 if size <= 1 << 16 else 4
+        self.packed = [i.to_bytes(self.width, "little") for i in range(size)]
+        self.by_word = splits_into_words(definition) if by_word is None else by_word
         self.letters = byte_letters()
-        self.ids: dict[bytes, bytes] = {}
+        self.ids = _Words(self.encode_word)
         self.parts: dict[str, bytes] = {}
 
     def _packed(self, ids: list[int]) -> bytes:
-        return b"".join([i.to_bytes(self.width, "little") for i in ids])
+        return b"".join([self.packed[i] for i in ids])
+
+    def _merged(self, spelt: str) -> bytes:
+        return b"".join([self.packed[t.id] for t in self.merges.tokenize(spelt)])
 
     def _part(self, part: str) -> bytes:
         """The ids of one token of plain letters, lower-cased, or of punctuation."""
@@ -86,37 +105,23 @@ class WordTokenizer:
             if len(self.parts) >= REMEMBERED:
                 self.parts.clear()
             spelt = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
-            found = self.parts[part] = self._packed([t.id for t in self.merges.tokenize(spelt)])
+            found = self.parts[part] = self._merged(spelt)
         return found
 
-    def encoded(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word."""
-        out: list[bytes] = [b""] * len(words)
-        rest = []
-        for k, word in enumerate(words):
-            # the two commonest forms of PLAIN, told without a pattern: ASCII letters, perhaps with one mark after them
-            if word.isalpha():
-                out[k] = self._part(word.lower().decode())
-            elif word[:-1].isalpha() and word[-1] in MARKS:
-                out[k] = self._part(word[:-1].lower().decode()) + self._part(chr(word[-1]))
-            elif plain := PLAIN.fullmatch(text := word.decode("utf-8", "replace")):
-                out[k] = self._part(plain[1].lower()) + (self._part(plain[2]) if plain[2] else b"")
-            else:
-                rest.append((k, text))
-        for (k, _), found in zip(rest, self.library.encode_batch_fast([t for _, t in rest], add_special_tokens=False), strict=True):
-            out[k] = self._packed(found.ids)
-        return out
-
-    def learn(self, words: Iterable[bytes]) -> None:
-        new = [w for w in set(words) if w not in self.ids]
-        if len(self.ids) + len(new) > REMEMBERED:
-            self.ids.clear()
-            new = list(set(words))
-        self.ids.update(zip(new, self.encoded(new), strict=True))
+    def encode_word(self, word: bytes) -> bytes:
+        # the two commonest forms of PLAIN, told without a pattern: ASCII letters, perhaps with one mark after them
+        if word.isalpha():
+            lower = word.lower()
+            return self._merged(word.decode()) if lower == word else self.ids[lower]
+        if (stem := word[:-1]).isalpha() and word[-1] in MARKS:
+            return self.ids[stem] + self._part(chr(word[-1]))
+        if plain := PLAIN.fullmatch(text := word.decode("utf-8", "replace")):
+            return self._part(plain[1].lower()) + (self._part(plain[2]) if plain[2] else b"")
+        return self._packed(self.library.encode(text, add_special_tokens=False).ids)
 
     def word_counts(self, words: list[bytes]) -> np.ndarray:
         """[1, words]: how many ids each word has."""
-        return np.fromiter(map(len, self.encoded(words)), np.int64, len(words))[None, :] / self.width
+        return np.fromiter((len(self.encode_word(w)) for w in words), np.int64, len(words))[None, :] / self.width
 
     def counter(self) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]:
         """Whole texts to their numbers of ids and of words; remembers words."""
@@ -133,12 +138,7 @@ class WordTokenizer:
     def encode(self, text: bytes) -> bytes:
         if not self.by_word:
             return self._packed(self.library.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids)
-        words = text.split()
-        try:
-            return b"".join([self.ids[w] for w in words])
-        except KeyError:
-            self.learn(words)
-            return b"".join([self.ids[w] for w in words])
+        return b"".join(map(self.ids.__getitem__, text.split()))
 
     def count(self, text: bytes) -> int:
         return len(self.encode(text)) // self.width
@@ -148,10 +148,11 @@ class SharedTokenizer:
     """The definition as a broadcast of a few megabytes, whatever the input's size; one tokenizer a task."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.definition = spark.sparkContext.broadcast(Path(path).read_text(encoding="utf-8"))
+        definition = Path(path).read_text(encoding="utf-8")
+        self.definition, self.by_word = spark.sparkContext.broadcast(definition), splits_into_words(definition)
 
     def tokenizer(self) -> WordTokenizer:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        return WordTokenizer(self.definition.value)
+        return WordTokenizer(self.definition.value, self.by_word)
