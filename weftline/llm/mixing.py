@@ -33,7 +33,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,16 +64,18 @@ def gridded(p: np.ndarray) -> np.ndarray:
 def _scored(docs: DataFrame, shared, tokens: SharedTokenizer, classes: int, rows: bool) -> DataFrame:
     """(doc_id, text_hash, n_tokens, p0, p1, ...) and, if asked for, the row. Texts alone go to Python."""
 
-    @F.pandas_udf("n_tokens long, p array<double>")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("n_tokens long, p array<double>")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model, tokenizer = SubwordSoftmax.of(shared.value), tokens.tokenizer()
         # one look-up of a word gives both its logits and its tokens
         together = WordTable(lambda words: np.concatenate([model.word_logits(words), tokenizer.word_counts(words)]), classes + 1)
         for batch in batches:
-            texts = [bytes(t) for t in batch]
+            texts = batch.to_pylist()
             sums, n_words = together.sums(texts)
             n_tokens = sums[:, -1] if tokenizer.by_word else [tokenizer.count(t) for t in texts]
-            yield pd.DataFrame({"n_tokens": np.rint(n_tokens).astype(np.int64), "p": list(gridded(model.of_sums(sums[:, :-1], n_words)))})
+            p = gridded(model.of_sums(sums[:, :-1], n_words))
+            offsets = pa.array(np.arange(0, p.size + 1, classes), pa.int32())
+            yield pa.StructArray.from_arrays([pa.array(np.rint(n_tokens).astype(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(p.ravel()))], ["n_tokens", "p"])
 
     text = whole(F.col("text"))
     own = [row_of(docs).alias("row")] if rows else []

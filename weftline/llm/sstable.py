@@ -44,6 +44,8 @@ from weftline.llm.text import whole
 from weftline.llm.tokenizing import SharedTokenizer, word_bpe_path
 
 END_ID = 2
+#: Words whose ids a writing task remembers: a shard's, mostly.
+REMEMBERED = 400_000
 SHARD_TEXT_BYTES = 32 << 20
 BLOCK_BYTES = 64 << 10
 BLOOM_BITS, BLOOM_HASHES = 10, 7
@@ -226,7 +228,7 @@ def write_shards(docs: DataFrame, root: str, tokenizer_path: str | None = None,
     texts = texts.sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = shared.tokenizer()
+        tokenizer = shared.tokenizer(REMEMBERED)
         writer = ShardWriter(TaskContext.get().partitionId(), tokenizer.width)
         end = end_id.to_bytes(tokenizer.width, "little")
         row = lambda frame: pa.RecordBatch.from_arrays([pa.array([frame], pa.binary())], ["frame"])

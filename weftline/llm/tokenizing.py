@@ -21,8 +21,8 @@ from pyspark.sql import SparkSession
 from weftline.llm.wordtable import WordTable
 
 WORD_BPE = "word_bpe_49k.json"
-#: Words that a task remembers; beyond that it starts afresh, which costs time only.
-REMEMBERED = 400_000
+#: Words that a task remembers, of some 130 bytes each; beyond that it starts afresh, which costs time only.
+REMEMBERED = 150_000
 MARKS = frozenset(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
 
@@ -65,12 +65,12 @@ def word_bpe_path() -> str:
 class _Words(dict):
     """Words to their ids; one that is not there is encoded and remembered."""
 
-    def __init__(self, encode: Callable[[bytes], bytes]):
+    def __init__(self, encode: Callable[[bytes], bytes], remembered: int):
         super().__init__()
-        self.encode = encode
+        self.encode, self.remembered = encode, remembered
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.remembered:
             self.clear()
         found = self[word] = self.encode(word)
         return found
@@ -79,7 +79,7 @@ class _Words(dict):
 class WordTokenizer:
     """Little-endian ids of UTF-8 texts, ``width`` bytes each."""
 
-    def __init__(self, definition: str, by_word: bool | None = None):
+    def __init__(self, definition: str, by_word: bool | None = None, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(definition)
@@ -89,7 +89,7 @@ class WordTokenizer:
         self.packed = [i.to_bytes(self.width, "little") for i in range(size)]
         self.by_word = splits_into_words(definition) if by_word is None else by_word
         self.letters = byte_letters()
-        self.ids = _Words(self.encode_word)
+        self.ids = _Words(self.encode_word, remembered)
         self.parts: dict[str, bytes] = {}
 
     def _packed(self, ids: list[int]) -> bytes:
@@ -151,8 +151,8 @@ class SharedTokenizer:
         definition = Path(path).read_text(encoding="utf-8")
         self.definition, self.by_word = spark.sparkContext.broadcast(definition), splits_into_words(definition)
 
-    def tokenizer(self) -> WordTokenizer:
+    def tokenizer(self, remembered: int = REMEMBERED) -> WordTokenizer:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        return WordTokenizer(self.definition.value, self.by_word)
+        return WordTokenizer(self.definition.value, self.by_word, remembered)

@@ -10,7 +10,8 @@ from collections.abc import Callable
 
 import numpy as np
 
-REMEMBERED = 600_000
+#: Words a task remembers, of some 150 bytes each.
+REMEMBERED = 300_000
 CHUNK_BYTES = 1 << 20
 
 
@@ -36,14 +37,14 @@ class WordTable:
 
     def _forget(self) -> None:
         self.places = _Places()
-        self.columns = np.zeros((self.rows, 1024))
+        self.columns = np.zeros((self.rows, 1024), np.float32)
 
     def _learn(self) -> None:
         if not (new := self.places.new):
             return
         end = len(self.places)
         if end > self.columns.shape[1]:
-            grown = np.zeros((self.rows, 2 * end))
+            grown = np.zeros((self.rows, end + end // 2), np.float32)
             grown[:, : self.columns.shape[1]] = self.columns
             self.columns = grown
         self.columns[:, end - len(new) : end] = self.measure(new)
@@ -66,6 +67,6 @@ class WordTable:
             self._learn()
             for k, places in enumerate(found, begin):
                 if len(places):
-                    sums[k] = self.columns.take(places, axis=1).sum(axis=1)
+                    sums[k] = self.columns.take(places, axis=1).sum(axis=1, dtype=np.float64)
                     n_words[k] = len(places)
         return sums, n_words
