@@ -48,7 +48,7 @@ MAX_ROWS = 4000
 #: Posteriors are multiples of 1 / GRID.
 GRID = 512
 RIDGE = 1e-6
-STEPS = 60
+STEPS = 200
 TOLERANCE = 1e-8
 
 
@@ -143,7 +143,7 @@ class Mixture:
                 step = np.linalg.solve(moments + (RIDGE + 1e-12) * np.eye(k), ahead)
                 for _ in range(40):
                     found = looked_at(y + step)
-                    if found[2] <= dual - 1e-4 * ahead @ step + 1e-15:
+                    if found[2] <= dual - 1e-4 * ahead @ step + 1e-12 * (1 + abs(dual)):  # or as near as sums are exact
                         break
                     step = step / 2
                 y, (d, moments, dual) = y + step, found
