@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from weftline.llm.scratch import Scratch
 from weftline.llm.text import named, whole
 from weftline.llm.tokenizing import SharedTokenizer, word_bpe_path
+from weftline.llm.wordtable import sliced
 
 CAPACITY = 2048
 SHARD_ROWS = 4096
@@ -77,10 +78,10 @@ def measured(docs: DataFrame, tokenizer_path: str | None = None, cluster: str |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = shared.tokenizer().counter()
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(2).to_pylist()
             n = pa.array(count(texts)[0] + 1, pa.int64())
-            same = [b" ".join(t.split()) if c is None else c.encode() for t, c in zip(texts, batch.column(3).to_pylist(), strict=True)]
+            same = (b" ".join(t.split()) if c is None else c.encode() for t, c in zip(texts, batch.column(3).to_pylist(), strict=True))
             found = pa.array([xxhash.xxh3_128_digest(x) for x in same], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found, n], ["doc_id", "source", "cluster", "n_tokens"])
 

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from weftline.llm.scratch import Scratch
 from weftline.llm.text import whole
 from weftline.llm.tokenizing import SharedTokenizer, word_bpe_path
+from weftline.llm.wordtable import sliced
 
 LEDGER = "doc_id long, copy long, version string, alive boolean, source string, lang string, n_tokens long, batch long"
 DELTA = "source string, lang string, version string, n_docs long, n_tokens long"
@@ -164,7 +165,7 @@ def counted(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = shared.tokenizer().counter()
-        for batch in batches:
+        for batch in sliced(batches):
             n_tokens, n_words = count(batch.column(3).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n_words), pa.array(n_tokens)], ["doc_id", "source", "lang", "n_words", "n_tokens"])
 

@@ -22,7 +22,7 @@ from weftline.llm.wordtable import WordTable
 
 WORD_BPE = "word_bpe_49k.json"
 #: Words that a task remembers, of some 130 bytes each; beyond that it starts afresh, which costs time only.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 MARKS = frozenset(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
 

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.subword import SubwordSoftmax
 from weftline.llm.text import whole
+from weftline.llm.wordtable import sliced
 
 MAX_ROWS = 8000
 MAX_BYTES = 32 << 10
@@ -57,7 +58,7 @@ def score(docs: DataFrame, model: SubwordSoftmax) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score_all = SubwordSoftmax.of(shared.value).scorer()
-        for batch in batches:
+        for batch in sliced(batches):
             scores = score_all(batch.column(2).to_pylist())[:, 1]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 

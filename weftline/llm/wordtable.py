@@ -6,13 +6,23 @@ about CHUNK_BYTES of texts at once. Beyond ``remembered`` words it starts afresh
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 #: Words a task remembers, of some 150 bytes each.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 CHUNK_BYTES = 1 << 20
+#: Rows of an Arrow batch that are Python objects at once.
+SLICE = 512
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of SLICE rows, so that few texts at a time become Python objects."""
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), SLICE):
+            yield batch.slice(at, SLICE)
 
 
 class _Places(dict):
