@@ -33,9 +33,9 @@ from weftline.llm.bloom import asked, blocks_for, filter_of, with_likely
 from weftline.llm.scratch import Scratch
 from weftline.llm.text import row_of, squeezed
 
-MEMTABLES = 7
+MEMTABLES = 4
 MEMTABLE_ROWS = 500_000_000
-FANOUT = 3
+FANOUT = 2
 
 
 def sha256(text: Column) -> Column:

@@ -42,7 +42,7 @@ from weftline.llm.subword import SubwordSoftmax
 from weftline.llm.text import row_of, whole
 from weftline.llm.tokenizing import SharedTokenizer, word_bpe_path
 from weftline.llm.toxicity import training_rows
-from weftline.llm.wordtable import SLICE, WordTable
+from weftline.llm.wordtable import SLICE, WordTable, give_back
 
 MAX_ROWS = 4000
 #: Posteriors are multiples of 1 / GRID.
@@ -77,6 +77,8 @@ def _scored(docs: DataFrame, shared, tokens: SharedTokenizer, classes: int, rows
                 parts.append((sums[:, -1] if tokenizer.by_word else np.array([tokenizer.count(t) for t in texts]), model.of_sums(sums[:, :-1], n_words)))
             n_tokens, p = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0), np.zeros((0, classes)))
             p = gridded(p) if len(p) else p
+            del batch
+            give_back()
             offsets = pa.array(np.arange(0, p.size + 1, classes), pa.int32())
             yield pa.StructArray.from_arrays([pa.array(np.rint(n_tokens).astype(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(p.ravel()))], ["n_tokens", "p"])
 

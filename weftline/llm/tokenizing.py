@@ -18,7 +18,7 @@ from pathlib import Path
 import numpy as np
 from pyspark.sql import SparkSession
 
-from weftline.llm.wordtable import WordTable
+from weftline.llm.wordtable import WordTable, give_back
 
 WORD_BPE = "word_bpe_49k.json"
 #: Words that a task remembers, of some 130 bytes each; beyond that it starts afresh, which costs time only.
@@ -155,4 +155,6 @@ class SharedTokenizer:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        return WordTokenizer(self.definition.value, self.by_word, remembered)
+        made = WordTokenizer(self.definition.value, self.by_word, remembered)
+        give_back()  # reading a definition takes twice what its tokenizer keeps
+        return made

@@ -6,6 +6,7 @@ about CHUNK_BYTES of texts at once. Beyond ``remembered`` words it starts afresh
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,11 +19,20 @@ CHUNK_BYTES = 1 << 20
 SLICE = 512
 
 
+def give_back() -> None:
+    """Returns to the system what Arrow and the C library keep of memory that is no longer used."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        trim(0)
+
+
 def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of SLICE rows, so that few texts at a time become Python objects."""
     for batch in batches:
         for at in range(0, max(1, batch.num_rows), SLICE):
             yield batch.slice(at, SLICE)
+        del batch
+        give_back()
 
 
 class _Places(dict):
