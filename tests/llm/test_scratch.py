@@ -1,6 +1,7 @@
 import os
 from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 
 from weftline.llm.scratch import Scratch, released, shared_root
@@ -28,3 +29,16 @@ def test_folders_opened_within_are_closed(spark, tmp_path):
     assert not os.path.exists(inner.root) and kept.count() == 3
     outer.close()
     assert not os.path.exists(outer.root)
+
+
+def test_batches_are_small_while_a_table_is_written(spark, tmp_path):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    scratch = Scratch(spark, "batches", str(tmp_path))
+    rows = scratch.put(spark.range(5000, numPartitions=1).mapInArrow(run, "n long"), "t").collect()
+    assert sum(r.n for r in rows) == 5000 and max(r.n for r in rows) <= 1024
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Used only by local masters that name no folder, as in tests.
 DEFAULT_ROOT = "/tmp/checkpoints"
+#: Rows of an Arrow batch at most while a table is written; the session's own limit holds again after it.
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1024
 _OPEN: list[Scratch] = []
 
 
@@ -39,8 +41,13 @@ class Scratch:
         return f"{self.root}/{table}"
 
     def put(self, df: DataFrame, table: str) -> DataFrame:
-        """df, written and read again."""
-        df.write.mode("overwrite").parquet(self.path(table))
+        """df, written and read again. Rows go to Python and back in batches that stay small with long texts."""
+        batch = int(self.spark.conf.get(BATCH_CONF))
+        self.spark.conf.set(BATCH_CONF, min(batch, BATCH_ROWS) if batch > 0 else BATCH_ROWS)
+        try:
+            df.write.mode("overwrite").parquet(self.path(table))
+        finally:
+            self.spark.conf.set(BATCH_CONF, batch)
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
     def drop(self, table: str) -> None:
