@@ -1,0 +1,126 @@
+import os
+import re
+from collections import Counter
+from itertools import permutations
+
+import pytest
+from oracle import compare
+from pyspark.sql import functions as F
+from rows import SCHEMA, document
+
+from weftline.llm import filter_audit as fa
+from weftline.llm import oracles, queries
+from weftline.llm.filter_audit import Chains, FilterAudit, filter_audit, text_mask
+
+SF = "/root/testdata/sf0.001"
+LABELS = "doc_id long, quality int, toxic int, n int, mask int"
+
+
+def fails(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    found = {"A": len(words) < 100, "B": 100 * len(set(words)) < 80 * len(words), "C": 100 * len(re.findall("[A-Z]", text)) > 10 * len(text), "D": bool(re.search(r"[#$%&*|]", text))}
+    return {f for f, failed in found.items() if failed}
+
+
+def brute(docs, labels):
+    """Each order applied to each document, one filter after the other."""
+    key = lambda i: (i is None, i or 0)
+    rows, out = [], []
+    for d in docs:
+        text = d.text or ""
+        copy = any(key(o.doc_id) < key(d.doc_id) for o in docs if (o.text or "") == text)
+        mine = [x for x in labels if x[0] is not None and x[0] == d.doc_id]
+        rows.append((d.lang or "", fails(text) | ({"E"} if copy else set()), any(x[1] == 1 for x in mine), any(x[2] == 1 for x in mine)))
+    for part in {r[0] for r in rows}:
+        removed_by = Counter()
+        steps = []
+        for order in permutations("ABCDE"):
+            left = [r for r in rows if r[0] == part]
+            gone = []
+            for step, f in enumerate(order, 1):
+                hit = [r for r in left if f in r[1]]
+                left = [r for r in left if f not in r[1]]
+                removed_by[f] += len(hit)
+                steps.append([part, "".join(order), step, len(left), len(hit), sum(f in r[1] for r in gone), sum(r[1] == {f} for r in rows if r[0] == part), sum(r[2] for r in hit), sum(r[3] for r in hit)])
+                gone += hit
+        out += [(*s, removed_by[s[1][s[2] - 1]]) for s in steps]
+    return sorted(out)
+
+
+def documents():
+    draw = lambda k, n: " ".join(f"w{(k * 7919 + i * 104729) % 997}" for i in range(n))
+    docs = []
+    for i in range(60):
+        text = draw(i % 23, 80 + i % 9 * 10)
+        text = text.upper() if i % 11 == 0 else text
+        text += " #" if i % 7 == 0 else ""
+        text = "la " * 120 + text if i % 5 == 0 else text
+        docs.append(document(i * 37 % 61, text, lang=["en", "de", None, ""][i % 4]))
+    return docs
+
+
+def check(spark, docs, labels, **how):
+    df = spark.createDataFrame(docs, SCHEMA)
+    got = FilterAudit(df, **how).steps(spark.createDataFrame([(*x, 1, 2) for x in labels], LABELS))
+    assert got.columns == ["part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"]
+    assert sorted(map(tuple, got.collect())) == brute(df.collect(), labels)
+
+
+LABELLED = [(i, i % 2, i % 3 == 0) for i in range(0, 61, 2)]
+LABELLED = [(i, q, int(t)) for i, q, t in LABELLED] + [(2, 1, 1), (2, 0, 0), (None, 1, 1), (4, None, None), (999, 1, 1)]
+
+
+@pytest.mark.parametrize("digest", [fa.fingerprint, lambda text: F.xxhash64(text) % 3, lambda text: F.lit(1)])
+def test_orders_match_brute_force_also_with_fingerprints_that_collide(spark, digest):
+    check(spark, documents(), LABELLED, digest=digest)
+
+
+def test_tricky_rows_ties_and_hot_copies(spark, tricky):
+    check(spark, [tuple(r) for r in tricky.collect()], LABELLED)
+    copies = [document(i % 50, "all the same", lang=["en", "fr"][i % 2]) for i in range(300)] + [document(None, "all the same")] * 20
+    check(spark, copies + [document(5, "another"), document(5, "another")], LABELLED)
+
+
+def test_small_buffers_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(fa, "BUFFER_BYTES", 500)
+    rows = [(i % 13 % 3, f"t{i % 13}", i * 31 % 97, 0, "p", 1) for i in range(400)]
+    through = [(kv[1] if kv[0] is None else None, kv) for kv in fa._combined(iter(rows))]
+    left = [row for row, _ in through if row] + list(fa._settled(kv for row, kv in through if not row))
+    assert sum(r[3] for r in left) == 400
+    least = {}
+    for _, text, i, *_ in rows:
+        least[text] = min(least.get(text, i), i)
+    assert sum(r[3] for r in left if not r[1] & fa.COPY) == sum(i == least[text] for _, text, i, *_ in rows)
+
+
+def test_chains_keep_the_smallest_and_emit_the_others():
+    chains = Chains()
+    assert chains.add(1, "a", 5, 0, "p", 1) == [] and chains.add(1, "b", 4, 0, "p", 1) == []
+    assert chains.add(1, "a", None, 0, "q", 2) == [(None, fa.COPY, "q", 2)]
+    assert chains.add(1, "a", 3, 0, "q", 1) == [(5, fa.COPY, "p", 1)]
+    assert chains.add(1, "a", 3, 0, "r", 1) == []
+    assert sorted(x[2:] for x in chains.taken()) == [(3, 0, "q", 1), (3, 0, "r", 1), (4, 0, "p", 1)] and not chains.chains
+
+
+def test_copies_are_listed(spark):
+    df = spark.createDataFrame([document(3, "x"), document(1, "x"), document(2, "y"), document(9, "x"), document(None, "y"), document(9, "x")], SCHEMA)
+    assert sorted(r.doc_id or 0 for r in FilterAudit(df).copies().collect()) == [0, 3, 9, 9]
+
+
+def test_masks_of_texts():
+    assert text_mask("") == 1
+    assert text_mask(" ".join(f"w{i}" for i in range(100))) == 0
+    assert text_mask("x " * 100) == 2 and text_mask(" ".join(f"{i}" for i in range(80)) + " a" * 20) == 0
+    assert text_mask("ABC") == 1 | 4 and text_mask("éééééééééA") == 1 and text_mask("éééééééééAA") == 5 and text_mask("a|b") == 9
+
+
+def test_empty_tables(spark, empty):
+    labels = spark.createDataFrame([], LABELS)
+    assert filter_audit(empty, labels).collect() == []
+    one = filter_audit(spark.createDataFrame([document(1, "a")], SCHEMA), labels)
+    assert one.count() == 600 and {r.part for r in one.collect()} == {"en"}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
+def test_query_matches_its_sql(spark):
+    compare(spark, queries.op13_filter_audit, oracles.FILTER_AUDIT, SF)

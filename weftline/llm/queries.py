@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm import oracles
 from weftline.llm.exact_dedup import exact_dedup
+from weftline.llm.external_shuffle import sharded
+from weftline.llm.filter_audit import filter_audit
 from weftline.llm.license_scan import scan
 from weftline.llm.line_frequency import line_frequency
 from weftline.llm.mixing import DOMAINS, Mixture, labelled_domains
 from weftline.llm.packing import packed
+from weftline.llm.prefix_trie import prefix_trie
 from weftline.llm.reply_trees import chat_format, linear
 from weftline.llm.simhash import simhash_dedup
 from weftline.llm.sstable import token_shards
@@ -68,6 +71,18 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def op11_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharded(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_frequency": op1_line_frequency,
@@ -80,6 +95,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_sstable_shards": op10_sstable_shards,
+        "op11_external_shuffle": op11_external_shuffle,
+        "op12_prefix_trie": op12_prefix_trie,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
@@ -88,4 +106,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_line_frequency": oracles.LINE_FREQUENCY,
         "op3_exact_dedup": oracles.EXACT_DEDUP,
         "op4_reply_trees": oracles.REPLY_TREES,
+        "op12_prefix_trie": oracles.PREFIX_TRIE,
+        "op13_filter_audit": oracles.FILTER_AUDIT,
     }
