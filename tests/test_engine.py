@@ -197,9 +197,10 @@ def test_rounds(spark, tmp_path, url):
     assert run_round(catalog)[mapping].startswith("PythonException")
 
 
-def test_connector_refuses_unfilled_paths(spark, url):
+def test_connector_refuses_unfilled_paths(spark, url, tmp_path):
     asked = spark.createDataFrame([(0, "1", f"{url}/x/{{id}}", "put", "{}", "k")], "ordinal long, source_id string, url string, method string, body string, key string")
-    assert rest.write(asked).first().error.startswith("unfilled") and rest.write(asked).first().failed
+    answer = rest.write(asked, str(tmp_path / "answers")).first()
+    assert answer.error.startswith("unfilled") and answer.failed
     Service.data = {"things": [{"id": 1}, {"id": "1", "n": None}]}
     got = rest.scan(spark, f"{url}/things")
     assert got.schema["item"].dataType.simpleString() == "map<string,variant>" and got.count() == 2

@@ -160,9 +160,9 @@ def test_the_id_map_is_a_log(spark, tmp_path, monkeypatch):
         catalog.append("id_map", rows(("m", "a", f"b{k}", catalog.next_number("id_map")), ("7", f"a{k}", "b", k)))
         assert {(r.a_id, r.b_id) for r in id_pairs(catalog, "m").collect()} == {("a", f"b{k}")}
         assert id_pairs(catalog, "7").count() == k + 1
-        assert len(catalog._current("id_map")) <= 3
+        assert len(catalog.current("id_map")) <= 3
     assert any(p.endswith("-whole") for p in catalog._pointers("id_map"))
-    before, parts = sorted(catalog.read("id_map").collect()), catalog._current("id_map")
+    before, parts = sorted(catalog.read("id_map").collect()), catalog.current("id_map")
     catalog.vacuum("id_map")
     assert sorted(catalog.read("id_map").collect()) == before and catalog._pointers("id_map") == parts
     assert sorted(os.listdir(tmp_path / "id_map" / "versions")) == [f"version={p}" for p in parts]

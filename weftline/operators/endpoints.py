@@ -55,6 +55,6 @@ def chosen(selection: Column) -> Column:
 
 def resolve(slots: DataFrame, endpoints: DataFrame) -> DataFrame:
     """slots (..., api_id, operation, identifier) with the first endpoint of that identifier; none if '' or unknown."""
-    first = first_match(endpoints, ["api_id", "identifier"]).select("api_id", "identifier", F.struct("name", "description", "path", "method", "parameters", "requestBody", "responseSchema").alias("endpoint"))
+    first = first_match(endpoints, ["api_id", "identifier"]).select("api_id", "identifier", F.struct("name", "description", "path", "method", "parameters", "requestBody", "responseSchema", "paging", "honoursKeys").alias("endpoint"))
     wanted = slots.withColumn("identifier", F.nullif("identifier", F.lit("")))
     return wanted.join(first, ["api_id", "identifier"], "left")

@@ -19,9 +19,13 @@ from weftline import schemas
 from weftline.operators.endpoints import with_identifier
 from weftline.operators.keyed import latest
 
-TABLES = {"apis": schemas.APIS, "mappings": schemas.MAPPINGS, "id_map": schemas.ID_MAP}
-#: Tables that are logs: the column of their folders and the key of which the last row counts.
-LOGS = {"id_map": ("mapping_id", ["mapping_id", "a_id"])}
+TABLES = {"apis": schemas.APIS, "mappings": schemas.MAPPINGS, "id_map": schemas.ID_MAP, "passes": schemas.PASSES, "in_doubt": schemas.IN_DOUBT}
+#: Tables that are logs: the column of their folders, the key of which the last row counts, and the column that orders rows.
+LOGS = {
+    "id_map": ("mapping_id", ["mapping_id", "a_id"], "seq"),
+    "passes": ("mapping_id", ["mapping_id", "run_id", "recovered"], "n_read"),
+    "in_doubt": ("mapping_id", ["mapping_id", "key"], "seq"),
+}
 WHOLE = "-whole"
 COMPACT_AFTER = 50
 
@@ -39,7 +43,7 @@ class Catalog:
         path, fs = self._fs(f"{self.root}/{table}/pointers")
         return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
 
-    def _current(self, table: str) -> list[str]:
+    def current(self, table: str) -> list[str]:
         """The versions that make up the table: the newest, or those of a log since the last whole one."""
         pointers = self._pointers(table)
         if table not in LOGS:
@@ -53,7 +57,7 @@ class Catalog:
         return int(pointers[-1][:10]) + 1 if pointers else 0
 
     def read(self, table: str) -> DataFrame:
-        current = self._current(table)
+        current = self.current(table)
         if not current:
             return self.spark.createDataFrame([], TABLES[table])
         versions = f"{self.root}/{table}/versions"
@@ -61,10 +65,11 @@ class Catalog:
         reader = self.spark.read.schema(TABLES[table] + ", version string").option("basePath", versions)
         return reader.parquet(*[f"{versions}/version={p}" for p in current]).select(*columns)
 
-    def _put(self, table: str, df: DataFrame, kind: str = "") -> None:
-        pointer = f"{self.next_number(table):010d}-{uuid.uuid4().hex}{kind}"
+    def _put(self, table: str, df: DataFrame, kind: str = "", tag: str | None = None) -> None:
+        pointer = f"{self.next_number(table):010d}-{tag or uuid.uuid4().hex}{kind}"
         empty = self.spark.createDataFrame([], TABLES[table])
-        writer = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in empty.schema]).write
+        # a version that a driver left without its pointer is written over
+        writer = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in empty.schema]).write.mode("overwrite")
         (writer.partitionBy(LOGS[table][0]) if table in LOGS else writer).parquet(f"{self.root}/{table}/versions/version={pointer}")
         path, fs = self._fs(f"{self.root}/{table}/pointers/{pointer}")
         fs.mkdirs(path)
@@ -72,20 +77,28 @@ class Catalog:
     def write(self, table: str, df: DataFrame) -> None:
         self._put(table, df, WHOLE if table in LOGS else "")
 
-    def append(self, table: str, rows: DataFrame) -> None:
+    def has(self, table: str, tag: str) -> bool:
+        """Whether the append of this tag is done."""
+        return any(p[11:] == tag for p in self._pointers(table))
+
+    def append(self, table: str, rows: DataFrame, tag: str | None = None) -> None:
+        """tag: a name for this append, which is then done once, however often it is asked for."""
         if table not in LOGS:
             return self.write(table, self.read(table).unionByName(rows))
-        self._put(table, rows)
-        if len(self._current(table)) > COMPACT_AFTER:
+        if tag and self.has(table, tag):
+            return
+        self._put(table, rows, tag=tag)
+        if len(self.current(table)) > COMPACT_AFTER:
             self.compact(table)
 
     def compact(self, table: str) -> None:
         """The last row of each key of a log, as one whole version."""
-        self.write(table, latest(self.read(table), LOGS[table][1]))
+        _, keys, order = LOGS[table]
+        self.write(table, latest(self.read(table), keys, order))
 
     def vacuum(self, table: str) -> None:
         """Deletes versions that are no longer part of the table; to be called when no plan reads them."""
-        current = self._current(table)
+        current = self.current(table)
         for pointer in [p for p in self._pointers(table) if p not in current]:
             for folder in (f"pointers/{pointer}", f"versions/version={pointer}"):  # first what names it
                 self.remove(f"{self.root}/{table}/{folder}")
@@ -94,6 +107,27 @@ class Catalog:
         hadoop, fs = self._fs(path)
         fs.delete(hadoop, True)
 
+    def exists(self, path: str) -> bool:
+        hadoop, fs = self._fs(path)
+        return fs.exists(hadoop)
+
+    def listed(self, path: str) -> list[str]:
+        """Names in a folder, none if there is no such folder."""
+        hadoop, fs = self._fs(path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(hadoop)) if fs.exists(hadoop) else []
+
+    def put_text(self, path: str, text: str) -> None:
+        """A small file, moved to its name once it is whole."""
+        place, _, name = path.rpartition("/")
+        hadoop, fs = self._fs(f"{place}/_{name}")
+        out = fs.create(hadoop, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        fs.rename(hadoop, self._fs(path)[0])
+
+    def text(self, path: str) -> str:
+        return "\n".join(r.value for r in self.spark.read.text(path).collect())  # of put_text
+
     def apis(self) -> DataFrame:
         return self.read("apis")
 

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators.endpoints import VERBS, default_name, described, path_parameters, unpivot_verbs
@@ -21,6 +21,31 @@ OPERATION = "struct<operationId:string,summary:string,description:string,paramet
 DOCUMENT = f"struct<title:string,paths:array<struct<path:string,{','.join(f'`{v}`:{OPERATION}' for v in VERBS)}>>>"
 
 
+#: Query parameters by which services are asked for a page, in lower case, and the header of keys.
+PAGE_NAMES = ("page", "page_number", "pagenumber", "pageno")
+OFFSET_NAMES = ("offset", "skip", "startat", "start_index")
+CURSOR_NAMES = ("cursor", "page_token", "pagetoken", "after", "starting_after", "next_token", "continuation_token")
+SIZE_NAMES = ("per_page", "page_size", "pagesize", "limit", "max_results", "maxresults")
+KEY_HEADER = "idempotency-key"
+PARAMETERS = "array<struct<ref:string,`in`:string,required:boolean,name:string,description:string>>"
+
+
+def paging(parameters: Column) -> Column:
+    """How an operation's collection is paged, by its query parameters; null if they name no page."""
+
+    def named(names: tuple[str, ...]) -> Column:
+        of_these = F.filter(parameters, lambda p: F.coalesce((p["in"] == "query") & F.lower(p["name"]).isin(*names), F.lit(False)))
+        return F.get(of_these, F.lit(0))["name"]
+
+    size = named(SIZE_NAMES)
+    found = [(kind, named(names)) for kind, names in (("cursor", CURSOR_NAMES), ("page", PAGE_NAMES), ("offset", OFFSET_NAMES))]
+    return F.coalesce(*[F.when(name.isNotNull(), F.struct(F.lit(kind).alias("kind"), name.alias("page"), size.alias("size"))) for kind, name in found])
+
+
+def honours_keys(parameters: Column) -> Column:
+    return F.exists(parameters, lambda p: F.coalesce((p["in"] == "header") & (F.lower(p["name"]) == KEY_HEADER), F.lit(False)))
+
+
 def pointed(document: Any, ref: str) -> Any:
     """What a local reference (#/a/b) points to."""
     found = document
@@ -77,14 +102,17 @@ def parse_specs(texts: DataFrame) -> DataFrame:
     paths = documents.select("id", F.posexplode("d.paths").alias("path_ordinal", "p")).select("id", "path_ordinal", "p.*")
     rows = unpivot_verbs(paths, {v: F.col(v) for v in VERBS}, ["id", "path_ordinal", "path"])
     op = F.col("operation")
+    parameters = F.coalesce(op["parameters"], F.array().cast(PARAMETERS))
     endpoint = F.struct(
         default_name(op["operationId"]).alias("name"),
         described(op["summary"], op["description"]).alias("description"),
         "path",
         "method",
-        path_parameters(F.coalesce(op["parameters"], F.array().cast("array<struct<ref:string,`in`:string,required:boolean,name:string,description:string>>"))).alias("parameters"),
+        path_parameters(parameters).alias("parameters"),
         F.coalesce(op["requestBody"], F.lit("")).alias("requestBody"),
         op["responses"].alias("responseSchema"),
+        paging(parameters).alias("paging"),
+        honours_keys(parameters).alias("honoursKeys"),
     )
     ordered = F.sort_array(F.collect_list(F.struct("path_ordinal", "verb_ordinal", endpoint.alias("endpoint"))))
     found = rows.groupBy("id").agg(F.transform(ordered, lambda x: x["endpoint"]).alias("endpoints"))

@@ -1,11 +1,14 @@
 """Sync rounds: both directed passes of each mapping, once or in a stream.
 
-A pass is planned as a table first, then applied; requests are written down before they are sent and the
-answers after, so that an id that was created is never lost with an executor. A call that fails does not
-keep the others of its pass from being sent: the ids of what was created are committed, and then the
-failure ends the mapping's round, and no other's. The passes of a round depend on each other: the id map
-is committed between them. As a stream, rounds are micro-batches of a rate source: starts come at a fixed
-rate, not at a fixed delay after a round.
+A pass is planned as a table first, then applied as a run (see runs): requests are written down before they are
+sent and answers are noted as they come, so that an id that was created is lost neither with an executor nor with the
+driver; a round finishes runs that were cut off before it plans anything. A call that fails does not
+keep the others of its pass from being sent, and a linked item whose base cannot be had is left out alone: the ids of
+what was created are committed, and then the failures end the mapping's round, and no other's. The passes
+of a round depend on each other: the id map is committed between them. Collections are read by the paging that
+their descriptions declare. What a pass did is counted by the jobs that do it and noted in the table ``passes``.
+
+As a stream, each batch is a snapshot of the first side's collection, or, for all mappings, a tick at a fixed rate.
 
 Of items that repeat an id in one snapshot the first is written first, and the last of the others after its id
 is known, as an update: what the steps between would have written is written over by it.
@@ -13,19 +16,19 @@ is known, as an update: what the steps between would have written is written ove
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
 from weftline.functions.paths import fill
-from weftline.functions.records import key_of
+from weftline.functions.records import record
 from weftline.operators.graph import sides
 from weftline.operators.keyed import latest
 from weftline.operators.sync import CREATE, directed, keyed_items, lookup_keys, plan_pass
 from weftline.sources import rest
 from weftline.sources.catalog import Catalog
+from weftline.streaming.runs import Counts, Run, in_doubt, seen, unfinished
 
 
 class SyncError(RuntimeError):
@@ -74,68 +77,120 @@ def repeats(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     return first, met.where("ordinal = last").select("ordinal", "item")
 
 
-def run_pass(catalog: Catalog, mapping: Row, reverse: bool, scan: Callable, write: Callable, work: str, fetch: Callable = rest.fetch) -> int | None:
-    """Plan and apply one directed pass; rows applied, None if the mapping does not allow it."""
-    spark = catalog.spark
+def paged(endpoint: Row) -> dict[str, str]:
+    """An endpoint's paging as options of a scan; none if its description declares none."""
+    found = endpoint.paging
+    return {"paging": found.kind, "page_parameter": found.page, "size_parameter": found.size} if found else {}
+
+
+def run_pass(
+    catalog: Catalog, mapping: Row, reverse: bool, scan: Callable, write: Callable | None, work: str, fetch: Callable | None = None, items: DataFrame | None = None
+) -> int | None:
+    """Plan and apply one directed pass; rows applied, None if the mapping does not allow it. items: the source's snapshot, if it is at hand."""
     source, target = mapping.parts[::-1] if reverse else mapping.parts
     if not (source.getAll and target.create and target.update):
         return None
     urls = {r.api: r.baseUrl for r in sides(catalog.mappings().where(F.col("id") == mapping.id), catalog.apis()).collect()}  # two rows
-    run_id = uuid.uuid4().hex
-    folder = f"{work}/{run_id}"
-
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
-
-    items = kept(scan(spark, urls[source.api] + source.getAll.path, source.getAll.method), "source")
+    run = Run.begin(catalog, work, write, mapping_id=mapping.id, reverse=reverse, honours_keys=bool(target.create.honoursKeys))
+    counts = Counts()
+
+    read = Observation()
+    items = scan(catalog.spark, urls[source.api] + source.getAll.path, source.getAll.method, **paged(source.getAll)) if items is None else items
+    items = run.keep(items.observe(read, F.count(F.lit(1)).alias("read")), "source")
+    counts.read = seen(read)["read"]
+    if catalog.current("in_doubt"):  # items whose create may have been done wait until somebody knows
+        doubts = in_doubt(catalog, mapping.id).where(F.col("reverse") == reverse).select("source_id")
+        known = keyed_items(items).join(doubts, "source_id", "left_anti")
+        items = known.select("ordinal", "item")
     dictionary = F.create_map(*[F.lit(x) for pair in source.fieldMapping.items() for x in pair]) if source.fieldMapping else F.create_map().cast("map<string,string>")
 
-    def apply(items: DataFrame, step: str) -> int:
+    def apply(items: DataFrame, step: str) -> None:
         pairs = directed(id_pairs(catalog, mapping.id), reverse)
+        broken = None
         if target.getOne:  # linked items are asked for one by one, in tasks: a list may not show all their properties
             known = lookup_keys(items, pairs)
             asked = known.select("target_id", F.concat(F.lit(urls[target.api]), path_of(target.getOne)).alias("url"), F.lit(target.getOne.method).alias("method"))
-            bases = kept(fetch(asked), f"bases-{step}")
+            told, bases = Observation(), fetch(asked) if fetch else rest.fetch(asked, errors=True)
+            error = F.col("error") if "error" in bases.columns else F.lit(None).cast("string")
+            bases = run.keep(bases.withColumn("error", error).observe(told, F.count("error").alias("broken"), F.min("error").alias("first")), f"bases-{step}")
+            if seen(told)["broken"]:
+                broken = bases.where("error is not null").select("target_id")
+                counts.failed += seen(told)["broken"]
+                counts.errors.append(seen(told)["first"])
+            bases = bases.where("error is null").drop("error")
         else:
-            bases = scan(spark, urls[target.api] + target.getAll.path, target.getAll.method) if target.getAll else items.limit(0)
+            bases = scan(catalog.spark, urls[target.api] + target.getAll.path, target.getAll.method, **paged(target.getAll)) if target.getAll else items.limit(0)
         # pairs have one row for each a_id, and what was asked for by key one for each key
         plan = plan_pass(items, bases, pairs, dictionary, unique=bool(target.getOne) and not reverse)
+        if broken is not None:  # their changes would be laid over an empty base
+            plan = plan.join(broken, "target_id", "left_anti")
         if not (target.getOne or target.getAll):  # without a way to see the target, linked items cannot be updated
             plan = plan.where(F.col("action") == CREATE)
-        requests = kept(requests_of(plan, urls[target.api], target.create, target.update, mapping.id, f"{run_id}-{step}"), f"requests-{step}")
-        answers = kept(write(requests), f"answers-{step}")
-        created = requests.where((F.col("action") == CREATE) & F.col("source_id").isNotNull()).select("ordinal")
-        ids = answers.where("error is null").join(created, "ordinal")
-        new = ids.select("ordinal", "source_id", key_of(F.parse_json("response_id_json")).alias("target_id")).where("target_id is not null")
-        if not new.isEmpty():
-            a, b = ("target_id", "source_id") if reverse else ("source_id", "target_id")
-            order = F.lit(catalog.next_number("id_map") << 40) + F.pmod("ordinal", F.lit(1 << 40))
-            catalog.append("id_map", new.select(F.lit(mapping.id).alias("mapping_id"), F.col(a).alias("a_id"), F.col(b).alias("b_id"), order.alias("seq")))
-        failed = answers.where("failed").agg(F.count(F.lit(1)).alias("n"), F.min("error").alias("first")).first()
-        if failed.n:
-            raise SyncError(f"{failed.n} calls failed, among them: {failed.first}")
-        return requests.count()
+        run.send(requests_of(plan, urls[target.api], target.create, target.update, mapping.id, f"{run.run_id}-{step}"), step, counts)
 
     first, later = repeats(items)
-    applied = apply(first, "first")
-    if not later.isEmpty():
-        applied += apply(later, "later")
-    catalog.remove(folder)  # all is committed; the tables of a pass that failed stay
-    return applied
+    apply(first, "first")
+    if not counts.failed and not later.isEmpty():
+        apply(later, "later")
+    run.end(counts)
+    if counts.failed:
+        raise SyncError(f"{counts.failed} calls failed, among them: {min(counts.errors)}")
+    return counts.applied
+
+
+def recover(catalog: Catalog, work: str, write: Callable | None = None) -> dict[str, dict]:
+    """Finishes the runs that were cut off; per run what was done and what stays in doubt."""
+    report = {}
+    for run in unfinished(catalog, work, write):
+        found = run.finish()
+        report[run.run_id] = {"mapping": run.intent["mapping_id"], "applied": found.applied, "failed": found.failed, "in_doubt": found.in_doubt}
+    return report
 
 
-def run_round(catalog: Catalog, scan: Callable = rest.scan, write: Callable = rest.write, work: str | None = None, fetch: Callable = rest.fetch) -> dict[str, str | list]:
-    """Both passes of every mapping; per mapping the rows applied by each pass, or the error that ended it."""
-    report: dict[str, str | list] = {}
+def run_round(catalog: Catalog, scan: Callable = rest.scan, write: Callable | None = None, work: str | None = None, fetch: Callable | None = None) -> dict[str, str | list | dict]:
+    """Both passes of every mapping; per mapping the rows applied by each pass, or the error that ended it; under "recovered" the runs that were finished first."""
+    work = work or f"{catalog.root}/work"
+    report: dict[str, str | list | dict] = {}
+    if recovered := recover(catalog, work, write):
+        report["recovered"] = recovered
     for mapping in catalog.mappings().collect():  # the catalog of mappings, not records
-        try:
-            report[mapping.id] = [run_pass(catalog, mapping, reverse, scan, write, work or f"{catalog.root}/work", fetch) for reverse in (False, True)]
-        except Exception as error:
-            report[mapping.id] = f"{type(error).__name__}: {str(error)[:300]}"
+        report[mapping.id] = _both(catalog, mapping, scan, write, work, fetch)
     return report
 
 
+def _both(catalog: Catalog, mapping: Row, scan: Callable, write: Callable | None, work: str, fetch: Callable | None, items: DataFrame | None = None) -> str | list:
+    try:
+        return [run_pass(catalog, mapping, reverse, scan, write, work, fetch, None if reverse else items) for reverse in (False, True)]
+    except Exception as error:
+        return f"{type(error).__name__}: {str(error)[:300]}"
+
+
+def snapshot_stream(catalog: Catalog, mapping_id: str, checkpoint: str, seconds: int = 5, on_round: Callable | None = None, work: str | None = None, **how):
+    """A streaming query of one mapping: each batch is a snapshot of its first side, synced to the second and back.
+
+    The snapshot's number and rows outlast a stop: a batch that was not committed is run again with the same rows.
+    """
+    work = work or f"{catalog.root}/work/{mapping_id}"
+    mapping = catalog.mappings().where(F.col("id") == mapping_id).first()
+    source = mapping.parts[0]
+    if not source.getAll:
+        raise ValueError(f"the first side of {mapping_id} cannot be listed")
+    base = {r.side: r.baseUrl for r in sides(catalog.mappings().where(F.col("id") == mapping_id), catalog.apis()).collect()}[0]
+
+    def each(batch: DataFrame, number: int) -> None:
+        recover(catalog, work, how.get("write"))
+        current = catalog.mappings().where(F.col("id") == mapping_id).first()
+        items = batch.select("ordinal", record(F.col("item_json")).alias("item"))
+        report = _both(catalog, current, how.get("scan", rest.scan), how.get("write"), work, how.get("fetch"), items)
+        if on_round:
+            on_round(number, report)
+
+    catalog.spark.dataSource.register(rest.RestCollection)
+    options = {"url": base + source.getAll.path, "method": source.getAll.method, "snapshots": f"{checkpoint}/snapshots", **paged(source.getAll)}
+    snapshots = catalog.spark.readStream.format("rest_collection").options(**{k: v for k, v in options.items() if v is not None}).load()
+    return snapshots.writeStream.foreachBatch(each).option("checkpointLocation", f"{checkpoint}/query").trigger(processingTime=f"{seconds} seconds").start()
+
+
 def run_stream(catalog: Catalog, checkpoint: str, seconds: int = 5, available_now: bool = False, on_round: Callable | None = None, **how):
     """A streaming query that runs a round per micro-batch."""
 
