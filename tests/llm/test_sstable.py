@@ -1,12 +1,15 @@
 import json
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from rows import SCHEMA, document
 from tokenizers import Tokenizer
 
+from weftline.llm import sstable
 from weftline.llm.scratch import Scratch
 from weftline.llm.sstable import BLOCK_BYTES, ShardReader, ShardWriter, key_of, lookup, make_manifest, token_shards, write_shards
 from weftline.llm.tokenizing import WordTokenizer, word_bpe_path
@@ -73,3 +76,21 @@ def test_lookup_in_one_shard_and_damage():
 
 def test_empty_table(empty):
     assert token_shards(empty).collect() == []
+
+
+def test_texts_encoded_together_are_as_texts_encoded_alone():
+    tokenizer = WordTokenizer(Path(word_bpe_path()).read_text())
+    texts = ["", " \t\n\x0b\x0c\r ", "one two, two! ONE", "Élan café naïve ﬁne", "a b c d", "it's 12 o'clock | ## x_y", "\U0001f600 \x00 \x1c q", " lead and trail ", "wörter " * 500]
+    for own in (tokenizer, WordTokenizer(Path(word_bpe_path()).read_text(), by_word=False)):
+        for rows in (pa.array(texts), pa.array(["skipped", *texts]).slice(1), pa.array([], pa.string())):
+            ids, begins = own.encode_all(rows)
+            alone = [own.library.encode(t, add_special_tokens=False).ids for t in rows.to_pylist()]
+            assert [ids[a:b].tolist() for a, b in zip(begins, begins[1:], strict=False)] == alone
+
+
+def test_pieces_hold_every_row_once():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(["aaaa", "", "bb", "c" * 50, "", "d", "e" * 9])], ["doc_id", "text"])
+    for size in (1, 5, 60, 1000):
+        parts = list(sstable.pieces(batch, size))
+        assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(7))
+    assert [p.num_rows for p in sstable.pieces(batch, 6)] == [3, 1, 3] and list(sstable.pieces(batch.slice(0, 0), 5)) == []

@@ -32,6 +32,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import xxhash
 from pyspark import TaskContext
@@ -47,6 +48,7 @@ END_ID = 2
 #: Words whose ids a writing task remembers: a shard's, mostly.
 REMEMBERED = 400_000
 SHARD_TEXT_BYTES = 32 << 20
+CHUNK_BYTES = 16 << 20
 BLOCK_BYTES = 64 << 10
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 MAGIC = b"WLSST001"
@@ -217,6 +219,16 @@ class ShardReader:
         return found
 
 
+def pieces(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose texts (column 1) have ``size`` bytes or the last text over it."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    at, before = 0, 0
+    while at < batch.num_rows:
+        stop = min(batch.num_rows, int(np.searchsorted(ends, before + size)) + 1)
+        yield batch.slice(at, stop - at)
+        at, before = stop, int(ends[stop - 1])
+
+
 def write_shards(docs: DataFrame, root: str, tokenizer_path: str | None = None, end_id: int = END_ID, shard_text_bytes: int = SHARD_TEXT_BYTES) -> None:
     """Encode every document and write its ids to the shards under root."""
     spark = docs.sparkSession
@@ -233,14 +245,17 @@ def write_shards(docs: DataFrame, root: str, tokenizer_path: str | None = None,
         end = end_id.to_bytes(tokenizer.width, "little")
         row = lambda frame: pa.RecordBatch.from_arrays([pa.array([frame], pa.binary())], ["frame"])
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for frame in writer.add(key_of(doc_id), tokenizer.encode(text.as_py()) + end):
-                    yield row(frame)
+            # texts that Arrow cuts into words together, of CHUNK_BYTES or little more
+            for part in pieces(batch, CHUNK_BYTES):
+                ids, begins = tokenizer.encode_all(part.column(1))
+                for k, doc_id in enumerate(part.column(0).to_pylist()):
+                    for frame in writer.add(key_of(doc_id), ids[begins[k] : begins[k + 1]].tobytes() + end):
+                        yield row(frame)
         if writer.entries:
             for frame in writer.finish():
                 yield row(frame)
 
-    frames = texts.select("doc_id", F.encode("text", "UTF-8").alias("text")).mapInArrow(run, "frame binary")
+    frames = texts.select("doc_id", "text").mapInArrow(run, "frame binary")
     frames.select(F.col("frame").cast("string").alias("value")).write.mode("errorifexists").text(root)
 
 

@@ -16,6 +16,8 @@ from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
 from weftline.llm.wordtable import WordTable, give_back
@@ -56,6 +58,14 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+def bytes_of(strings: pa.Array) -> list[bytes]:
+    """The strings, without nulls, as bytes."""
+    _, ends, data = strings.buffers()
+    at = np.frombuffer(ends, np.int32)[strings.offset : strings.offset + len(strings) + 1].tolist() if len(strings) else [0]
+    raw = data.to_pybytes() if data else b""
+    return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
 def word_bpe_path() -> str:
     import public_tokenizers
 
@@ -119,6 +129,29 @@ class WordTokenizer:
             return self._part(plain[1].lower()) + (self._part(plain[2]) if plain[2] else b"")
         return self._packed(self.library.encode(text, add_special_tokens=False).ids)
 
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Each word's ids. Stems are remembered, not the words that only add a mark to one."""
+        known, merges, packed = self.ids, self.merges.tokenize, self.packed
+        if len(known) + len(words) > known.remembered:
+            known.clear()
+        out = []
+        for word in words:
+            found = known.get(word)
+            if found is None:
+                if word.isalpha():
+                    stem, mark = word.lower(), b""
+                elif (stem := word[:-1]).isalpha() and word[-1] in MARKS:
+                    stem, mark = stem.lower(), self._part(chr(word[-1]))
+                else:
+                    out.append(known[word])
+                    continue
+                found = known.get(stem)
+                if found is None:
+                    found = known[stem] = b"".join([packed[t.id] for t in merges(stem.decode())])
+                found += mark
+            out.append(found)
+        return out
+
     def word_counts(self, words: list[bytes]) -> np.ndarray:
         """[1, words]: how many ids each word has."""
         return np.fromiter((len(self.encode_word(w)) for w in words), np.int64, len(words))[None, :] / self.width
@@ -143,6 +176,31 @@ class WordTokenizer:
     def count(self, text: bytes) -> int:
         return len(self.encode(text)) // self.width
 
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (strings without nulls), one text after the other, and where each begins, with the end.
+
+        Arrow cuts the texts into words and numbers the distinct ones; each of those is looked up once, and the ids
+        are gathered by number.
+        """
+        kind = np.dtype(f"<u{self.width}")
+        if not self.by_word:
+            parts = [self.encode(t.as_py().encode()) for t in texts]
+            begins = np.cumsum([0, *map(len, parts)]) // self.width
+            return np.frombuffer(b"".join(parts), kind), begins
+        lists = pc.ascii_split_whitespace(texts)
+        words = lists.flatten().dictionary_encode()
+        place = words.indices.to_numpy()
+        ids = self.encode_words(bytes_of(words.dictionary))
+        pool = np.frombuffer(b"".join(ids), kind)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
+        of_word = sizes[place]
+        ends = np.concatenate([[0], np.cumsum(of_word)])
+        # the k-th id of a word lies k places after the word's first in the pool
+        shift = (np.cumsum(sizes) - sizes)[place] - ends[:-1]
+        found = pool[np.arange(ends[-1]) + np.repeat(shift, of_word)]
+        at = lists.offsets.to_numpy()
+        return found, ends[at - at[0]]
+
 
 class SharedTokenizer:
     """The definition as a broadcast of a few megabytes, whatever the input's size; one tokenizer a task."""
