@@ -1,12 +1,16 @@
 import hashlib
+import os
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from weftline.llm import bloom
-from weftline.llm.exact_dedup import DigestIndex, ExactDedup, exact_dedup
+from weftline.llm.exact_dedup import DigestIndex, ExactDedup, exact_dedup, memtable_cuts
 from weftline.llm.scratch import Scratch
 
+SF = "/root/testdata/sf0.01"
+
 
 def brute(rows):
     norm = [re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "") for r in rows]
@@ -87,8 +91,29 @@ def test_filters_over_the_broadcast_limit_are_joined_by_block(spark, tmp_path, m
 
 def test_memtables_reach_several_levels(tricky):
     found = ExactDedup(tricky.repartition(12))
-    assert {level for level, runs in found.index.levels.items() if runs} == {2} and found.index.written == 7
-    assert {level for level, runs in ExactDedup(tricky.repartition(12), memtables=5).index.levels.items() if runs} == {0, 2}
+    assert {level for level, runs in found.index.levels.items() if runs} == {0, 1} and found.index.written == 9
+
+
+@pytest.mark.parametrize(("partitions", "rows", "memtables"), [(1, 100, 7), (5, 100, 7), (40, 100, 7), (3, 4, 7), (6, 1000, 1), (2, 7, 7)])
+def test_memtables_are_equal_stretches_of_rows(spark, partitions, rows, memtables):
+    entries = spark.range(0, rows, 1, partitions).where("id % 10 <> 3 or id > 500").select(F.monotonically_increasing_id().alias("tag"))
+    tags = sorted(r.tag for r in entries.collect())
+    cuts = memtable_cuts(entries, memtables)
+    sizes = [sum(a <= t < b for t in tags) for a, b in zip(cuts, [*cuts[1:], 1 << 62], strict=True)]
+    assert sum(sizes) == len(tags) and len(sizes) == min(memtables, len(tags)) and max(sizes) - min(sizes) <= 1
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
+def test_the_driver_table_passes_through_the_whole_index(spark):
+    """One input partition, and yet each memtable has rows, older runs are hit, and runs are merged."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = ExactDedup(docs)
+    assert docs.rdd.getNumPartitions() == 1
+    runs = {level: [r.digests.agg(F.sum("n")).first()[0] for r in runs] for level, runs in found.index.levels.items() if runs}
+    assert set(runs) == {0, 1} and sum(n for sizes in runs.values() for n in sizes) == docs.count()
+    assert min(n for sizes in runs.values() for n in sizes) >= docs.count() // 7
+    hits = [h.count() for h in found.index.hits]
+    assert len(hits) == 6 and sum(hits) > 0 and hits[-1] > 0
 
 
 def test_column_names_with_dots(tricky):

@@ -1,7 +1,7 @@
 """Exact duplicates by a log-structured merge index of text digests.
 
-Documents arrive in memtables: groups of input partitions, MEMTABLES of them or more, so that each holds
-MEMTABLE_ROWS at most on average. Each memtable is flushed as a run: one row per digest with its smallest
+Documents arrive in memtables: equal stretches of rows in the order of the input, MEMTABLES of them or more, so that none
+holds over MEMTABLE_ROWS, whatever the input's partitions. Each memtable that has rows is flushed as a run: one row per digest with its smallest
 identifier and its rows, sorted by digest, with a Bloom filter beside it. The digests of a new run are asked
 of the filters of all older runs; those that no filter may hold are new, the others are looked up in the
 runs by digest. When a level has FANOUT runs, compaction merges them into one sorted run of the next level
@@ -26,16 +26,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.bloom import asked, blocks_for, filter_of, with_likely
+from weftline.llm.external_shuffle import preceding
 from weftline.llm.scratch import Scratch
 from weftline.llm.text import row_of, squeezed
 
-MEMTABLES = 4
+MEMTABLES = 7
 MEMTABLE_ROWS = 500_000_000
-FANOUT = 2
+FANOUT = 3
 
 
 def sha256(text: Column) -> Column:
@@ -70,8 +71,9 @@ class DigestIndex:
 
     def _write(self, df: DataFrame, level: int) -> Run:
         k = self.written = self.written + 1
-        digests = self._put(df.sortWithinPartitions("digest"), f"level={level}/run={k}")
-        n_blocks = blocks_for(digests.count())
+        told = Observation()
+        digests = self._put(df.sortWithinPartitions("digest").observe(told, F.count(F.lit(1)).alias("n")), f"level={level}/run={k}")
+        n_blocks = blocks_for(told.get.get("n") or 0)
         return Run(digests, self._put(filter_of(digests, n_blocks, ["digest"]), f"filter/run={k}"), n_blocks)
 
     def flush(self, entries: DataFrame) -> None:
@@ -105,6 +107,24 @@ class DigestIndex:
         return rows.join(names, "digest", "left_semi").groupBy("digest").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
 
 
+def memtable_cuts(entries: DataFrame, memtables: int) -> list[int]:
+    """The first tag of each memtable: stretches of equal numbers of rows in the order of tags.
+
+    A tag is an input partition and a row's number in it, from 0 without a gap; how many rows lie before a partition is
+    a prefix sum. As many numbers come to the driver as there are memtables.
+    """
+    counts = entries.groupBy(F.shiftright("tag", 33).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    rows = entries.count()  # of Parquet footers
+    if not rows:
+        return []
+    m = max(memtables, -(-rows // MEMTABLE_ROWS))
+    # memtable k begins at row k * rows / m; those that begin in a partition are a range of k
+    starts = lambda at: f"cast(({at} * {m} + {rows - 1}) div {rows} as long)"
+    placed = preceding(counts).withColumns({"low": F.expr(starts("begin")), "high": F.expr(f"{starts('(begin + n)')} - 1")}).where("low <= high")
+    cuts = placed.select("bucket", "begin", F.explode(F.sequence("low", "high")).alias("k"))
+    return sorted({r.tag for r in cuts.selectExpr(f"shiftleft(bucket, 33) + (k * {rows}) div {m} - begin AS tag").collect()})
+
+
 class ExactDedup:
     """The index over a table of documents, and what follows from it.
 
@@ -115,20 +135,19 @@ class ExactDedup:
     def __init__(self, docs: DataFrame, memtables: int = MEMTABLES, digest=sha256, scratch: Scratch | None = None):
         self.docs, self.digest = docs, digest
         self.scratch = scratch or Scratch(docs.sparkSession, "exact-dedup")
-        memtables = max(memtables, -(-docs.count() // MEMTABLE_ROWS))
         entries = docs.select(
             "doc_id",
             digest(squeezed(F.col("text"))).alias("digest"),
             sha256(squeezed(F.col("text"))).alias("sha"),
             F.monotonically_increasing_id().alias("tag"),
         )
-        # the upper bits of the tag are the input partition: its number deals documents to memtables
-        entries = entries.withColumn("memtable", F.pmod(F.shiftright("tag", 33), F.lit(memtables)).cast("int"))
         self.entries = self.scratch.put(entries, "entries")
         self.index = DigestIndex(docs.sparkSession, self.scratch.path("index"))
-        for m in range(memtables):
-            # a file of entries is one input partition's: all but a memtable's own files are skipped by their statistics
-            self.index.flush(self.entries.where(F.col("memtable") == m))
+        cuts = memtable_cuts(self.entries, memtables) or [0]
+        for begin, end in zip(cuts, [*cuts[1:], None], strict=True):
+            # tags ascend within a file: files and row groups of other memtables are skipped by their statistics
+            mine = F.col("tag") >= begin
+            self.index.flush(self.entries.where(mine if end is None else mine & (F.col("tag") < end)))
         self.shared = self.scratch.put(self.index.shared(self.scratch), "shared")
         self.n_shared = self.shared.count()
         self.collided = self._verify()
