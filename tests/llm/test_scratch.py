@@ -1,9 +1,11 @@
 import os
+import threading
 from types import SimpleNamespace
 
 import pyarrow as pa
 import pytest
 
+from weftline.llm import scratch
 from weftline.llm.scratch import Scratch, released, shared_root
 
 
@@ -42,3 +44,21 @@ def test_batches_are_small_while_a_table_is_written(spark, tmp_path):
     rows = scratch.put(spark.range(5000, numPartitions=1).mapInArrow(run, "n long"), "t").collect()
     assert sum(r.n for r in rows) == 5000 and max(r.n for r in rows) <= 1024
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_threads_leave_the_session_its_own_batch_size(spark):
+    before = spark.conf.get(scratch.BATCH_CONF)
+    barrier, seen = threading.Barrier(4), []
+
+    def work(rows):
+        with scratch.small_batches(spark, rows):
+            barrier.wait()
+            seen.append(int(spark.conf.get(scratch.BATCH_CONF)))
+            barrier.wait()
+
+    threads = [threading.Thread(target=work, args=(512,)) for _ in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert seen == [512] * 4 and spark.conf.get(scratch.BATCH_CONF) == before and not scratch._held

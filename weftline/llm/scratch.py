@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import re
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager, suppress
@@ -15,6 +16,29 @@ DEFAULT_ROOT = "/tmp/checkpoints"
 #: Rows of an Arrow batch at most while a table is written; the session's own limit holds again after it.
 BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1024
 _OPEN: list[Scratch] = []
+_BATCHES = threading.Lock()
+_held: dict[int, tuple[int, str]] = {}
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Within it, rows go to Python and back in batches that stay small with long texts. Several threads may be in it at
+    once: the session's own limit is noted by the first of them and holds again after the last."""
+    key = id(spark)
+    with _BATCHES:
+        inside, own = _held.get(key, (0, spark.conf.get(BATCH_CONF)))
+        _held[key] = inside + 1, own
+        if not inside:
+            spark.conf.set(BATCH_CONF, min(int(own), rows) if int(own) > 0 else rows)
+    try:
+        yield
+    finally:
+        with _BATCHES:
+            inside, own = _held.pop(key)
+            if inside > 1:
+                _held[key] = inside - 1, own
+            else:
+                spark.conf.set(BATCH_CONF, own)
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -41,13 +65,9 @@ class Scratch:
         return f"{self.root}/{table}"
 
     def put(self, df: DataFrame, table: str) -> DataFrame:
-        """df, written and read again. Rows go to Python and back in batches that stay small with long texts."""
-        batch = int(self.spark.conf.get(BATCH_CONF))
-        self.spark.conf.set(BATCH_CONF, min(batch, BATCH_ROWS) if batch > 0 else BATCH_ROWS)
-        try:
+        """df, written and read again."""
+        with small_batches(self.spark):
             df.write.mode("overwrite").parquet(self.path(table))
-        finally:
-            self.spark.conf.set(BATCH_CONF, batch)
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
     def drop(self, table: str) -> None:

@@ -40,15 +40,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.llm.scratch import Scratch
+from weftline.llm.scratch import Scratch, small_batches
 from weftline.llm.text import whole
 from weftline.llm.tokenizing import SharedTokenizer, word_bpe_path
+from weftline.llm.wordtable import give_back
 
 END_ID = 2
-#: Words whose ids a writing task remembers: a shard's, mostly.
-REMEMBERED = 400_000
+#: Words and stems whose ids a writing task remembers: a shard's, mostly.
+REMEMBERED = 300_000
 SHARD_TEXT_BYTES = 32 << 20
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
+#: Rows of an Arrow batch at most.
+BATCH_ROWS = 2048
 BLOCK_BYTES = 64 << 10
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 MAGIC = b"WLSST001"
@@ -254,9 +257,12 @@ def write_shards(docs: DataFrame, root: str, tokenizer_path: str | None = None,
         if writer.entries:
             for frame in writer.finish():
                 yield row(frame)
+        del tokenizer
+        give_back()  # the worker may idle beside the next stage
 
     frames = texts.select("doc_id", "text").mapInArrow(run, "frame binary")
-    frames.select(F.col("frame").cast("string").alias("value")).write.mode("errorifexists").text(root)
+    with small_batches(spark, BATCH_ROWS):
+        frames.select(F.col("frame").cast("string").alias("value")).write.mode("errorifexists").text(root)
 
 
 def shards(spark: SparkSession, root: str) -> DataFrame:

@@ -192,14 +192,15 @@ class WordTokenizer:
         place = words.indices.to_numpy()
         ids = self.encode_words(bytes_of(words.dictionary))
         pool = np.frombuffer(b"".join(ids), kind)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // self.width
         of_word = sizes[place]
-        ends = np.concatenate([[0], np.cumsum(of_word)])
+        ends = np.concatenate([[0], np.cumsum(of_word, dtype=np.int64)])
         # the k-th id of a word lies k places after the word's first in the pool
-        shift = (np.cumsum(sizes) - sizes)[place] - ends[:-1]
-        found = pool[np.arange(ends[-1]) + np.repeat(shift, of_word)]
-        at = lists.offsets.to_numpy()
-        return found, ends[at - at[0]]
+        at = np.repeat((np.cumsum(sizes, dtype=np.int64) - sizes)[place] - ends[:-1], of_word)
+        at += np.arange(ends[-1])
+        found = pool[at]
+        texts_at = lists.offsets.to_numpy()
+        return found, ends[texts_at - texts_at[0]]
 
 
 class SharedTokenizer:
