@@ -18,12 +18,12 @@ from weftline.sources.catalog import Catalog
 from weftline.sources.spec import parse_specs
 
 
-def register_spec(catalog: Catalog, text: str, base_url: str) -> str:
-    """Parse a description, land its text and append it to the catalog; its new id."""
+def register_spec(catalog: Catalog, text: str, base_url: str, files: dict[str, str] | None = None) -> str:
+    """Parse a description, land its text and append it to the catalog; its new id. files: texts that it refers to, by relative path."""
     if not text or not base_url:
         raise ValueError("a description and a base url are needed")
     api_id = str(uuid.uuid4())
-    landed = catalog.spark.createDataFrame([(api_id, base_url, text)], "id string, base_url string, text string")
+    landed = catalog.spark.createDataFrame([(api_id, base_url, text, files or {})], "id string, base_url string, text string, files map<string,string>")
     landed.write.parquet(f"{catalog.root}/specs/{api_id}")
     catalog.append("apis", parse_specs(landed))
     return api_id
