@@ -1,12 +1,15 @@
+import os
 import random
 import zlib
 
+import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from rows import SCHEMA, document
 
 from weftline.llm.subword import FACTOR, GRAMS, SCALE, SubwordSoftmax
-from weftline.llm.toxicity import toxicity, training_rows
+from weftline.llm.toxicity import MAX_BYTES, toxicity, training_rows
 
 
 def corpus(n=400, seed=3):
@@ -106,3 +109,17 @@ def test_long_texts_are_scored_but_not_learned_from(spark):
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
     rows = training_rows(docs, labels, F.col("toxic"), 10)
     assert [bytes(r.text) for r in rows] == [b"short"]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="driver tables are not here")
+def test_recall_of_the_held_out_fold_by_length_of_text():
+    rows = duckdb.sql("SELECT d.doc_id, coalesce(d.text, ''), l.toxic FROM '/root/testdata/sf0.1/documents.parquet' d JOIN '/root/testdata/sf0.1/labels.parquet' l USING (doc_id) ORDER BY hash(doc_id)").fetchall()
+    rows = [(zlib.crc32(str(i).encode()) % 5 == 0, t.encode(), y) for i, t, y in rows]
+    learned = [(t, y) for held, t, y in rows if not held and len(t) <= MAX_BYTES]
+    model = SubwordSoftmax(2).fit([t for t, _ in learned], [y for _, y in learned])
+    texts, toxic = [t for held, t, _ in rows if held], np.array([y == 1 for held, _, y in rows if held])
+    found = model.scorer()(texts)[:, 1] >= 0.5
+    size = np.array([len(t) for t in texts])
+    recall = lambda within: found[within & toxic].mean()
+    assert recall(size >= 0) >= 0.72 and toxic[found].mean() >= 0.75
+    assert recall(size < 4096) >= 0.72 and recall((size >= 4096) & (size < 32768)) >= 0.55
