@@ -66,3 +66,13 @@ def overlay(base: Column, item: Column, dictionary: Column) -> Column:
 
 def without_id(item: Column) -> Column:
     return F.map_filter(item, lambda k, v: k != "id")
+
+
+def canonical(item: Column) -> Column:
+    """A text that two records share exactly when they hold the same: properties in order, each as its key_of or null."""
+    entries = F.transform(F.map_entries(item), lambda e: F.struct(e["key"].alias("key"), F.coalesce(key_of(e["value"]), F.lit("null")).alias("value")))
+    return F.to_json(F.array_sort(entries))
+
+
+def digest(item: Column) -> Column:
+    return F.sha2(canonical(item), 256)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.records import key_of, linked, overlay, property_of, without_id
+from weftline.functions.records import digest, key_of, linked, overlay, property_of, without_id
 from weftline.operators.keyed import first_match
 
 CREATE, UPDATE = "create", "update"
@@ -33,8 +33,8 @@ def lookup_keys(source: DataFrame, id_map: DataFrame, unique: bool = False) -> D
     return keyed_items(source).select("source_id").join(_links(id_map, unique), "source_id").select("target_id").distinct()
 
 
-def plan_pass(source: DataFrame, target: DataFrame, id_map: DataFrame, dictionary: Column, unique: bool = False) -> DataFrame:
-    """(ordinal, source_id, target_id, has_base, action, payload) of every item of source.
+def plan_pass(source: DataFrame, target: DataFrame, id_map: DataFrame, dictionary: Column, unique: bool = False, digests: bool = False) -> DataFrame:
+    """(ordinal, source_id, target_id, has_base, action, payload) of every item of source; with ``digests`` also payload_digest and base_digest.
 
     source, target: (ordinal, item), target also with target_id if its rows were asked for by key; id_map: (ordinal, source_id, target_id) keys of this direction.
     dictionary: map of source to target properties. An item whose link names no row of target is still an
@@ -49,6 +49,7 @@ def plan_pass(source: DataFrame, target: DataFrame, id_map: DataFrame, dictionar
     joined = items.join(links, _or_none(F.col("source_id")) == F.col("linked_id"), "left").join(rows, _or_none(F.col("target_id")) == F.col("base_id"), "left")
     mapped = overlay(F.col("base"), F.col("item"), dictionary)
     update = F.col("target_id").isNotNull()
+    compared = [digest(mapped).alias("payload_digest"), digest(F.col("base")).alias("base_digest")] if digests else []
     return joined.select(
         "ordinal",
         "source_id",
@@ -56,9 +57,26 @@ def plan_pass(source: DataFrame, target: DataFrame, id_map: DataFrame, dictionar
         F.col("base").isNotNull().alias("has_base"),
         F.when(update, UPDATE).otherwise(CREATE).alias("action"),
         F.when(update, mapped).otherwise(without_id(mapped)).alias("payload"),
+        *compared,
     )
 
 
+def with_noop(plan: DataFrame, sent: DataFrame | None = None) -> DataFrame:
+    """A plan with digests and a column is_noop: updates that would change nothing.
+
+    An update is one if its payload is its base already; or if sent, the last (target_id, payload_digest, base_digest) of each
+    target, has the same payload sent to the same base: what the service made of it then is what it shows now.
+    """
+    update = F.col("action") == UPDATE
+    same = F.coalesce(F.col("payload_digest") == F.col("base_digest"), F.lit(False))
+    if sent is None:
+        return plan.withColumn("is_noop", update & same)
+    last = sent.select(F.col("target_id").alias("sent_id"), F.struct(F.col("payload_digest").alias("p"), F.col("base_digest").alias("b")).alias("last"))
+    joined = plan.join(last, _or_none(F.col("target_id")) == F.col("sent_id"), "left")
+    again = (F.col("last.p") == F.col("payload_digest")) & (F.col("last.b") == F.col("base_digest"))
+    return joined.withColumn("is_noop", update & (same | F.coalesce(again, F.lit(False)))).drop("sent_id", "last")
+
+
 def unmapped(source: DataFrame, id_map: DataFrame) -> DataFrame:
     """The items (ordinal, source_id, item) that no link names."""
     return keyed_items(source).join(_links(id_map, False), "source_id", "left_anti")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.paths import fill, identifier
-from weftline.functions.records import key_of, properties_of, property_of, record
+from weftline.functions.records import digest, key_of, properties_of, property_of, record
 from weftline.operators import endpoints, keyed, sync
 from weftline.operators.graph import graph, sides
 from weftline.plans.matching import joined
@@ -217,10 +217,27 @@ def two_pass_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(properties_of(F.col("payload"), {"id": "bigint", "name": "string"}).alias("p"), "action").select("p.id", "p.name", "action")
 
 
+def noop_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers over suppliers of the same key: updates that change no nation, or were sent before over the same base.
+
+    Suppliers of even keys were sent their customers' nations last time.
+    """
+    customer, supplier = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    source = customer.select(F.col("c_custkey").alias("ordinal"), item(id="c_custkey", nation="c_nationkey").alias("item"))
+    target = supplier.select(F.col("s_suppkey").alias("ordinal"), item(id="s_suppkey", nation="s_nationkey", title="s_name").alias("item"))
+    links = customer.select(F.col("c_custkey").alias("ordinal"), F.col("c_custkey").cast("string").alias("source_id"), F.col("c_custkey").cast("string").alias("target_id"))
+    plan = sync.plan_pass(source, target, links, constant_map({"nation": "nation"}), digests=True)
+    both = supplier.where("s_suppkey % 2 = 0").join(customer, F.col("s_suppkey") == F.col("c_custkey"))
+    sent = both.select(
+        F.col("s_suppkey").cast("string").alias("target_id"), digest(item(id="s_suppkey", nation="c_nationkey", title="s_name")).alias("payload_digest"), digest(item(id="s_suppkey", nation="s_nationkey", title="s_name")).alias("base_digest")
+    )
+    return sync.with_noop(plan, sent).select("source_id", "target_id", "action", "is_noop")
+
+
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     sync_plan, sync_action_counts, endpoint_identifier, verb_unpivot, path_template, json_field, typed_id_key, prompt_concat, first_match, replace_by_key, id_map_upsert,
     graph_edges, sync_eligibility, usefulness_rule, selected_endpoints, unmapped_source, append_rows, catalog_join, default_fallback, param_filter, two_pass_round,
-    lookup_base, default_row, selection_maps, fold_dictionary,
+    lookup_base, default_row, selection_maps, fold_dictionary, noop_updates,
 ]
 
 _PLAN_SQL = """
@@ -292,6 +309,10 @@ WHERE c_custkey <> 0  -- a link to 0 is none: it would be a create""",
 SELECT c_custkey::VARCHAR AS source_id, (c_custkey + 7)::VARCHAR AS target_id, 'update' AS action, s_suppkey IS NOT NULL AS has_base,
        s_suppkey AS payload_id, c_name AS title, s_nationkey AS nation
 FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey + 7""",
+    "noop_updates": """
+SELECT c_custkey::VARCHAR AS source_id, CASE WHEN c_custkey <> 0 THEN c_custkey::VARCHAR END AS target_id, CASE WHEN c_custkey <> 0 THEN 'update' ELSE 'create' END AS action,
+       c_custkey <> 0 AND s_suppkey IS NOT NULL AND (c_nationkey = s_nationkey OR s_suppkey % 2 = 0) AS is_noop
+FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey""",
     "default_row": "SELECT c_custkey, coalesce(s_nationkey, 0) AS rating FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey",
     "selection_maps": """
 SELECT n_regionkey, count(*)::INTEGER AS n_all, 0 AS n_none, coalesce(string_agg(n_name, ',' ORDER BY n_name) FILTER (n_nationkey % 2 = 0), '') AS even_names

@@ -15,6 +15,9 @@ MAPPINGS = f"id string, name string, parts array<{PART}>"
 ID_MAP = "mapping_id string, a_id string, b_id string, seq long"
 
 #: What each directed pass did. recovered: rows of a pass that had been cut off, sent or committed later.
-PASSES = "run_id string, mapping_id string, reverse boolean, n_read long, n_created long, n_updated long, n_failed long, n_in_doubt long, recovered boolean"
+PASSES = "run_id string, mapping_id string, reverse boolean, n_read long, n_created long, n_updated long, n_unchanged long, n_failed long, n_in_doubt long, recovered boolean"
 #: Creates of which nobody knows whether they were done; the last row of a key counts, until it is settled.
 IN_DOUBT = "mapping_id string, reverse boolean, source_id string, url string, body string, key string, run_id string, seq long, settled boolean"
+
+#: What was last sent to each target of a direction, and over which base.
+SENT = "mapping_id string, reverse boolean, target_id string, payload_digest string, base_digest string, seq long"

@@ -19,12 +19,13 @@ from weftline import schemas
 from weftline.operators.endpoints import with_identifier
 from weftline.operators.keyed import latest
 
-TABLES = {"apis": schemas.APIS, "mappings": schemas.MAPPINGS, "id_map": schemas.ID_MAP, "passes": schemas.PASSES, "in_doubt": schemas.IN_DOUBT}
+TABLES = {"apis": schemas.APIS, "mappings": schemas.MAPPINGS, "id_map": schemas.ID_MAP, "passes": schemas.PASSES, "in_doubt": schemas.IN_DOUBT, "sent": schemas.SENT}
 #: Tables that are logs: the column of their folders, the key of which the last row counts, and the column that orders rows.
 LOGS = {
     "id_map": ("mapping_id", ["mapping_id", "a_id"], "seq"),
     "passes": ("mapping_id", ["mapping_id", "run_id", "recovered"], "n_read"),
     "in_doubt": ("mapping_id", ["mapping_id", "key"], "seq"),
+    "sent": ("mapping_id", ["mapping_id", "reverse", "target_id"], "seq"),
 }
 WHOLE = "-whole"
 COMPACT_AFTER = 50

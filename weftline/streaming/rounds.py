@@ -25,7 +25,7 @@ from weftline.functions.paths import fill
 from weftline.functions.records import record
 from weftline.operators.graph import sides
 from weftline.operators.keyed import latest
-from weftline.operators.sync import CREATE, directed, keyed_items, lookup_keys, plan_pass
+from weftline.operators.sync import CREATE, UPDATE, directed, keyed_items, lookup_keys, plan_pass, with_noop
 from weftline.sources import rest
 from weftline.sources.catalog import Catalog
 from weftline.streaming.runs import Counts, Run, in_doubt, seen, unfinished
@@ -61,7 +61,7 @@ def requests_of(plan: DataFrame, base_url: str, create: Row, update: Row, mappin
         "source_id",
         F.concat(F.lit(base_url), F.when(is_create, F.lit(create.path)).otherwise(path_of(update))).alias("url"),
         F.when(is_create, F.lit(create.method)).otherwise(F.lit(update.method)).alias("method"),
-        F.to_json("payload").alias("body"),
+        (F.col("payload") if dict(plan.dtypes)["payload"] == "string" else F.to_json("payload")).alias("body"),
         F.concat(F.lit(f"{mapping_id}:{base_url}:"), item).alias("key"),
         "action",
     )
@@ -84,9 +84,12 @@ def paged(endpoint: Row) -> dict[str, str]:
 
 
 def run_pass(
-    catalog: Catalog, mapping: Row, reverse: bool, scan: Callable, write: Callable | None, work: str, fetch: Callable | None = None, items: DataFrame | None = None
+    catalog: Catalog, mapping: Row, reverse: bool, scan: Callable, write: Callable | None, work: str, fetch: Callable | None = None, items: DataFrame | None = None, skip_unchanged: bool = False
 ) -> int | None:
-    """Plan and apply one directed pass; rows applied, None if the mapping does not allow it. items: the source's snapshot, if it is at hand."""
+    """Plan and apply one directed pass; rows applied, None if the mapping does not allow it.
+
+    items: the source's snapshot, if it is at hand. skip_unchanged: updates that would change nothing are not sent.
+    """
     source, target = mapping.parts[::-1] if reverse else mapping.parts
     if not (source.getAll and target.create and target.update):
         return None
@@ -121,12 +124,21 @@ def run_pass(
         else:
             bases = scan(catalog.spark, urls[target.api] + target.getAll.path, target.getAll.method, **paged(target.getAll)) if target.getAll else items.limit(0)
         # pairs have one row for each a_id, and what was asked for by key one for each key
-        plan = plan_pass(items, bases, pairs, dictionary, unique=bool(target.getOne) and not reverse)
+        plan = plan_pass(items, bases, pairs, dictionary, unique=bool(target.getOne) and not reverse, digests=skip_unchanged)
         if broken is not None:  # their changes would be laid over an empty base
             plan = plan.join(broken, "target_id", "left_anti")
         if not (target.getOne or target.getAll):  # without a way to see the target, linked items cannot be updated
             plan = plan.where(F.col("action") == CREATE)
+        if skip_unchanged:
+            told = Observation()
+            sent = latest(catalog.read("sent").where((F.col("mapping_id") == mapping.id) & (F.col("reverse") == reverse)), ["mapping_id", "reverse", "target_id"])
+            plan = with_noop(plan, sent).observe(told, F.count_if("is_noop").alias("unchanged")).where(~F.col("is_noop"))
+            plan = run.keep(plan.withColumn("payload", F.to_json("payload")), f"plan-{step}")
+            counts.unchanged += seen(told)["unchanged"]
+            digests = plan.where(F.col("action") == UPDATE).select("ordinal", "target_id", "payload_digest", "base_digest")
         run.send(requests_of(plan, urls[target.api], target.create, target.update, mapping.id, f"{run.run_id}-{step}"), step, counts)
+        if skip_unchanged:
+            run.note_sent(digests, step)
 
     first, later = repeats(items)
     apply(first, "first")
@@ -147,20 +159,20 @@ def recover(catalog: Catalog, work: str, write: Callable | None = None) -> dict[
     return report
 
 
-def run_round(catalog: Catalog, scan: Callable = rest.scan, write: Callable | None = None, work: str | None = None, fetch: Callable | None = None) -> dict[str, str | list | dict]:
+def run_round(catalog: Catalog, scan: Callable = rest.scan, write: Callable | None = None, work: str | None = None, fetch: Callable | None = None, skip_unchanged: bool = False) -> dict[str, str | list | dict]:
     """Both passes of every mapping; per mapping the rows applied by each pass, or the error that ended it; under "recovered" the runs that were finished first."""
     work = work or f"{catalog.root}/work"
     report: dict[str, str | list | dict] = {}
     if recovered := recover(catalog, work, write):
         report["recovered"] = recovered
     for mapping in catalog.mappings().collect():  # the catalog of mappings, not records
-        report[mapping.id] = _both(catalog, mapping, scan, write, work, fetch)
+        report[mapping.id] = _both(catalog, mapping, scan, write, work, fetch, skip_unchanged=skip_unchanged)
     return report
 
 
-def _both(catalog: Catalog, mapping: Row, scan: Callable, write: Callable | None, work: str, fetch: Callable | None, items: DataFrame | None = None) -> str | list:
+def _both(catalog: Catalog, mapping: Row, scan: Callable, write: Callable | None, work: str, fetch: Callable | None, items: DataFrame | None = None, skip_unchanged: bool = False) -> str | list:
     try:
-        return [run_pass(catalog, mapping, reverse, scan, write, work, fetch, None if reverse else items) for reverse in (False, True)]
+        return [run_pass(catalog, mapping, reverse, scan, write, work, fetch, None if reverse else items, skip_unchanged) for reverse in (False, True)]
     except Exception as error:
         return f"{type(error).__name__}: {str(error)[:300]}"
 
@@ -181,7 +193,7 @@ def snapshot_stream(catalog: Catalog, mapping_id: str, checkpoint: str, seconds:
         recover(catalog, work, how.get("write"))
         current = catalog.mappings().where(F.col("id") == mapping_id).first()
         items = batch.select("ordinal", record(F.col("item_json")).alias("item"))
-        report = _both(catalog, current, how.get("scan", rest.scan), how.get("write"), work, how.get("fetch"), items)
+        report = _both(catalog, current, how.get("scan", rest.scan), how.get("write"), work, how.get("fetch"), items, how.get("skip_unchanged", False))
         if on_round:
             on_round(number, report)
 

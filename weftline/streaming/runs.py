@@ -40,6 +40,7 @@ class Counts:
     read: int = 0
     created: int = 0
     updated: int = 0
+    unchanged: int = 0
     failed: int = 0
     in_doubt: int = 0
     errors: list[str] = field(default_factory=list)
@@ -118,9 +119,17 @@ class Run:
         order = F.lit(catalog.next_number("id_map") << 40) + F.pmod("ordinal", F.lit(1 << 40))
         catalog.append("id_map", new.select(F.lit(mapping_id).alias("mapping_id"), F.col(a).alias("a_id"), F.col(b).alias("b_id"), order.alias("seq")), tag=f"{self.run_id}-{step}")
 
+    def note_sent(self, digests: DataFrame, step: str) -> None:
+        """Of the updates that did not fail what was sent, and over which base."""
+        catalog = self.catalog
+        done = answers_of(self.spark, self._log(step)).where("not failed").select("ordinal")
+        order = F.lit(catalog.next_number("sent") << 40) + F.pmod("ordinal", F.lit(1 << 40))
+        rows = digests.join(done, "ordinal").select(F.lit(self.intent["mapping_id"]).alias("mapping_id"), F.lit(self.intent["reverse"]).alias("reverse"), "target_id", "payload_digest", "base_digest", order.alias("seq"))
+        catalog.append("sent", rows, tag=f"{self.run_id}-{step}")
+
     def end(self, counts: Counts, recovered: bool = False) -> None:
         """Note what was done. The folder goes, unless calls failed."""
-        row = (self.run_id, self.intent["mapping_id"], self.intent["reverse"], counts.read, counts.created, counts.updated, counts.failed, counts.in_doubt, recovered)
+        row = (self.run_id, self.intent["mapping_id"], self.intent["reverse"], counts.read, counts.created, counts.updated, counts.unchanged, counts.failed, counts.in_doubt, recovered)
         self.catalog.append("passes", self.spark.createDataFrame([row], schemas.PASSES), tag=f"{self.run_id}-{'recovered' if recovered else 'ended'}")
         if counts.failed and not recovered:
             self.catalog.put_text(f"{self.folder}/ended", json.dumps({"failed": counts.failed}))
