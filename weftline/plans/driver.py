@@ -11,6 +11,7 @@ from weftline.functions.paths import fill, identifier
 from weftline.functions.records import digest, key_of, properties_of, property_of, record
 from weftline.operators import endpoints, keyed, sync
 from weftline.operators.graph import graph, sides
+from weftline.plans import structure, values
 from weftline.plans.matching import joined
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -234,10 +235,31 @@ def noop_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.with_noop(plan, sent).select("source_id", "target_id", "action", "is_noop")
 
 
+def _shelves(spark: SparkSession, sf_dir: str, reverse: bool) -> DataFrame:
+    """Endpoints whose paths are the words of part types, in their order or back to front."""
+    words = F.split(F.lower("p_type"), " ")
+    path = F.concat_ws("/", F.reverse(words) if reverse else words)
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("GET /" if reverse else "GET /parts/"), path).alias("identifier")).distinct()
+
+
+def endpoint_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = structure.alike(_shelves(spark, sf_dir, False), _shelves(spark, sf_dir, True))
+    return found.select(F.col("a").alias("a_identifier"), F.col("b").alias("b_identifier"), F.round("likeness", 6).alias("likeness"))
+
+
+def field_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields of orders among those of a copy that lacks every seventh order and names its fields otherwise."""
+    orders = table(spark, sf_dir, "orders")
+    fields = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+    source = orders.select(item(**{c: c for c in fields}).alias("item"))
+    target = orders.where("o_orderkey % 7 <> 0").select(item(**{f"f{i}": c for i, c in enumerate(reversed(fields))}).alias("item"))
+    return values.matched_fields(source, target).select(F.col("a").alias("source_field"), F.col("b").alias("target_field"))
+
+
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     sync_plan, sync_action_counts, endpoint_identifier, verb_unpivot, path_template, json_field, typed_id_key, prompt_concat, first_match, replace_by_key, id_map_upsert,
     graph_edges, sync_eligibility, usefulness_rule, selected_endpoints, unmapped_source, append_rows, catalog_join, default_fallback, param_filter, two_pass_round,
-    lookup_base, default_row, selection_maps, fold_dictionary, noop_updates,
+    lookup_base, default_row, selection_maps, fold_dictionary, noop_updates, endpoint_likeness, field_matching,
 ]
 
 _PLAN_SQL = """
@@ -313,6 +335,39 @@ FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey + 7""",
 SELECT c_custkey::VARCHAR AS source_id, CASE WHEN c_custkey <> 0 THEN c_custkey::VARCHAR END AS target_id, CASE WHEN c_custkey <> 0 THEN 'update' ELSE 'create' END AS action,
        c_custkey <> 0 AND s_suppkey IS NOT NULL AND (c_nationkey = s_nationkey OR s_suppkey % 2 = 0) AS is_noop
 FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey""",
+    "endpoint_likeness": r"""
+WITH types AS (
+  SELECT DISTINCT string_split(lower(p_type), ' ') AS w FROM part
+), endpoints AS (
+  SELECT 'a' AS side, 'GET /parts/' || array_to_string(w, '/') AS id, list_concat(['parts'], w) AS w FROM types
+  UNION ALL SELECT 'b', 'GET /' || array_to_string(list_reverse(w), '/'), list_reverse(w) FROM types
+), words AS (
+  SELECT side, id, regexp_replace(word, '(\w\w)s$', '\1') AS word, row_number() OVER (PARTITION BY side, id, regexp_replace(word, '(\w\w)s$', '\1')) AS k
+  FROM (SELECT side, id, unnest(w) AS word FROM endpoints)
+), weights AS (
+  SELECT word, ln(((SELECT count(DISTINCT id) FROM words) + 1) / count(DISTINCT id)) AS w FROM words GROUP BY word
+), totals AS (
+  SELECT side, id, sum(w) AS total FROM words JOIN weights USING (word) GROUP BY ALL
+), shared AS (
+  SELECT a.id AS a_id, b.id AS b_id, sum(w) AS s FROM words a JOIN words b USING (word, k) JOIN weights USING (word) WHERE a.side = 'a' AND b.side = 'b' GROUP BY ALL
+)
+SELECT a_id AS a_identifier, b_id AS b_identifier, round(s / (x.total + y.total - s), 6) AS likeness
+FROM shared JOIN totals x ON x.side = 'a' AND x.id = a_id JOIN totals y ON y.side = 'b' AND y.id = b_id
+WHERE s / (x.total + y.total - s) >= 0.2""",
+    "field_matching": """
+WITH source AS (
+  SELECT DISTINCT field, v FROM (SELECT o_orderkey::VARCHAR AS o_orderkey, o_custkey::VARCHAR AS o_custkey, o_orderstatus, o_totalprice::VARCHAR AS o_totalprice, o_orderpriority FROM orders)
+  UNPIVOT (v FOR field IN (o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority))
+), target AS (
+  SELECT DISTINCT field, v FROM (SELECT o_orderpriority AS f0, o_totalprice::VARCHAR AS f1, o_orderstatus AS f2, o_custkey::VARCHAR AS f3, o_orderkey::VARCHAR AS f4 FROM orders WHERE o_orderkey % 7 <> 0)
+  UNPIVOT (v FOR field IN (f0, f1, f2, f3, f4))
+), sizes AS (
+  SELECT field, count(*) AS n FROM (FROM source UNION ALL FROM target) GROUP BY field
+), overlap AS (
+  SELECT s.field AS source_field, t.field AS target_field, count(*) AS n_both FROM source s JOIN target t ON s.v = t.v GROUP BY ALL
+)
+SELECT source_field, target_field FROM overlap JOIN sizes a ON a.field = source_field JOIN sizes b ON b.field = target_field
+QUALIFY row_number() OVER (PARTITION BY source_field ORDER BY n_both / (a.n + b.n - n_both) DESC) = 1""",
     "default_row": "SELECT c_custkey, coalesce(s_nationkey, 0) AS rating FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey",
     "selection_maps": """
 SELECT n_regionkey, count(*)::INTEGER AS n_all, 0 AS n_none, coalesce(string_agg(n_name, ',' ORDER BY n_name) FILTER (n_nationkey % 2 = 0), '') AS even_names
