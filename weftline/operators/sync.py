@@ -28,15 +28,25 @@ def keyed_items(source: DataFrame) -> DataFrame:
     return source.select("ordinal", key_of(property_of(F.col("item"), "id")).alias("source_id"), "item")
 
 
-def lookup_keys(source: DataFrame, id_map: DataFrame, unique: bool = False) -> DataFrame:
+def linked_items(items: DataFrame, id_map, unique: bool = False) -> DataFrame:
+    """items (ordinal, source_id, ...) with the target_id that their link names. id_map: (ordinal, source_id, target_id), or what links items itself."""
+    if not isinstance(id_map, DataFrame):
+        return id_map.link(items)
+    links = _links(id_map, unique).withColumnRenamed("source_id", "linked_id")
+    return items.join(links, _or_none(F.col("source_id")) == F.col("linked_id"), "left").drop("linked_id")
+
+
+def lookup_keys(source: DataFrame, id_map, unique: bool = False) -> DataFrame:
     """(target_id): the target's keys of the items that are linked, each once: what to ask a target for."""
+    if not isinstance(id_map, DataFrame):
+        return id_map.link(keyed_items(source).select("ordinal", "source_id")).where("target_id is not null").select("target_id").distinct()
     return keyed_items(source).select("source_id").join(_links(id_map, unique), "source_id").select("target_id").distinct()
 
 
-def plan_pass(source: DataFrame, target: DataFrame, id_map: DataFrame, dictionary: Column, unique: bool = False, digests: bool = False) -> DataFrame:
+def plan_pass(source: DataFrame, target: DataFrame, id_map, dictionary: Column, unique: bool = False, digests: bool = False) -> DataFrame:
     """(ordinal, source_id, target_id, has_base, action, payload) of every item of source; with ``digests`` also payload_digest and base_digest.
 
-    source, target: (ordinal, item), target also with target_id if its rows were asked for by key; id_map: (ordinal, source_id, target_id) keys of this direction.
+    source, target: (ordinal, item), target also with target_id if its rows were asked for by key; id_map: (ordinal, source_id, target_id) keys of this direction, or its layers.
     dictionary: map of source to target properties. An item whose link names no row of target is still an
     update, on an empty base. An item without an id joins nothing and is created. unique: source ids of the
     id map and keys of the target do not repeat, so that their first rows need not be sought.
@@ -44,9 +54,7 @@ def plan_pass(source: DataFrame, target: DataFrame, id_map: DataFrame, dictionar
     target_key = F.col("target_id") if "target_id" in target.columns else key_of(property_of(F.col("item"), "id"))
     rows = target.select("ordinal", target_key.alias("target_id"), F.col("item").alias("base")).where("target_id is not null")
     rows = (rows if unique else first_match(rows, ["target_id"])).select(F.col("target_id").alias("base_id"), "base")
-    links = _links(id_map, unique).withColumnRenamed("source_id", "linked_id")
-    items = keyed_items(source)
-    joined = items.join(links, _or_none(F.col("source_id")) == F.col("linked_id"), "left").join(rows, _or_none(F.col("target_id")) == F.col("base_id"), "left")
+    joined = linked_items(keyed_items(source), id_map, unique).join(rows, _or_none(F.col("target_id")) == F.col("base_id"), "left")
     mapped = overlay(F.col("base"), F.col("item"), dictionary)
     update = F.col("target_id").isNotNull()
     compared = [digest(mapped).alias("payload_digest"), digest(F.col("base")).alias("base_digest")] if digests else []

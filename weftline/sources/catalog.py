@@ -58,7 +58,13 @@ class Catalog:
         return int(pointers[-1][:10]) + 1 if pointers else 0
 
     def read(self, table: str) -> DataFrame:
-        current = self.current(table)
+        return self._of(table, self.current(table))
+
+    def read_after(self, table: str, number: int) -> DataFrame:
+        """The rows of a log's versions after that number; all of it if it was compacted since."""
+        return self._of(table, [p for p in self.current(table) if int(p[:10]) > number])
+
+    def _of(self, table: str, current: list[str]) -> DataFrame:
         if not current:
             return self.spark.createDataFrame([], TABLES[table])
         versions = f"{self.root}/{table}/versions"

@@ -28,6 +28,7 @@ from weftline.operators.keyed import latest
 from weftline.operators.sync import CREATE, UPDATE, directed, keyed_items, lookup_keys, plan_pass, with_noop
 from weftline.sources import rest
 from weftline.sources.catalog import Catalog
+from weftline.sources.id_map import IdMap
 from weftline.streaming.runs import Counts, Run, in_doubt, seen, unfinished
 
 
@@ -108,7 +109,7 @@ def run_pass(
     dictionary = F.create_map(*[F.lit(x) for pair in source.fieldMapping.items() for x in pair]) if source.fieldMapping else F.create_map().cast("map<string,string>")
 
     def apply(items: DataFrame, step: str) -> None:
-        pairs = directed(id_pairs(catalog, mapping.id), reverse)
+        pairs = IdMap(catalog, mapping.id).layers(reverse) or directed(id_pairs(catalog, mapping.id), reverse)
         broken = None
         if target.getOne:  # linked items are asked for one by one, in tasks: a list may not show all their properties
             known = lookup_keys(items, pairs)
@@ -172,6 +173,7 @@ def run_round(catalog: Catalog, scan: Callable = rest.scan, write: Callable | No
 
 def _both(catalog: Catalog, mapping: Row, scan: Callable, write: Callable | None, work: str, fetch: Callable | None, items: DataFrame | None = None, skip_unchanged: bool = False) -> str | list:
     try:
+        IdMap(catalog, mapping.id).refresh()
         return [run_pass(catalog, mapping, reverse, scan, write, work, fetch, None if reverse else items, skip_unchanged) for reverse in (False, True)]
     except Exception as error:
         return f"{type(error).__name__}: {str(error)[:300]}"
