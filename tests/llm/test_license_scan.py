@@ -108,3 +108,11 @@ def test_rows_without_an_id_are_one(spark):
     texts = [(None, "Released under the MIT License."), (None, "x y z released under the MIT license"), (3, None)]
     docs = spark.createDataFrame([document(i, t) for i, t in texts], SCHEMA)
     assert results(scan(docs)) == {(None, "MIT", 1.0, 0)}
+
+
+def test_templates_beyond_the_broadcast_bound_are_joined(spark, monkeypatch):
+    noise = noise_of(9)
+    docs = spark.createDataFrame([document(1, f"{noise(50)} {TEMPLATES['MIT-grant']} {noise(20)}"), document(2, f"{TEMPLATES['MIT']} {noise(9)}"), document(3, noise(80))], SCHEMA)
+    want = results(scan(docs))
+    monkeypatch.setattr(license_scan, "MAX_BAND_ROWS", 0)
+    assert results(scan(docs)) == want and {w[0] for w in want} == {1, 2}

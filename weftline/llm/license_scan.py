@@ -12,7 +12,7 @@ templates for which it would be under LEAST_COLLISION are refused. What meets is
 each window and template: at least CONTAINMENT of the template's distinct shingles are in the window.
 
 All of it is DataFrame functions. Shingles of templates are found where the text is read: by a hash set
-of up to IN_LIST of them, else by a broadcast hash join (of MAX_TEMPLATE_SHINGLES at most, checked). Only
+of up to IN_LIST of them, else by a broadcast hash join (of MAX_TEMPLATE_SHINGLES at most, checked). Templates' bands are broadcast up to MAX_BAND_ROWS. Only
 they are shuffled, to be gathered by window; a window gets L - 4 of them at most, and one with fewer than any
 template of its length needs is left out, which loses nothing.
 
@@ -40,6 +40,8 @@ LEAST_COLLISION = 0.99
 #: Template shingles that are searched as a set; more are joined.
 IN_LIST = 1000
 MAX_TEMPLATE_SHINGLES = 2_000_000
+#: Rows of templates' bands (BANDS of each) that are broadcast; more are joined.
+MAX_BAND_ROWS = 1_000_000
 
 #: Wording of public license notices.
 TEMPLATES = {
@@ -176,7 +178,7 @@ def scan(
     spark = docs.sparkSession
     known = template_table(spark, templates)
     # one row a window length and one a short template: small, whatever the templates
-    classes = known.groupBy("length").agg(F.min(F.size("parts")).alias("least"), F.sum(F.size("parts")).alias("n")).collect()
+    classes = known.groupBy("length").agg(F.min(F.size("parts")).alias("least"), F.sum(F.size("parts")).alias("n"), F.count(F.lit(1)).alias("templates")).collect()
     if (n_parts := sum(r.n for r in classes)) > MAX_TEMPLATE_SHINGLES:
         raise ValueError(f"templates have {n_parts} shingles; at most {MAX_TEMPLATE_SHINGLES} are allowed")
     if weak := [r.length for r in classes if collision(r.least, r.length, containment, bands) < LEAST_COLLISION]:
@@ -186,12 +188,14 @@ def scan(
     for r in brief.collect():
         sizes.setdefault(r.length, []).append(r.parts[0])
     windows = _windows(_hits(docs, known, n_parts, sizes), {r.length: containment * r.least - 1e-9 for r in classes})
-    # both sides of the template table are broadcast: bands rows a template, and each template's shingles once
+    # both sides of the template table are broadcast within a bound: bands rows a template, and each template's shingles once
+    small = bands * sum(r.templates for r in classes) <= MAX_BAND_ROWS
+    sent = F.broadcast if small else lambda df: df
     own = known.unionByName(brief).withColumn("sketch", sketch(F.col("parts"), bands))
     by_band = own.select("license", "length", F.posexplode("sketch").alias("band", "least"))
     met = windows.withColumn("part", F.array_distinct("hits.h")).withColumn("window_sketch", sketch(F.col("part"), bands))
-    met = met.select("*", F.posexplode("window_sketch").alias("band", "least")).join(F.broadcast(by_band), ["length", "band", "least"])
-    met = met.join(F.broadcast(own.select("license", "parts", "sketch")), "license")
+    met = met.select("*", F.posexplode("window_sketch").alias("band", "least")).join(sent(by_band), ["length", "band", "least"])
+    met = met.join(sent(own.select("license", "parts", "sketch")), "license")
     # of the bands in which they meet the first stands for all
     first_band = F.array_position(F.zip_with("window_sketch", "sketch", lambda a, b: a == b), True) - 1
     found = met.where(F.col("band") == first_band).withColumn("containment", F.size(F.array_intersect("parts", "part")) / F.size("parts"))
