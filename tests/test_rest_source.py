@@ -8,12 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 from service import Service, description
 
-from weftline.plans.api import add_mapping, register_spec
+from weftline.plans.api import add_mapping, propose_fields, register_spec
 from weftline.sources import http, rest
 from weftline.sources.answer_log import AnswerLog, answers_of, begun_of
 from weftline.sources.catalog import Catalog
 from weftline.sources.spec import parse_specs
-from weftline.streaming.rounds import paged, run_round, snapshot_stream
+from weftline.sources.rest import paging_of
+from weftline.streaming.rounds import run_round, snapshot_stream
 
 
 @pytest.fixture
@@ -71,7 +72,7 @@ def test_descriptions_declare_paging_and_keys(spark):
     found = {r.id: r.endpoints for r in parse_specs(texts).collect()}
     assert {k: e[0].paging and tuple(e[0].paging) for k, e in found.items()} == {"a": ("page", "page", "per_page"), "b": ("offset", "offset", "limit"), "c": ("cursor", "cursor", None), "d": None}
     assert [e[1].honoursKeys for e in found.values()].count(True) == 1 and found["a"][1].honoursKeys
-    assert paged(found["a"][0]) == {"paging": "page", "page_parameter": "page", "size_parameter": "per_page"} and paged(found["d"][0]) == {}
+    assert paging_of(found["a"][0]) == {"paging": "page", "page_parameter": "page", "size_parameter": "per_page"} and paging_of(found["d"][0]) == {}
 
 
 class Same:
@@ -197,3 +198,24 @@ def test_rounds_as_a_stream_of_snapshots(spark, tmp_path, service):
     query.stop()
     assert [n for n, _ in reports[:2]] == [0, 1] and reports[0][1] == reports[1][1] == [1, 1]
     assert [r["name"] for r in service.data["issues"]] == ["A"]
+
+
+def test_fields_are_proposed_from_what_the_services_list(spark, tmp_path, service):
+    service.data = {"tickets": [{"id": f"t{i}", "name": f"title {i}", "done": i % 2 == 0} for i in range(40)], "issues": [{"id": f"i{i}", "headline": f"title {i}", "closed": i % 2 == 0} for i in range(5, 40)]}
+    service.style = {"tickets": "page"}
+    catalog, _ = mapped(spark, tmp_path, service, ("page",), ())
+    a, b = (catalog.apis().where(F.col("name") == n).first().id for n in ("tickets", "issues"))
+    there, back = propose_fields(catalog, {a: "GET /tickets", b: "GET /issues"})
+    assert there["name"] == "headline" and there["done"] == "closed" and back["headline"] == "name"
+    with pytest.raises(KeyError, match="GET /none"):
+        propose_fields(catalog, {a: "GET /tickets", b: "GET /none"})
+    ops = lambda kind: {"getAll": f"GET /{kind}", "create": f"POST /{kind}", "update": f"PUT /{kind}/{{id}}"}
+    mapping = add_mapping(catalog, "by values", {a: ops("tickets"), b: ops("issues")}, fields=[there, back])
+    assert catalog.mappings().where(F.col("id") == mapping).first().parts[0].fieldMapping["name"] == "headline"
+
+
+def test_ordinals_that_repeat_are_refused(spark, tmp_path, service):
+    service.data = {"tickets": [{"id": "t1"}, {"id": "t2"}], "issues": []}
+    catalog, mapping = mapped(spark, tmp_path, service, (), ())
+    same = lambda spark, url, method="GET": rest.scan(spark, url, method).withColumn("ordinal", F.lit(0).cast("long"))
+    assert "ordinal 0" in run_round(catalog, scan=same)[mapping] and service.data["issues"] == []

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -14,7 +15,10 @@ from weftline.operators.endpoints import OPERATIONS, resolve, selected
 from weftline.operators.graph import graph as graph_of
 from weftline.operators.sync import useful
 from weftline.plans.matching import Matcher, NameMatcher
+from weftline.plans.values import dictionary_of
+from weftline.sources import rest
 from weftline.sources.catalog import Catalog
+from weftline.sources.rest import paging_of
 from weftline.sources.spec import parse_specs
 
 
@@ -64,8 +68,23 @@ def encoded(operation: str, endpoint: Row) -> dict:
     return {k: v for k, v in found.items() if v is not None}
 
 
-def add_mapping(catalog: Catalog, name: str, sides: dict[str, dict[str, str]], matcher: Matcher | None = None) -> str:
-    """sides: two api ids with their operations' identifiers. Unknown identifiers become none."""
+def propose_fields(catalog: Catalog, sides: dict[str, str], scan: Callable = rest.scan) -> list[dict[str, str]]:
+    """Field dictionaries of both directions, from the items that two services list now.
+
+    sides: two api ids with the identifier of the endpoint that lists their items. Fields are told by their values.
+    """
+    wanted = catalog.spark.createDataFrame([(i, api, "getAll", identifier) for i, (api, identifier) in enumerate(sides.items())], "side int, api_id string, operation string, identifier string")
+    found = resolve(wanted, catalog.endpoints().where(F.col("api_id").isin(*sides))).join(catalog.apis().select(F.col("id").alias("api_id"), "baseUrl"), "api_id")
+    listed = {r.side: (r.baseUrl, r.endpoint) for r in found.collect()}  # two rows
+    if unknown := [identifier for i, identifier in enumerate(sides.values()) if i not in listed or listed[i][1] is None]:
+        raise KeyError(f"no endpoint {unknown[0]}")
+    items = [scan(catalog.spark, base + e.path, e.method, **paging_of(e)) for base, e in (listed[0], listed[1])]
+    there = dictionary_of(*items)
+    return [there, {b: a for a, b in there.items()}]
+
+
+def add_mapping(catalog: Catalog, name: str, sides: dict[str, dict[str, str]], matcher: Matcher | None = None, fields: list[dict[str, str]] | None = None) -> str:
+    """sides: two api ids with their operations' identifiers. Unknown identifiers become none. fields: both dictionaries, if they are known."""
     matcher = matcher or NameMatcher()
     spark = catalog.spark
     slots = [(i, api, op, ops.get(op) or "") for i, (api, ops) in enumerate(sides.items()) for op in OPERATIONS]
@@ -73,7 +92,7 @@ def add_mapping(catalog: Catalog, name: str, sides: dict[str, dict[str, str]], m
     found = resolve(wanted, catalog.endpoints().where(F.col("api_id").isin(*sides))).select("side", "operation", "endpoint")
     found = {(r.side, r.operation): r.endpoint for r in found.collect()}  # ten endpoints at most
     encode = lambda i: [encoded(op, found[i, op]) for op in OPERATIONS if found[i, op]]
-    fields = [matcher.fields(encode(i), encode(1 - i)) for i in (0, 1)]
+    fields = fields or [matcher.fields(encode(i), encode(1 - i)) for i in (0, 1)]
     parts = [(api, *(found[i, op] for op in OPERATIONS), fields[i]) for i, api in enumerate(sides)]
     mapping_id = str(uuid.uuid4())
     catalog.append("mappings", spark.createDataFrame([(mapping_id, name, parts)], schemas.MAPPINGS))

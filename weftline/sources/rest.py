@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs as arrow_fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource,
@@ -258,6 +258,12 @@ def point_reads(spark: SparkSession, url: str, ids: list[str], method: str = "GE
     return rows.where(F.col("id").isin(*ids)).select("id", record(F.col("item_json")).alias("item"), "error")
 
 
+def paging_of(endpoint: Row) -> dict[str, str]:
+    """An endpoint's paging as options of a scan; none if its description declares none."""
+    found = endpoint.paging
+    return {"paging": found.kind, "page_parameter": found.page, "size_parameter": found.size} if found else {}
+
+
 def scan(spark: SparkSession, url: str, method: str = "GET", **paging) -> DataFrame:
     """(ordinal, item) of a collection; placeholders in the url are sent as they are."""
     from weftline.functions.records import record
@@ -382,4 +388,4 @@ def write(requests: DataFrame, folder: str, chunk: int = CHUNK) -> DataFrame:
     return answers_of(spark, folder)
 
 
-__all__ = ["ANSWER", "RestCollection", "RestItems", "RestRequests", "fetch", "point_reads", "scan", "unfilled", "write"]
+__all__ = ["ANSWER", "RestCollection", "RestItems", "RestRequests", "fetch", "paging_of", "point_reads", "scan", "unfilled", "write"]

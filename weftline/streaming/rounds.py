@@ -29,6 +29,7 @@ from weftline.operators.sync import CREATE, UPDATE, directed, keyed_items, looku
 from weftline.sources import rest
 from weftline.sources.catalog import Catalog
 from weftline.sources.id_map import IdMap
+from weftline.sources.rest import paging_of
 from weftline.streaming.runs import Counts, Run, in_doubt, seen, unfinished
 
 
@@ -78,12 +79,6 @@ def repeats(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     return first, met.where("ordinal = last").select("ordinal", "item")
 
 
-def paged(endpoint: Row) -> dict[str, str]:
-    """An endpoint's paging as options of a scan; none if its description declares none."""
-    found = endpoint.paging
-    return {"paging": found.kind, "page_parameter": found.page, "size_parameter": found.size} if found else {}
-
-
 def run_pass(
     catalog: Catalog, mapping: Row, reverse: bool, scan: Callable, write: Callable | None, work: str, fetch: Callable | None = None, items: DataFrame | None = None, skip_unchanged: bool = False
 ) -> int | None:
@@ -99,9 +94,11 @@ def run_pass(
     counts = Counts()
 
     read = Observation()
-    items = scan(catalog.spark, urls[source.api] + source.getAll.path, source.getAll.method, **paged(source.getAll)) if items is None else items
+    items = scan(catalog.spark, urls[source.api] + source.getAll.path, source.getAll.method, **paging_of(source.getAll)) if items is None else items
     items = run.keep(items.observe(read, F.count(F.lit(1)).alias("read")), "source")
     counts.read = seen(read)["read"]
+    if scan is not rest.scan and (repeated := items.groupBy("ordinal").count().where("count > 1").first()):
+        raise ValueError(f"the scan gives ordinal {repeated.ordinal} to several items; answers could not be told apart")
     if catalog.current("in_doubt"):  # items whose create may have been done wait until somebody knows
         doubts = in_doubt(catalog, mapping.id).where(F.col("reverse") == reverse).select("source_id")
         known = keyed_items(items).join(doubts, "source_id", "left_anti")
@@ -123,7 +120,7 @@ def run_pass(
                 counts.errors.append(seen(told)["first"])
             bases = bases.where("error is null").drop("error")
         else:
-            bases = scan(catalog.spark, urls[target.api] + target.getAll.path, target.getAll.method, **paged(target.getAll)) if target.getAll else items.limit(0)
+            bases = scan(catalog.spark, urls[target.api] + target.getAll.path, target.getAll.method, **paging_of(target.getAll)) if target.getAll else items.limit(0)
         # pairs have one row for each a_id, and what was asked for by key one for each key
         plan = plan_pass(items, bases, pairs, dictionary, unique=bool(target.getOne) and not reverse, digests=skip_unchanged)
         if broken is not None:  # their changes would be laid over an empty base
@@ -156,6 +153,8 @@ def recover(catalog: Catalog, work: str, write: Callable | None = None) -> dict[
     report = {}
     for run in unfinished(catalog, work, write):
         found = run.finish()
+        if found is None:
+            continue
         report[run.run_id] = {"mapping": run.intent["mapping_id"], "applied": found.applied, "failed": found.failed, "in_doubt": found.in_doubt}
     return report
 
@@ -200,7 +199,7 @@ def snapshot_stream(catalog: Catalog, mapping_id: str, checkpoint: str, seconds:
             on_round(number, report)
 
     catalog.spark.dataSource.register(rest.RestCollection)
-    options = {"url": base + source.getAll.path, "method": source.getAll.method, "snapshots": f"{checkpoint}/snapshots", **paged(source.getAll)}
+    options = {"url": base + source.getAll.path, "method": source.getAll.method, "snapshots": f"{checkpoint}/snapshots", **paging_of(source.getAll)}
     snapshots = catalog.spark.readStream.format("rest_collection").options(**{k: v for k, v in options.items() if v is not None}).load()
     return snapshots.writeStream.foreachBatch(each).option("checkpointLocation", f"{checkpoint}/query").trigger(processingTime=f"{seconds} seconds").start()
 

@@ -136,8 +136,11 @@ class Run:
         else:
             self.catalog.remove(self.folder)
 
-    def finish(self) -> Counts:
-        """What a cut-off run left undone."""
+    def finish(self) -> Counts | None:
+        """Does what a cut-off run left undone; None if nothing of it had been sent."""
+        if not any(self.catalog.exists(f"{self.folder}/requests-{step}/_SUCCESS") for step in STEPS):
+            self.catalog.remove(self.folder)
+            return None
         counts, honours = Counts(), self.intent.get("honours_keys", False)
         for step in STEPS:
             if not self.catalog.exists(f"{self.folder}/requests-{step}/_SUCCESS"):
