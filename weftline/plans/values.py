@@ -1,7 +1,8 @@
 """Which fields of two collections hold the same, told by their values and not by their names.
 
 A field is profiled where its values are read: how many there are, of which kinds, how long, and a MinHash of the set
-of them, all of it one aggregate of fixed size per field, combined before it is shuffled. Two fields are alike as their
+of them. Each value is hashed once and falls into one of BINS bins, of which the least hash is kept; so a field is BINS
+rows of fixed size, combined before they are shuffled, then one. Two fields are alike as their
 value sets overlap, as far as kinds and lengths agree; fields without a common value, as counters or texts
 that each side writes its own way, are compared by kind, length and how many values are distinct, which counts less. What is
 left is one-to-one assignment.
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 from weftline.functions.records import key_of
 from weftline.plans.assignment import one_to_one
 
-#: Seeds of the MinHash; an overlap is told to about 1 / sqrt(HASHES).
-HASHES = 64
+#: Bins of the MinHash; an overlap is told to about 1 / sqrt(BINS).
+BINS = 64
 #: The score from which on fields are assigned, and what fields without a common value can reach at most.
 ASSIGNED, BY_SHAPE = 0.2, 0.3
 KINDS = ("BOOLEAN", "STRING", "NUMBER", "OTHER")
@@ -30,14 +31,17 @@ def profiled(items: DataFrame) -> DataFrame:
     values = items.select(F.explode("item").alias("field", "value")).where(~F.is_variant_null("value"))
     kind = F.schema_of_variant("value")
     kind = F.when(kind == "BOOLEAN", "BOOLEAN").when(kind == "STRING", "STRING").when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL|INT|FLOAT|SMALLINT|TINYINT)"), "NUMBER").otherwise("OTHER")
-    told = values.select("field", kind.alias("kind"), key_of(F.col("value")).alias("key"))
-    n = F.count(F.lit(1))
-    return told.groupBy("field").agg(
+    told = values.select("field", kind.alias("kind"), key_of(F.col("value")).alias("key")).select("field", "kind", F.length("key").alias("length"), F.xxhash64("key").alias("h"))
+    bins = told.groupBy("field", F.pmod("h", F.lit(BINS)).cast("int").alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h", 0.02).alias("n_distinct"), F.sum("length").alias("length"), F.min("h").alias("least"), *[F.count_if(F.col("kind") == k).alias(k.lower()) for k in KINDS]
+    )
+    n = F.sum("n")
+    return bins.groupBy("field").agg(
         n.alias("n"),
-        F.approx_count_distinct("key", 0.02).alias("n_distinct"),
-        F.avg(F.length("key")).alias("mean_length"),
-        *[(F.count_if(F.col("kind") == k) / n).alias(k.lower()) for k in KINDS],
-        F.array(*[F.min(F.xxhash64(F.lit(seed), "key")) for seed in range(HASHES)]).alias("sketch"),
+        F.sum("n_distinct").alias("n_distinct"),
+        (F.sum("length") / n).alias("mean_length"),
+        *[(F.sum(k.lower()) / n).alias(k.lower()) for k in KINDS],
+        F.map_from_entries(F.collect_list(F.struct("bin", "least"))).alias("sketch"),
     )
 
 
@@ -45,7 +49,8 @@ def compared(a: DataFrame, b: DataFrame) -> DataFrame:
     """(a, b, overlap, score) of each two fields of two profiles: as many rows as one has fields times the other's."""
     side = lambda df, s: df.select(F.lit(0).alias("one"), F.col("field").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in df.columns if c != "field"])
     pairs = side(a, "a").join(side(b, "b"), "one")  # fields of two services, tens of each
-    overlap = F.aggregate(F.zip_with("a_sketch", "b_sketch", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) / HASHES
+    same = F.size(F.map_filter("a_sketch", lambda k, least: least == F.try_element_at("b_sketch", k)))
+    overlap = same / F.size(F.array_union(F.map_keys("a_sketch"), F.map_keys("b_sketch")))
     ratio = lambda c: F.least(F.col(f"a_{c}"), F.col(f"b_{c}")) / F.greatest(F.col(f"a_{c}"), F.col(f"b_{c}"), F.lit(1e-9))
     kinds = sum((F.least(F.col(f"a_{k.lower()}"), F.col(f"b_{k.lower()}")) for k in KINDS), F.lit(0.0))
     distinct = lambda s: F.col(f"{s}_n_distinct") / F.col(f"{s}_n")
