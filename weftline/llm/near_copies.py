@@ -23,10 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.bloom import with_likely
+from weftline.llm.components import connected_components
 from weftline.llm.scratch import Scratch
 from weftline.llm.simhash import Components, Forest, keep_one_of, keyed, near
 
@@ -40,8 +41,13 @@ RADIUS = 26
 SEED = 42
 TILE = 512
 TILE_BYTES = 4 << 20
+#: Texts of a component that are compared for it before all its texts are.
+REPRESENTATIVES = 4
 #: Shingles that are permuted at once.
 CHUNK = 8192
+#: What names a group of candidates, and a unit of comparison within it.
+GROUP = ["band", "bucket"]
+UNIT = [*GROUP, "s", "t"]
 _RNG = np.random.default_rng(7)
 _FACTORS = _RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64)
@@ -83,14 +89,21 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.int64()))], ["doc_id", "text_hash", "bytes", "buckets"])
 
 
-def compare(nodes: list[int], sets: list[np.ndarray], sides: list[int], crossed: bool) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the pairs that are similar enough. crossed: only the two sides are compared."""
+def compare(nodes: list[int], sets: list[np.ndarray], sides: list[int], crossed: bool, roots: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the pairs that are similar enough. crossed: only the two sides are compared. roots: nodes
+    with the same root are linked already; the links are between one node of each root."""
     sizes = np.array([len(s) for s in sets])
     fps = np.array([fingerprint_of(s) for s in sets], np.uint64)
+    forest = Forest(len(sets))
+    if roots is not None:
+        _, at, which = np.unique(np.array(roots), return_index=True, return_inverse=True)
+        forest.up = at[which]
+    known = forest.up.copy()
     left, right = near(fps, fps, RADIUS)
     side = np.array(sides)
     # sizes alone bound the similarity
     worth = (left < right) & (LEAST[1] * np.minimum(sizes[left], sizes[right]) >= LEAST[0] * np.maximum(sizes[left], sizes[right]))
+    worth &= known[left] != known[right]
     if crossed:
         worth &= side[left] != side[right]
     left, right = left[worth], right[worth]
@@ -98,7 +111,6 @@ def compare(nodes: list[int], sets: list[np.ndarray], sides: list[int], crossed:
     left, right = left[order], right[order]
     _, flat = np.unique(np.concatenate(sets), return_inverse=True)
     cuts = np.concatenate([[0], np.cumsum(sizes)])
-    forest = Forest(len(sets))
     mark = np.zeros(int(flat.max()) + 1, bool)
     first, at = np.unique(left, return_index=True)
     for i, rest in zip(first.tolist(), np.split(right, at[1:]) if len(at) else [], strict=True):
@@ -110,29 +122,77 @@ def compare(nodes: list[int], sets: list[np.ndarray], sides: list[int], crossed:
         mark[own] = False
         hit = rest[LEAST[1] * both >= LEAST[0] * (sizes[rest] + sizes[i] - both)]
         forest.add(np.full(len(hit), i), hit)
-    return [(nodes[k], nodes[up]) for k, up in enumerate(forest.up.tolist()) if up != k]
+    return [(nodes[k], nodes[up]) for k, up in enumerate(forest.up.tolist()) if up != k and known[k] == k]
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows (band, bucket, s, t, side, node, text), sorted by the first four."""
-    key, nodes, sides, sets = None, [], [], []
+    """Over rows (band, bucket, s, t, side, node, root, text), sorted by the first four."""
+    key, nodes, sides, roots, sets = None, [], [], [], []
 
     def closed() -> Iterator[pa.RecordBatch]:
-        if len(nodes) > 1 and (found := compare(nodes, sets, sides, key[2] != key[3])):
+        if len(nodes) > 1 and (found := compare(nodes, sets, sides, key[2] != key[3], roots)):
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["u", "v"])
 
     for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns[:6]]
-        for *own, side, node, text in zip(*columns, batch.column(6), strict=True):
+        columns = [c.to_pylist() for c in batch.columns[:7]]
+        for *own, side, node, root, text in zip(*columns, batch.column(7), strict=True):
             if own != key:
                 yield from closed()
-                key, nodes, sides, sets = own, [], [], []
+                key, nodes, sides, roots, sets = own, [], [], [], []
             nodes.append(node)
             sides.append(side)
+            roots.append(root)
             sets.append(shingle_set(text.as_py()))
     yield from closed()
 
 
+def _parts(tile: int, tile_bytes: int) -> Column:
+    """Sub-groups of n texts of size bytes."""
+    return F.least(F.greatest(F.ceil(F.col("n") / tile), F.ceil(F.col("size") / tile_bytes)), F.col("n")).cast("int")
+
+
+def _part(*dealt_by: str, of: str) -> Column:
+    return F.pmod(F.xxhash64(*dealt_by), F.col(of)).cast("int")
+
+
+def _open_groups(large: DataFrame, stars: DataFrame) -> DataFrame:
+    """Members of oversize groups with their roots, of groups in which more than one root is left."""
+    rooted = large.join(stars.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = rooted.groupBy(*GROUP).agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select(*GROUP)
+    return rooted.join(several, GROUP, "left_semi")
+
+
+def _representatives(large: DataFrame, tile: int, tile_bytes: int) -> DataFrame:
+    """Units of a few members of each component of a group. They bring components together early; _across leaves out none."""
+    picked = [F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("rank"), "node", "bytes")) for k in range(REPRESENTATIVES)]
+    chosen = large.groupBy(*GROUP, "root").agg(F.array(*picked).alias("picked"))
+    # one pick may be the least under several hashes
+    chosen = chosen.select(*GROUP, "root", F.explode(F.array_distinct(F.transform("picked", lambda p: F.struct(p.node.alias("node"), p.bytes.alias("bytes"))))).alias("p"))
+    chosen = chosen.select(*GROUP, "root", "p.node", "p.bytes")
+    cuts = chosen.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("size")).select(*GROUP, _parts(tile, tile_bytes).alias("cuts"))
+    dealt = chosen.join(cuts, GROUP).withColumn("s", _part("node", of="cuts"))
+    return dealt.select(*GROUP, "s", F.col("s").alias("t"), F.col("s").alias("side"), "node", "root")
+
+
+def _across(large: DataFrame, tile: int, tile_bytes: int) -> DataFrame:
+    """Units of all pairs of a group's sub-groups that are not of one component."""
+    sums = [F.sum("n").alias("n"), F.sum("size").alias("size")]
+    counted = large.groupBy(*GROUP, "root").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("size"))
+    # own: the root of a component that has sub-groups of its own; null: small components, which share sub-groups
+    counted = counted.withColumn("own", F.when(_parts(tile, tile_bytes) > 1, F.col("root")))
+    spans = counted.groupBy(*GROUP, "own").agg(*sums).select(*GROUP, "own", _parts(tile, tile_bytes).alias("parts"))
+    before = Window.partitionBy(*GROUP).orderBy("own").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("at", F.coalesce(F.sum("parts").over(before), F.lit(0)).cast("int"))
+    other = spans.select(*GROUP, F.col("at").alias("other_at"), F.col("parts").alias("other_parts"))
+    pairs = spans.join(other, GROUP).where("at <> other_at or own is null").withColumnRenamed("own", "span")
+    pairs = pairs.withColumnsRenamed({"band": "pair_band", "bucket": "pair_bucket"})
+    rooted = large.join(counted.where("own is not null").select(*GROUP, "root", "own"), [*GROUP, "root"], "left")
+    dealt = rooted.join(pairs, (F.col("band") == F.col("pair_band")) & (F.col("bucket") == F.col("pair_bucket")) & F.col("own").eqNullSafe(F.col("span")))
+    dealt = dealt.withColumn("side", F.col("at") + _part("node", of="parts"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence("other_at", F.col("other_at") + F.col("other_parts") - 1)))
+    return dealt.select(*GROUP, F.least("side", "other").alias("s"), F.greatest("side", "other").alias("t"), "side", "node", "root")
+
+
 class NearCopies(Components):
     """Of a table: ``fps`` (doc_id, text_hash, fp), fp being the text's hash, and ``classes`` (fp, component_id)."""
 
@@ -153,19 +213,30 @@ class NearCopies(Components):
         marks = [F.sum(spread(1).cast("decimal(20,0)")).alias("added"), F.expr("bit_xor(xxhash64(2, node))").alias("xored")]
         groups = met.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("size"), *marks).where("n > 1")
         groups = groups.groupBy("n", "size", "added", "xored").agg(F.min(F.struct("band", "bucket")).alias("at"))
-        cuts = F.greatest(F.ceil(F.col("n") / tile), F.ceil(F.col("size") / tile_bytes)).cast("int")
-        groups = self.scratch.put(groups.select("at.band", "at.bucket", F.least(cuts, F.col("n").cast("int")).alias("cuts")), "groups")
-        members = self.scratch.put(met.join(groups, ["band", "bucket"]).select("band", "bucket", "cuts", "node"), "members")
-        wanted = members.select(F.col("node").alias("text_hash")).distinct()
-        wanted = self.scratch.put(wanted, "wanted")
+        groups = groups.select("at.band", "at.bucket", _parts(tile, tile_bytes).alias("cuts"))
+        groups = self.scratch.put(groups, "groups")
+        members = self.scratch.put(met.join(groups, GROUP).select(*GROUP, "cuts", "node", "bytes"), "members")
+        dealt = members.select(*GROUP, _part("node", "band", of="cuts").alias("s"), "node", F.col("node").alias("root"))
+        found = self._compared(dealt.withColumn("t", F.col("s")).withColumn("side", F.col("s")), texts, "within")
+        large = members.where("cuts > 1").drop("cuts")
+        for name, units in (("few", _representatives), ("all", _across)):
+            if large.isEmpty():
+                break
+            # stars, so that what is known costs the next components one round
+            found = connected_components(found, self.scratch, f"stars-{name}").select(F.col("node").alias("u"), F.col("root").alias("v"))
+            found = self.scratch.put(found, f"known-{name}")
+            large = self.scratch.put(_open_groups(large.drop("root"), found), f"open-{name}")
+            found = found.unionByName(self._compared(self.scratch.put(units(large, tile, tile_bytes), f"units-{name}"), texts, name))
+        return found
+
+    def _compared(self, units: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+        """Links (u, v) of units (band, bucket, s, t, side, node, root)."""
+        wanted = self.scratch.put(units.select(F.col("node").alias("text_hash")).distinct(), f"wanted-{name}")
         likely = with_likely(texts.select("text_hash", "text"), wanted, wanted.count(), ["text_hash"]).where("likely").drop("likely")
         likely = likely.join(wanted, "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
-        dealt = members.withColumn("side", F.pmod(F.xxhash64("node", "band"), F.col("cuts")).cast("int"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-        dealt = dealt.select("band", "bucket", F.least("side", "other").alias("s"), F.greatest("side", "other").alias("t"), "side", "node")
-        dealt = dealt.join(likely.withColumnRenamed("text_hash", "node"), "node")
-        dealt = dealt.repartition("band", "bucket", "s", "t").sortWithinPartitions("band", "bucket", "s", "t")
-        return dealt.select("band", "bucket", "s", "t", "side", "node", "text").mapInArrow(_verified, "u long, v long")
+        moved = units.join(likely.withColumnRenamed("text_hash", "node"), "node")
+        moved = moved.repartition(*UNIT).sortWithinPartitions(*UNIT).select(*UNIT, "side", "node", "root", "text")
+        return self.scratch.put(moved.mapInArrow(_verified, "u long, v long"), f"links-{name}")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
