@@ -42,7 +42,7 @@ from weftline.llm.subword import SubwordSoftmax
 from weftline.llm.text import row_of, whole
 from weftline.llm.tokenizing import SharedTokenizer, word_bpe_path
 from weftline.llm.toxicity import training_rows
-from weftline.llm.wordtable import SLICE, WordTable, give_back
+from weftline.llm.wordtable import WordTable, give_back
 
 MAX_ROWS = 4000
 #: Posteriors are multiples of 1 / GRID.
@@ -70,13 +70,9 @@ def _scored(docs: DataFrame, shared, tokens: SharedTokenizer, classes: int, rows
         # one look-up of a word gives both its logits and its tokens
         together = WordTable(lambda words: np.concatenate([model.word_logits(words), tokenizer.word_counts(words)]), classes + 1)
         for batch in batches:
-            parts = []
-            for at in range(0, len(batch), SLICE):  # few texts at a time are Python objects
-                texts = batch.slice(at, SLICE).to_pylist()
-                sums, n_words = together.sums(texts)
-                parts.append((sums[:, -1] if tokenizer.by_word else np.array([tokenizer.count(t) for t in texts]), model.of_sums(sums[:, :-1], n_words)))
-            n_tokens, p = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0), np.zeros((0, classes)))
-            p = gridded(p) if len(p) else p
+            sums, n_words = together.sums(batch)
+            n_tokens = sums[:, -1] if tokenizer.by_word else np.array([tokenizer.count(text.as_py()) for text in batch])
+            p = gridded(model.of_sums(sums[:, :-1], n_words))
             del batch
             give_back()
             offsets = pa.array(np.arange(0, p.size + 1, classes), pa.int32())

@@ -8,7 +8,7 @@ Misspelt words that training never met share most n-grams, and so most of their
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -30,30 +30,53 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def buckets_of(words: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the character n-grams of each word, ends marked, and of the word itself: (flat, how many per word)."""
-    marked = [f"<{w.decode('utf-8', 'replace').lower()}>" for w in words]
-    size = np.fromiter(map(len, marked), np.int64, len(marked))
-    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    owner = np.repeat(np.arange(len(marked)), size)
-    start = np.cumsum(size) - size
+def _codes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the words, lowered and with ends marked, one after the other, and how many each word has."""
+    # decoded and lowered as one text of a word a line, no word having a line end; each line end then gives two marks
+    text = b"\n".join(words).decode("utf-8", "replace").lower()
+    codes = np.frombuffer(f"<{text.replace('\n', '><')}>".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    line_ends = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4") == 10)
+    starts = np.concatenate([[0], line_ends + 1]) + np.arange(len(words))
+    return codes, np.diff(starts, append=len(codes))
+
+
+def _hashes(codes: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(0, of each word), then for n of GRAMS (n, of the n code points from each place on), whether in one word or not."""
     power = np.cumprod(np.full(int(size.max()), FACTOR, np.uint64))
-    whole = np.add.reduceat(codes * power[np.arange(len(codes)) - start[owner]], start)
-    owners, hashes = [np.arange(len(marked))], [whole]
+    start = np.cumsum(size) - size
+    yield 0, np.add.reduceat(codes * power[np.arange(len(codes)) - np.repeat(start, size)], start)
+    h, done = codes, 1
     for n in GRAMS:
-        count = len(codes) - n + 1
-        if count <= 0:
-            continue
-        h = np.full(count, n, np.uint64)
-        for k in range(n):
-            h = h * FACTOR + codes[k : k + count]
-        inside = owner[:count] == owner[n - 1 :]
-        owners.append(owner[:count][inside])
-        hashes.append(h[inside])
-    own, h = np.concatenate(owners), np.concatenate(hashes)
+        if n > len(codes):
+            return
+        for k in range(done, n):
+            h = h[: len(codes) - k] * FACTOR + codes[k:]
+        done = n
+        yield n, h + np.uint64(n * int(FACTOR) ** n % (1 << 64))
+
+
+def _placed(h: np.ndarray, buckets: int) -> np.ndarray:
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    flat = ((h >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
-    return flat[np.argsort(own, kind="stable")], np.bincount(own, minlength=len(marked))
+    h >>= np.uint64(33)
+    return (h % np.uint64(buckets) if buckets & (buckets - 1) else h & np.uint64(buckets - 1)).view(np.int64)
+
+
+def _within(size: np.ndarray) -> np.ndarray:
+    """Of each code point, how many its word has from it on."""
+    return np.repeat(np.cumsum(size), size) - np.arange(size.sum())
+
+
+def buckets_of(words: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the character n-grams of each word, ends marked, and of the word itself: (flat, how many per word)."""
+    codes, size = _codes(words)
+    within, owner = _within(size), np.repeat(np.arange(len(words)), size)
+    owners, hashes = [], []
+    for n, h in _hashes(codes, size):
+        inside = within[: len(h)] >= n
+        owners.append(owner[: len(h)][inside] if n else np.arange(len(words)))
+        hashes.append(h[inside] if n else h)
+    own, h = np.concatenate(owners), np.concatenate(hashes)
+    return _placed(h, buckets).astype(np.int32)[np.argsort(own, kind="stable")], np.bincount(own, minlength=len(words))
 
 
 class SubwordSoftmax:
@@ -119,13 +142,27 @@ class SubwordSoftmax:
 
     def word_logits(self, words: list[bytes]) -> np.ndarray:
         """[classes, words]: what each word, A-Z lowered, adds to a document's logits before they are averaged and scaled."""
-        flat, n = buckets_of([w.lower() for w in words], self.buckets)
-        return np.add.reduceat(self._bucket_logits()[flat], np.cumsum(n) - n, axis=0).T / n
+        codes, size = _codes(words)
+        within, logits = _within(size), self._bucket_logits()
+        own, sums = None, np.zeros((self.classes, len(codes)), np.float32)
+        for n, h in _hashes(codes, size):
+            bucket = _placed(h, self.buckets)
+            if n:  # added up at the place where each begins; what is not in one word goes to the last bucket, of zeros
+                bucket[within[: len(h)] < n] = self.buckets
+            found = [of_class.take(bucket) for of_class in logits]
+            if not n:
+                own = np.stack(found)
+                continue
+            for into, x in zip(sums, found, strict=True):
+                into[: len(h)] += x
+        grams = 1 + sum(np.maximum(size - (n - 1), 0) for n in GRAMS)
+        return (own + np.add.reduceat(sums, np.cumsum(size) - size, axis=1)) / grams
 
     def _bucket_logits(self) -> np.ndarray:
-        """table @ weights, made once after training."""
+        """[classes, buckets + 1]: table @ weights, made once after training, and zeros."""
         if getattr(self, "_made", None) is None:
-            self._made = self.table @ self.weights
+            self._made = np.zeros((self.classes, self.buckets + 1), np.float32)
+            self._made[:, :-1] = (self.table @ self.weights).T
         return self._made
 
     def of_sums(self, sums: np.ndarray, n_words: np.ndarray) -> np.ndarray:

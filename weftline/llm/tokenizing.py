@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import re
+from codecs import charmap_decode
 from collections.abc import Callable
 from pathlib import Path
 
@@ -20,13 +21,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
-from weftline.llm.wordtable import WordTable, give_back
+from weftline.llm.wordtable import WordTable, bytes_of, give_back
 
 WORD_BPE = "word_bpe_49k.json"
 #: Words that a task remembers, of some 130 bytes each; beyond that it starts afresh, which costs time only.
 REMEMBERED = 100_000
 MARKS = frozenset(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
+#: The same letters in UTF-8, and how to lower them there: A-Z and, after their first byte, the second bytes of \u00c0 to \u00de.
+LETTERS = re.compile(rb"(?:[A-Za-z]+|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+LOWERED = bytes(b + 32 if 0x41 <= b <= 0x5A or 0x80 <= b <= 0x9E else b for b in range(256))
+#: Stems whose numbers of ids a task remembers, of some 150 bytes each.
+COUNTED = 200_000
 
 #: What a definition must say for the words of a text to be encoded apart.
 BY_WORD = {
@@ -58,14 +64,6 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-def bytes_of(strings: pa.Array) -> list[bytes]:
-    """The strings, without nulls, as bytes."""
-    _, ends, data = strings.buffers()
-    at = np.frombuffer(ends, np.int32)[strings.offset : strings.offset + len(strings) + 1].tolist() if len(strings) else [0]
-    raw = data.to_pybytes() if data else b""
-    return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
-
-
 def word_bpe_path() -> str:
     import public_tokenizers
 
@@ -101,6 +99,8 @@ class WordTokenizer:
         self.letters = byte_letters()
         self.ids = _Words(self.encode_word, remembered)
         self.parts: dict[str, bytes] = {}
+        self.counts: dict[bytes, int] = {}
+        self.spelling = "".join(self.letters[b] for b in range(256))
 
     def _packed(self, ids: list[int]) -> bytes:
         return b"".join([self.packed[i] for i in ids])
@@ -153,8 +153,31 @@ class WordTokenizer:
         return out
 
     def word_counts(self, words: list[bytes]) -> np.ndarray:
-        """[1, words]: how many ids each word has."""
-        return np.fromiter((len(self.encode_word(w)) for w in words), np.int64, len(words))[None, :] / self.width
+        """[1, words]: how many ids each word has. They are counted, not made; stems and marks after them are remembered."""
+        known, merges, marks = self.counts, self.merges.tokenize, bytes(MARKS)
+        if len(known) + 2 * len(words) > COUNTED:
+            known.clear()
+        out = []
+        for word in words:
+            # the forms of PLAIN, told without decoding
+            stem = word.rstrip(marks)
+            if stem.isalpha():
+                lower = stem.lower()
+            elif LETTERS.fullmatch(stem):
+                lower = stem.translate(LOWERED)
+            else:
+                out.append(len(self.library.encode(word.decode("utf-8", "replace"), add_special_tokens=False)))
+                continue
+            n = known.get(lower)
+            if n is None:
+                n = known[lower] = len(merges(charmap_decode(lower, "strict", self.spelling)[0]))
+            if len(stem) < len(word):
+                more = known.get(rest := word[len(stem) :])
+                if more is None:
+                    more = known[rest] = len(merges(rest.decode()))
+                n += more
+            out.append(n)
+        return np.array(out, np.int64).reshape(1, -1)
 
     def counter(self) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]:
         """Whole texts to their numbers of ids and of words; remembers words."""
