@@ -6,7 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from weftline.llm import wordtable
-from weftline.llm.subword import SubwordSoftmax, buckets_of
+from weftline.llm.subword import SubwordSoftmax, _sums, buckets_of
 from weftline.llm.tokenizing import WordTokenizer, word_bpe_path
 from weftline.llm.wordtable import WordTable
 
@@ -62,3 +62,10 @@ def test_logits_of_odd_words_are_means_over_their_buckets():
         model = SubwordSoftmax(classes)
         want = np.stack([(model.table[x] @ model.weights).mean(axis=0) for x in alone], axis=1)
         assert abs(model.word_logits(words) - want).max() < 1e-6
+
+
+def test_sums_of_repeated_rows_are_those_of_the_rows_written_out():
+    rng = np.random.default_rng(4)
+    times, rows = rng.integers(0, 9, 300), rng.standard_normal((300, 8)).astype(np.float32)
+    index = rng.integers(0, 50, times.sum())
+    assert (_sums(index, rows, 60, times) == _sums(index, np.repeat(rows, times, axis=0), 60)).all()

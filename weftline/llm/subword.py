@@ -122,8 +122,8 @@ class SubwordSoftmax:
                 n = size[word]
                 starts = np.cumsum(n) - n
                 place = np.arange(n.sum()) + np.repeat(begin[word] - starts, n)
-                sub = flat[place]
-                vector = np.add.reduceat(self.table[sub], starts, axis=0) / n[:, None].astype(np.float32)
+                sub = flat[place].astype(np.intp)  # once, not in each of the sums
+                vector = np.add.reduceat(self.table.take(sub, axis=0), starts, axis=0) / n[:, None].astype(np.float32)
                 mean = _sums(doc, vector[inverse] * weight[:, None], len(rows))
                 mean *= SCALE
                 p = _softmax(mean @ self.weights + self.bias)
@@ -131,13 +131,17 @@ class SubwordSoftmax:
                 g_logit = p / len(rows)
                 g_mean = SCALE * g_logit @ self.weights.T
                 g_vector = _sums(inverse, g_mean[doc] * weight[:, None], len(word)) / n[:, None].astype(np.float32)
-                g_table = _sums(sub, np.repeat(g_vector, n, axis=0), self.buckets)
+                g_table = _sums(sub, g_vector, self.buckets, n)
                 gradients = (g_table, mean.T @ g_logit, g_logit.sum(axis=0))
                 # started at the first gradients' size, so that what occurs seldom moves little
                 squares = squares or [np.full_like(g, 4 * np.mean(g[g != 0] ** 2) + 1e-20) for g in gradients]
                 for parameter, g, square in zip((self.table, self.weights, self.bias), gradients, squares, strict=True):
-                    square += g * g
-                    parameter -= rate * g / np.sqrt(square)
+                    room = g * g
+                    square += room
+                    np.sqrt(square, out=room)
+                    g *= rate
+                    g /= room
+                    parameter -= g
         return self
 
     def word_logits(self, words: list[bytes]) -> np.ndarray:
@@ -188,8 +192,12 @@ class SubwordSoftmax:
         return model
 
 
-def _sums(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    return np.stack([np.bincount(index, rows[:, k], n) for k in range(rows.shape[1])], axis=1).astype(np.float32)
+def _sums(index: np.ndarray, rows: np.ndarray, n: int, times: np.ndarray | None = None) -> np.ndarray:
+    """Rows, each repeated as often as ``times`` says, added up by index."""
+    out = np.empty((n, rows.shape[1]), np.float32)
+    for k, column in enumerate(np.ascontiguousarray(rows.T, np.float64)):
+        out[:, k] = np.bincount(index, column if times is None else np.repeat(column, times), n)
+    return out
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
